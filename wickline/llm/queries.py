@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, simhash
-from wickline.llm.common import table
+from wickline.llm import bpe, quality, sharding, simhash
+from wickline.llm.common import cut, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +43,31 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(F.col("failed"), quality.POLICIES["v1"])).alias("base_failed"),
+        quality.passes(F.col("failed"), quality.POLICIES[quality.CURRENT]).alias("kept"),
+        F.col("failed").alias("failed_bits"),
+    )
+
+
+OP4_SHARDS = 40
+
+
+@_query
+def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.records(table(spark, sf_dir, "documents", "doc_id", "text"))
+    stats = cut(sharding.slot_stats(rows))
+    store = fresh_path(spark, "slot-map")
+    sharding.save_map(sharding.first_map(spark, OP4_SHARDS), store)
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, store, 0), stats, OP4_SHARDS), store)
+    placed = sharding.place(rows, sharding.load_map(spark, store), stats)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+    )
