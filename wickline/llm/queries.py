@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, decontam, quality, sharding, simhash
+from wickline.llm import bpe, decontam, quality, sharding, simhash, warc
 from wickline.llm.common import cut, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontam.matches(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@_query
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return warc.read_archives(spark, path).select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"), "status",
+    )
