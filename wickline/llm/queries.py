@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, decontam, quality, sharding, simhash, toxicity, warc
+from wickline.llm import bpe, decontam, pii, quality, sharding, simhash, toxicity, warc
 from wickline.llm.common import cut, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("pii", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS[:4]],
+        F.sha2(pii.span_string(F.filter("pii", lambda s: s.base)), 256).alias("base_sha256"),
+        pii.span_string(F.col("pii")).alias("spans"),
+    )
