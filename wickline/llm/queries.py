@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickline.llm import bpe, decontam, pii, quality, sharding, simhash, toxicity, warc
+from wickline.llm import bpe, decontam, lines, pii, quality, sharding, simhash, toxicity, urls, warc
 from wickline.llm.common import cut, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,14 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_string(F.filter("pii", lambda s: s.base)), 256).alias("base_sha256"),
         pii.span_string(F.col("pii")).alias("spans"),
     )
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.classify(table(spark, sf_dir, "pages", "page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "value")
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
