@@ -19,6 +19,7 @@ empty table makes no archive and reads as an empty table; other columns are igno
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -101,7 +102,11 @@ def write_archives(
         text(F.col("part")),
     ]
     out = cuts.select(F.concat(*lines).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+
+
+def _plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -155,7 +160,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows: list[dict] = []
-                for head, block in parse_records(content.as_py()):
+                for head, block in parse_records(_plain(content.as_py())):
                     rows.append({
                         "key": head.get("warc-segment-origin-id") or head["warc-record-id"],
                         "no": int(head.get("warc-segment-number", 1)),
