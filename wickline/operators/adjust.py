@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from wickline.functions.numeric import ratio
 from wickline.operators.quality import typical_amount
 
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time():
+    """Rows of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 TOLERANCE = 1e-6
 
 
@@ -39,8 +42,8 @@ def rebase(df: DataFrame, origins: DataFrame) -> DataFrame:
 
 def exposure(df: DataFrame, lookback: int, tolerance: float = TOLERANCE) -> DataFrame:
     """Largest factor step inside the lookback window of each bar, and its bucket."""
-    step = F.abs(F.log(F.col("factor")) - F.log(F.lag("factor").over(BY_TIME)))
+    step = F.abs(F.log(F.col("factor")) - F.log(F.lag("factor").over(by_time())))
     stepped = df.withColumn("log_step", step)
-    worst = F.max("log_step").over(BY_TIME.rowsBetween(-(lookback - 2), 0))
+    worst = F.max("log_step").over(by_time().rowsBetween(-(lookback - 2), 0))
     out = stepped.withColumn("context_max_abs_log_step", F.coalesce(worst, F.lit(0.0)))
     return out.withColumn("exposure_bucket", F.when(F.col("context_max_abs_log_step") > tolerance, "material_factor_change").otherwise("no_material_change"))

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from wickline.functions.numeric import average_rank, close_to, ratio, safe_corr, same_sign
 
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time():
+    """Rows of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 KEYS = ("symbol", "candidate_month", "forecast_origin")
 
 
@@ -36,15 +39,15 @@ def monthly_cohorts(calendar: DataFrame, horizon: int) -> DataFrame:
 
 def history(candles: DataFrame, lookback: int) -> DataFrame:
     """Everything known at each bar, from frames that end there: position, closes, baselines' inputs."""
-    frame = BY_TIME.rowsBetween(-(lookback - 1), 0)
-    last20 = BY_TIME.rowsBetween(-19, 0)
-    numbered = candles.withColumn("rn", F.row_number().over(BY_TIME))
+    frame = by_time().rowsBetween(-(lookback - 1), 0)
+    last20 = by_time().rowsBetween(-19, 0)
+    numbered = candles.withColumn("rn", F.row_number().over(by_time()))
     x = F.col("rn").cast("double")
     return numbered.withColumns({
         "history_rows": F.col("rn").cast("long"),
         "context_rows": F.count("*").over(frame),
         "context_start": F.min("ts").over(frame),
-        "first20": F.lag("close", 19).over(BY_TIME),
+        "first20": F.lag("close", 19).over(by_time()),
         "low20": F.min("close").over(last20),
         "mean20": F.avg("close").over(last20),
         "slope20": F.regr_slope(F.col("close"), x).over(last20),
@@ -69,7 +72,7 @@ def window_skips(candles: DataFrame, cohorts: DataFrame, lookback: int) -> DataF
     full = cohorts.filter("complete")
     grid = candles.select("symbol").distinct().crossJoin(F.broadcast(full))  # symbols x months, the fact's own grain
     have = candles.select("symbol", "ts").distinct()
-    pos = have.withColumn("rn", F.row_number().over(BY_TIME).cast("long"))
+    pos = have.withColumn("rn", F.row_number().over(by_time()).cast("long"))
     origin = grid.join(pos.withColumnRenamed("ts", "forecast_origin"), ["symbol", "forecast_origin"], "left")
     aims = grid.select("symbol", "candidate_month", F.explode("targets").alias("ts")).join(have.withColumn("hit", F.lit(1)), ["symbol", "ts"], "left")
     found = aims.groupBy("symbol", "candidate_month").agg(F.count("hit").alias("available_target_rows"))

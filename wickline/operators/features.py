@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from wickline.functions.numeric import clip
 
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time():
+    """Rows of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 EPS = 1e-5
 
 
 def sliding_windows(df: DataFrame, width: int) -> DataFrame:
     """Start and end of every complete window; its values stay where they are, as one frame."""
-    ahead = BY_TIME.rowsBetween(0, width - 1)
-    out = df.withColumns({"n": F.count("*").over(ahead), "end_ts": F.max("ts").over(ahead), "mean_close": F.avg("close").over(ahead), "start_index": F.row_number().over(BY_TIME) - 1})
+    ahead = by_time().rowsBetween(0, width - 1)
+    out = df.withColumns({"n": F.count("*").over(ahead), "end_ts": F.max("ts").over(ahead), "mean_close": F.avg("close").over(ahead), "start_index": F.row_number().over(by_time()) - 1})
     return out.filter(F.col("n") == width).select("symbol", F.col("ts").alias("start_ts"), "end_ts", "start_index", "mean_close")
 
 
 def zscore(df: DataFrame, lookback: int, bound: float = 5.0) -> DataFrame:
     """Close against mean and population deviation of the last ``lookback`` rows (the past only), clipped."""
-    w = BY_TIME.rowsBetween(-(lookback - 1), 0)
+    w = by_time().rowsBetween(-(lookback - 1), 0)
     full = F.count("*").over(w) == lookback
     z = df.withColumns({"mean": F.avg("close").over(w), "std": F.stddev_pop("close").over(w), "__full": full}).filter("__full").drop("__full")
     return z.withColumn("z", clip((F.col("close") - F.col("mean")) / (F.col("std") + EPS), -bound, bound)).withColumn("back", F.col("z") * (F.col("std") + EPS) + F.col("mean"))
@@ -35,7 +38,7 @@ def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
 def split_by_ratio(df: DataFrame, train: float, validation: float) -> DataFrame:
     """Leading, middle and closing rows of each symbol; cut points are truncated."""
     n = F.count("*").over(Window.partitionBy("symbol"))
-    i = F.row_number().over(BY_TIME) - 1
+    i = F.row_number().over(by_time()) - 1
     a, b = F.floor(n * F.lit(train) + 1e-9), F.floor(n * F.lit(train + validation) + 1e-9)
     return df.withColumn("split", F.when(i < a, "train").when(i < b, "validation").otherwise("test"))
 
@@ -70,7 +73,7 @@ def fixed_steps(df: DataFrame, count: int) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """Rows, range, prices and the label of the mean of the first nine spacings."""
-    d = df.withColumns({"rn": F.row_number().over(BY_TIME), "gap": F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(BY_TIME).cast("timestamp"))})
+    d = df.withColumns({"rn": F.row_number().over(by_time()), "gap": F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(by_time()).cast("timestamp"))})
     g = d.groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("low").alias("min_price"), F.max("high").alias("max_price"),
         F.avg(F.when(F.col("rn") <= 10, F.col("gap"))).alias("spacing"),

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from wickline.functions.numeric import clip, ratio
 
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time():
+    """Rows of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def full_mean(c: str, n: int) -> Column:
     """Mean of the last ``n`` rows; null before there are so many."""
-    w = BY_TIME.rowsBetween(-(n - 1), 0)
+    w = by_time().rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
 
 
@@ -27,13 +30,13 @@ def moving_averages(df: DataFrame) -> DataFrame:
 def trend_strength(df: DataFrame) -> DataFrame:
     """Weighted slopes of average, price and volume, from 0 to 1; 0.5 before 20 rows."""
     ma = moving_averages(df)
-    before = BY_TIME.rowsBetween(-9, -5)
-    lag = lambda c, n: F.lag(c, n).over(BY_TIME)
+    before = by_time().rowsBetween(-9, -5)
+    lag = lambda c, n: F.lag(c, n).over(by_time())
     parts = {
         "ma_slope": ratio(F.col("ma5") - lag("ma5", 19), lag("ma5", 19)),
         "price_slope": ratio(F.col("close") - lag("close", 19), lag("close", 19)),
         "vol_prev": F.avg("volume").over(before),
-        "rows20": F.count("*").over(BY_TIME.rowsBetween(-19, 0)),
+        "rows20": F.count("*").over(by_time().rowsBetween(-19, 0)),
     }
     out = ma.withColumns(parts)
     gain = F.least(ratio(F.col("vol5"), F.col("vol_prev")) - 1, F.lit(0.2))
@@ -52,8 +55,8 @@ def market_vote(df: DataFrame) -> DataFrame:
 
 def recent_trend(df: DataFrame, n: int = 20) -> DataFrame:
     """Slope over up to ``n`` closes, relative to their range, within 0.1 either way."""
-    w = BY_TIME.rowsBetween(-(n - 1), 0)
-    x = F.row_number().over(BY_TIME).cast("double")
+    w = by_time().rowsBetween(-(n - 1), 0)
+    x = F.row_number().over(by_time()).cast("double")
     rows = df.withColumn("__x", x)
     slope, span, count = F.regr_slope("close", "__x").over(w), F.max("close").over(w) - F.min("close").over(w), F.count("close").over(w)
     return rows.withColumns({"slope": slope, "span": span, "n": count}).withColumn("trend", F.coalesce(clip(ratio(F.col("slope"), F.col("span")) * F.col("n"), -0.1, 0.1), F.lit(0.0))).drop("__x", "slope", "span", "n")
@@ -61,15 +64,15 @@ def recent_trend(df: DataFrame, n: int = 20) -> DataFrame:
 
 def centered_mean(df: DataFrame, width: int) -> DataFrame:
     """Centred mean; an even width reaches one row further back."""
-    return df.withColumn("smooth", F.avg("close").over(BY_TIME.rowsBetween(-(width // 2), (width - 1) // 2)))
+    return df.withColumn("smooth", F.avg("close").over(by_time().rowsBetween(-(width // 2), (width - 1) // 2)))
 
 
 def returns(df: DataFrame) -> DataFrame:
     """Change over the last known close, cumulated growth, running peak and drawdown."""
-    known = F.last("close", ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("__c", known).withColumn("__p", F.lag("__c").over(BY_TIME))
+    known = F.last("close", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumn("__c", known).withColumn("__p", F.lag("__c").over(by_time()))
     out = out.withColumn("change", ratio(F.col("__c"), F.col("__p")) - 1)
-    so_far = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("growth", F.exp(F.sum(F.log(1 + F.coalesce("change", F.lit(0.0)))).over(so_far)))
     out = out.withColumn("peak", F.max("growth").over(so_far))
     return out.withColumn("drawdown", F.col("growth") / F.col("peak") - 1).drop("__c", "__p")
@@ -77,9 +80,9 @@ def returns(df: DataFrame) -> DataFrame:
 
 def signals(df: DataFrame, threshold: float) -> DataFrame:
     """1 or -1 where the change passes the threshold, carried forward; 0 before the first."""
-    change = ratio(F.col("close"), F.lag("close").over(BY_TIME)) - 1
+    change = ratio(F.col("close"), F.lag("close").over(by_time())) - 1
     raw = df.withColumn("change", change).withColumn("raw_signal", F.when(F.col("change") > threshold, 1).when(F.col("change") < -threshold, -1).otherwise(0))
-    held = F.last(F.when(F.col("raw_signal") != 0, F.col("raw_signal")), ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(F.when(F.col("raw_signal") != 0, F.col("raw_signal")), ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return raw.withColumn("signal", F.coalesce(held, F.lit(0)))
 
 
@@ -97,7 +100,7 @@ def price_limits(df: DataFrame, limit: float) -> DataFrame:
 
 def threshold_strategy(df: DataFrame, threshold: float, capital: float = 100000.0, fee: float = 0.001) -> DataFrame:
     """Long-only: buys all after a rise beyond the threshold, sells all after a fall; a row per symbol."""
-    change = ratio(F.col("close"), F.lag("close").over(BY_TIME)) - 1
+    change = ratio(F.col("close"), F.lag("close").over(by_time())) - 1
     bars = df.withColumn("change", change).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "close", "change"))).alias("bars"))
     zero = F.struct(F.lit(capital).alias("cash"), F.lit(0.0).alias("shares"), F.lit(0).cast("long").alias("trades"), F.lit(0.0).alias("price"))
 
@@ -130,5 +133,5 @@ def performance(df: DataFrame, periods: int = 252, risk_free: float = 0.03) -> D
 def accuracy(pred: DataFrame) -> DataFrame:
     """Mean percentage error, hits below 5 %, and agreement of direction between bars."""
     e = F.abs(ratio(F.col("predicted") - F.col("actual"), F.col("actual")))
-    d = pred.withColumns({"e": e, "dp": F.col("predicted") - F.lag("predicted").over(BY_TIME), "da": F.col("actual") - F.lag("actual").over(BY_TIME)})
+    d = pred.withColumns({"e": e, "dp": F.col("predicted") - F.lag("predicted").over(by_time()), "da": F.col("actual") - F.lag("actual").over(by_time())})
     return d.groupBy("symbol").agg(F.avg("e").alias("mape"), F.avg((F.col("e") < 0.05).cast("double")).alias("hit_rate"), F.avg((F.signum("dp") == F.signum("da")).cast("double")).alias("direction"))

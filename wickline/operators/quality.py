@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from wickline.functions.numeric import clean_number
 
 PRICES = ("open", "high", "low", "close")
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
+
+def by_time():
+    """Rows of a symbol in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def repair_envelope(df: DataFrame) -> DataFrame:
@@ -56,12 +59,12 @@ def fill_amount(df: DataFrame) -> DataFrame:
 def fix_open(df: DataFrame) -> DataFrame:
     """Open of 0 or null becomes the previous close, else the row's own."""
     bad = F.col("open").isNull() | (F.col("open") == 0)
-    return df.withColumn("open", F.when(bad, F.coalesce(F.lag("close").over(BY_TIME), F.col("close"))).otherwise(F.col("open")))
+    return df.withColumn("open", F.when(bad, F.coalesce(F.lag("close").over(by_time()), F.col("close"))).otherwise(F.col("open")))
 
 
 def forward_fill(df: DataFrame, *columns: str) -> DataFrame:
     """The last value known up to each row."""
-    so_far = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
 
 

@@ -131,7 +131,7 @@ _ACC = f"{W6}, p as (select symbol, ts, close as actual, avg(close) over (partit
 
 @query("prediction_accuracy", f"with {_ACC} select symbol, {o.r('avg(e)', 'mape')}, {o.r('avg((e < 0.05)::int::double)', 'hit_rate')}, {o.r('avg((sign(dp) = sign(da))::int::double)', 'direction')} from q group by symbol")
 def _(spark, sf):
-    w = indicators.BY_TIME
+    w = indicators.by_time()
     p = src.week6(spark, sf).select("symbol", "ts", F.col("close").alias("actual"), F.avg("close").over(w.rowsBetween(-3, -1)).alias("predicted")).filter("predicted is not null")
     return indicators.accuracy(p)
 
@@ -143,7 +143,7 @@ def _(spark, sf):
 
 @query("walk_forward_points", f"with {_FOLD} select symbol, {T}, rn - 1 as start_index, {o.r('close')} from n where rn - 1 >= 52 and rn - 1 + 4 <= (select max(rn) from n m where m.symbol = n.symbol) and (rn - 1 - 52) % 4 = 0")
 def _(spark, sf):
-    c = src.week6(spark, sf).withColumns({"start_index": F.row_number().over(indicators.BY_TIME) - 1, "n": F.count("*").over(Window.partitionBy("symbol"))})
+    c = src.week6(spark, sf).withColumns({"start_index": F.row_number().over(indicators.by_time()) - 1, "n": F.count("*").over(Window.partitionBy("symbol"))})
     return c.filter((F.col("start_index") >= 52) & (F.col("start_index") + 4 <= F.col("n")) & ((F.col("start_index") - 52) % 4 == 0)).select("symbol", "ts", "start_index", "close")
 
 
@@ -369,7 +369,7 @@ def _(spark, sf):
 
 @query("continuity_gap", f"with {W6}, x as (select *, lead(open) over (partition by symbol order by ts) as next_open from c) select symbol, {T}, {o.r('abs(next_open - close)', 'gap')}, {o.r('abs(next_open - close) / nullif(close, 0) * 100', 'gap_pct')} from x where next_open is not null")
 def _(spark, sf):
-    x = src.week6(spark, sf).withColumn("next_open", F.lead("open").over(indicators.BY_TIME)).filter("next_open is not null")
+    x = src.week6(spark, sf).withColumn("next_open", F.lead("open").over(indicators.by_time())).filter("next_open is not null")
     gap = F.abs(F.col("next_open") - F.col("close"))
     return x.select("symbol", "ts", gap.alias("gap"), (gap / F.when(F.col("close") != 0, F.col("close")) * 100).alias("gap_pct"))
 

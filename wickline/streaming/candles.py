@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of files; watermarks need an instant, so ``ts`` is read in the session's zone."""
     path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    files = f"{sf_dir}/events.parque[t]"  # as a pattern it may be a file or a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def bars(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
