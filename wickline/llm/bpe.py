@@ -17,7 +17,8 @@ cost is linear in the word; nothing is merged and no priority queue is kept. Dec
 
 Defined results: null text is encoded as the empty text (no ids, decoded to ''); the special
 tokens' strings in a text become their ids, as the vocabulary file asks; repeated rows give
-repeated results; empty tables give empty results; other columns pass through.
+repeated results; empty tables give empty results; other columns pass through,
+and one with the made column's name is replaced.
 """
 
 from __future__ import annotations
@@ -204,8 +205,7 @@ def _codec_of(vocabulary: str, shared) -> Codec:
 
 def _pass(df: DataFrame, name: str, kind: T.DataType, column: str, arrow_type: pa.DataType, apply) -> DataFrame:
     """``df`` with the column ``name`` made from ``column`` batch by batch."""
-    if name in df.columns:
-        raise ValueError(f"a column {name} exists")
+    df = df.drop(name)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ Units of fewer than ``min_words`` words (list marks, closing words) are no repet
 
 Defined results: null and empty texts have no unit; a row whose id is null is ranked first; repeated rows
 are separate occurrences only if their ids differ, equal (id, offset) pairs count as one; an empty table
-gives an empty result; other columns are ignored by ``repeats`` and pass through ``remove``.
+gives an empty result; other columns are ignored by ``repeats`` and pass through ``remove``,
+one named ``removed`` is replaced.
 """
 
 from __future__ import annotations
@@ -74,8 +75,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with repeated units cut out, and ``removed``: their original (start, end)."""
-    if "removed" in df.columns:
-        raise ValueError("a column removed exists")
+    df = df.drop("removed")
     spans = repeats(df, id_col, text_col, unit, min_words).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     both = df.join(spans, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     text = F.col(text_col)

@@ -13,7 +13,7 @@ pieces of that many tokens. Added spans never overlap a span of the patterns.
 
 Defined results: null text counts as empty and has no span; offsets are code points with an exclusive end;
 repeated rows have equal spans; an empty table gives an empty result; other columns pass through,
-a clash with the made column raises ValueError.
+one named like the made column is replaced.
 """
 
 from __future__ import annotations
@@ -362,8 +362,7 @@ _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 
 def find(df: DataFrame, text_col: str = "text", out: str = "pii", field: Field | None = None) -> DataFrame:
     """``df`` with the array ``out`` of (kind, start, end, base)."""
-    if out in df.columns:
-        raise ValueError(f"a column {out} exists")
+    df = df.drop(out)
     held = df.sparkSession.sparkContext.broadcast(field or train(training_table()))  # a few thousand weights
     at = df.columns.index(text_col)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))

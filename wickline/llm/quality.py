@@ -8,7 +8,7 @@ the ablation counts are aggregated.
 
 Defined results: null and empty texts have no words: all counts are 0 and the rule ``few_words``
 fails; a text of any length is measured whole; repeated rows are judged alike; other columns
-pass through ``ledger`` unless they bear the name of a measurement, which raises ValueError.
+pass through ``ledger``, those named like a measurement are replaced.
 """
 
 from __future__ import annotations
@@ -79,8 +79,7 @@ def _repeat_words(words: Column) -> Column:
 
 def ledger(df: DataFrame, text_col: str = "text", version: str = CURRENT) -> DataFrame:
     """``df`` with the measurements, ``failed`` (bits of the rules that fail) and ``ledger_version``."""
-    if clash := {*MEASURES, "failed", "ledger_version"} & {*df.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist")
+    df = df.drop(*MEASURES, "failed", "ledger_version")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))

@@ -17,7 +17,8 @@ The shared counts, and the scores, cover all documents and whole texts.
 
 Defined results: null and empty texts and texts without words have value 0 and get the curve's
 value there; documents labelled both ways count as toxic; without labels of both classes every
-score is the labelled share of toxic rows (0 without labels); other columns pass through ``score``.
+score is the labelled share of toxic rows (0 without labels); other columns pass through ``score``, one
+named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -152,9 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the curve, on labelled rows that were not counted
     if not (totals.get((2, 1)) and totals.get((2, 0))):
         return flat
-    seen = _values(sample.filter("fold = 2").select("y", "text"), model, "text").select("y", "value").collect()  # at most 2 * max_docs
+    seen = _values(sample.filter("fold = 2").select("y", "text"), model, "text").select("y", "__value").collect()  # at most 2 * max_docs
     y = np.array([r["y"] for r in seen], float)
-    x = np.array([r["value"] for r in seen])
+    x = np.array([r["__value"] for r in seen])
     weight = np.where(y == 1, totals[2, 1] / max((y == 1).sum(), 1), totals[2, 0] / max((y == 0).sum(), 1))
     a, b = _curve(x, y, weight)
     return model | {"a": a, "b": b}
@@ -176,7 +177,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def _values(df: DataFrame, model: dict, text_col: str) -> DataFrame:
-    """``df`` with ``value``: the log-likelihood difference per word."""
+    """``df`` with ``__value``: the log-likelihood difference per word."""
     held = df.sparkSession.sparkContext.broadcast((model["one"], model["two"]))  # bounded by the labelled sample
     at = df.columns.index(text_col)
 
@@ -194,16 +195,15 @@ def _values(df: DataFrame, model: dict, text_col: str) -> DataFrame:
                             value += two.get((w[i - 1] if i else START, x), one.get(x, 0.0))
                     value /= len(w)
                 out.append(value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "value"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "__value"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("value", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__value", T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score from 0 to 1."""
-    if out in docs.columns or "value" in docs.columns:
-        raise ValueError(f"a column {out} or value exists")
+    docs = docs.drop(out)
     if model["a"] is None:
         return docs.withColumn(out, F.lit(float(model["rate"])))
-    z = F.lit(model["a"]) + F.lit(model["b"]) * F.col("value")
-    return _values(docs, model, text_col).withColumn(out, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).drop("value")
+    z = F.lit(model["a"]) + F.lit(model["b"]) * F.col("__value")
+    return _values(docs, model, text_col).withColumn(out, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).drop("__value")
