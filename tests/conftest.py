@@ -14,5 +14,8 @@ def spark():
         .config("spark.driver.memory", "3g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from wickline.session import reach_workers
+
+    reach_workers(s)
     yield s
     s.stop()

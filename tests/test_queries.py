@@ -12,7 +12,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-KNOWN, ORACLE = __spark_entry__._candles()
+KNOWN, ORACLE = __spark_entry__.queries(), __spark_entry__._candles()[1]
 
 
 @pytest.fixture(scope="module")
