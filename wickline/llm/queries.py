@@ -119,3 +119,40 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_WORDS = "list_filter(string_split_regex({text}, '{sep}'), lambda w: w <> '')"
+
+ORACLE_SQL["op7_decontamination"] = f"""
+with d as (select doc_id, {_WORDS.format(text="lower(coalesce(text, ''))", sep="[^\\p{L}\\p{M}\\p{N}]+")} as w from documents),
+b as (select item_id, {_WORDS.format(text="lower(coalesce(text, ''))", sep="[^\\p{L}\\p{M}\\p{N}]+")} as w from benchmark),
+ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from d where len(w) >= 5),
+bs as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from b where len(w) >= 5),
+n as (select item_id, count(*) as n_shingles from bs group by item_id),
+m as (select doc_id, item_id, count(*) as shared from ds join bs using (s) group by doc_id, item_id)
+select doc_id, item_id, shared, n_shingles, shared / n_shingles as containment from m join n using (item_id) where shared >= ceil({decontam.THRESHOLD} * n_shingles - 1e-9)
+"""
+
+_BITS = " + ".join(f"case when {rule} then {1 << bit} else 0 end" for bit, rule in enumerate(quality.RULES.values()))
+
+ORACLE_SQL["op8_quality_rules"] = f"""
+with d as (select doc_id, coalesce(text, '') as t, {_WORDS.format(text="coalesce(text, '')", sep="[ \\t-\\r]+")} as w from documents),
+g as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g, unnest(range(1, len(w) - 1)) as i from d),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+c as (select doc_id, count(distinct i + k) as n from r, range(0, 3) x(k) group by doc_id),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) as ls from d),
+m as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, (length(t) - length(replace(t, '!!', ''))) // 2 as n_shouts
+  from d join l using (doc_id) left join c using (doc_id)),
+f as (select *, ({_BITS})::bigint as failed_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {quality.POLICIES["v1"]} <> 0 as base_failed, failed_bits & {quality.POLICIES[quality.CURRENT]} = 0 as kept, failed_bits from f
+"""
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
+
+ORACLE_SQL["op10_warc_segments"] = f"""
+with p as (select page_id, coalesce(html, '') as h, min(page_id) over (partition by coalesce(html, '')) as first from pages),
+x as (select page_id, first, octet_length(encode(h)) as payload_bytes, list_transform(range(0, 8), lambda i: ('0x' || substr(sha1(h), 1 + 5 * i, 5))::bigint) as parts from p)
+select page_id, payload_bytes, array_to_string(list_transform(parts, lambda n: {_B32}), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, 'ok' as status from x
+"""
