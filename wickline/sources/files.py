@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIVERSE = ("symbol", "name", "valid_from", "valid_to")
-RAW = ("timestamps", "open", "high", "low", "close", "adj_close", "volume", "symbol", "yahoo_symbol")
 #: Column synonyms of providers (fixed values).
 SYNONYMS = {
     "date": "timestamps", "datetime": "timestamps", "timestamp": "timestamps", "timestamps": "timestamps", "open": "open", "high": "high", "low": "low", "close": "close",
