@@ -279,7 +279,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows that share that id are one document; one of them stays.
     """
     found = near_duplicates(df, id_col, text_col)
-    firsts = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("__keep_n"))
+    firsts = found.groupBy(id_col).agg(F.count("*").alias("__keep_n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("first")).filter("first")
     marked = df.join(firsts.select(F.col(id_col).alias("__keep_id"), "__keep_n"), F.col(id_col).eqNullSafe(F.col("__keep_id"))).drop("__keep_id")
     once = marked.filter("__keep_n = 1").drop("__keep_n")
     more = marked.filter("__keep_n > 1").drop("__keep_n").dropDuplicates([id_col])
