@@ -41,11 +41,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids, language, source and token ids, with a check that decoding restores the text."""
     path = default_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return coded.select(
-        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
-    )
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    return bpe.decode(coded, path).select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("restored")
+    )
 
 
 STAGES = [

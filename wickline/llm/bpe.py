@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 #: Pre-splitting of byte-level BPE (fixed values).
 SPLIT = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 1 << 18  # of each of two generations
-CACHE_ARCS = 1 << 20
+CACHE_ARCS = 1 << 18
 LONG_WORD = 64
 
 
@@ -83,7 +83,7 @@ class Automaton:
             if len(label) > self.reach.get(label[:3], 2):
                 self.reach[label[:3]] = len(label)
         self.table: dict[tuple[int, int], bool] = {}
-        self.label |= {i: s.encode() for s, i in self.special.items()}
+        self.label = labels(tables)
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """Split the target of ``u`` (``v`` is cut behind it) and add the arc ``w``."""
@@ -189,7 +189,17 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.automaton.label.__getitem__, ids)).decode("utf-8", "replace")
+        return emit(self.automaton.label, ids)
+
+
+def labels(tables: dict) -> dict[int, bytes]:
+    """The bytes that each arc emits."""
+    return tables["label"] | {i: s.encode() for s, i in tables["special"].items()}
+
+
+def emit(label: dict[int, bytes], ids: list[int]) -> str:
+    """The text of the arcs' labels; bytes that are no UTF-8 become replacement marks."""
+    return b"".join(map(label.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}
@@ -238,12 +248,12 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out: str = "i
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids_col`` stands for; null ids decode to ''."""
-    shared = df.sparkSession.sparkContext.broadcast(load_tables(vocabulary))
+    shared = df.sparkSession.sparkContext.broadcast(labels(load_tables(vocabulary)))  # decoding needs no automaton
 
     def apply(col: pa.Array, kind: pa.DataType) -> pa.Array:
-        codec = _codec_of(vocabulary, shared)
+        label = shared.value
         flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_pylist()
         rows = ((a, b if ok else a) for a, b, ok in zip(ends, ends[1:], col.is_valid().to_pylist()))
-        return pa.array([codec.decode(flat[a:b].tolist()) for a, b in rows], kind)
+        return pa.array([emit(label, flat[a:b].tolist()) for a, b in rows], kind)
 
     return _pass(df, out, T.StringType(), ids_col, pa.string(), apply)
