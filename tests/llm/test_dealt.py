@@ -240,6 +240,22 @@ def test_lines(spark):
     assert lines.remove(df.limit(0)).count() == 0
 
 
+def test_passages_inside_sentences(spark):
+    """A passage glued to differing words, without any sentence of its own, is found from end to end."""
+    r = random.Random(31)
+    made = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    p, q = made(51), made(130)
+    rows = [(1, f"{made(70)} {p} {made(33)} {q}"), (2, f"{made(12)} {p.upper()} {made(80)}"), (3, f"{made(90)} | {q} {made(5)}"), (4, made(300)), (5, p), (6, None), (7, f"{made(60)} {made(40)}")]
+    df = docs_of(spark, rows)
+    text = dict(rows)
+    got = sorted((x.doc_id, text[x.doc_id][x.start : x.end].lower(), x.first_doc_id, text[1][x.first_start :].startswith(text[x.doc_id][x.start : x.end].lower())) for x in lines.passages(df).collect())
+    assert got == [(2, p, 1, True), (3, q, 1, True), (5, p, 1, True)]
+    loop = docs_of(spark, [(8, f"{made(30)} {' '.join([made(60)] * 20)} {made(9)}")])
+    assert lines.passages(loop).count() == 1 and len(lines.remove(loop).first().text.split()) == 30 + 60 + 9
+    left = {x.doc_id: x.text for x in lines.remove(df).collect()}
+    assert p not in left[2].lower() and q not in left[3] and left[1] == text[1] and left[4] == text[4] and left[7] == text[7]
+
+
 def test_decontamination(spark):
     items = [(1, prose(40, 11)), (2, prose(12, 12)), (3, "too short here"), (4, None), (5, prose(200, 13)), (6, prose(40, 11))]
     cut = items[0][1].split()

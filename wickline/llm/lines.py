@@ -8,6 +8,14 @@ one list, so that a line that is everywhere is no hot group; the join back can b
 
 Units of fewer than ``min_words`` words (list marks, closing words) are no repetition and stay.
 
+A repeated passage that starts or ends inside a unit has its first and last pieces glued to differing words. Passages are
+therefore also found by their own words, wherever they start: hashes of ``GRAM`` words are winnowed (the smallest
+of every ``SPREAD`` in a row is taken), so that any two texts that share ``GRAM + SPREAD - 1`` = 50 words share a taken hash. Taken
+hashes are grouped globally like units; a text's first occurrence is set against the earliest one of all, a later one against that
+before it in the same text; overlapping finds of one alignment are joined to one run, and the run is extended word by
+word, up to ``SPREAD`` words at both ends. ``occurrences`` of a run inside one text are those in that text.
+Rows of units and of passages may overlap.
+
 Defined results: null and empty texts have no unit; a row whose id is null is ranked first; repeated rows
 are separate occurrences only if their ids differ, equal (id, offset) pairs count as one; an empty table
 gives an empty result; other columns are ignored by ``repeats`` and pass through ``remove``,
@@ -22,16 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickline.llm.common import fresh_path
+
 MIN_WORDS = 5
+GRAM, SPREAD = 26, 25
+FLUSH_WORDS = 200_000
 UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"(?:[^\n]+\n?)+"),
     "sentence": re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)"),
 }
+_WORD = re.compile(r"\S+")
 OUTER = " \t.,;:!?\"'()[]{}<>|-*#$%&"
 
 
@@ -65,22 +78,252 @@ def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", un
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, T.StructType(fields))
 
 
+class _Words(dict):
+    """64-bit hashes of words without case and outer marks; 0 for bare marks."""
+
+    def __missing__(self, token: str) -> int:
+        bare = token.lower().strip(OUTER)
+        h = xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) | 1 if bare else 0
+        if len(token) <= 24:
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[token] = h
+        return h
+
+
+def _grams(h: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hash of the ``GRAM`` words from each place on."""
+    done, size, out, n = h, 1, None, 0
+    for bit in bin(GRAM)[:1:-1]:
+        if bit == "1":
+            out = done if out is None else out[: len(h) - n - size + 1] * np.uint64(pow(base, size, 1 << 64)) + done[n : len(h) - size + 1]
+            n += size
+        if n < GRAM:
+            done = done[:-size] * np.uint64(pow(base, size, 1 << 64)) + done[size:]
+            size *= 2
+    return out
+
+
+def _slide(x: np.ndarray, best: np.ufunc) -> np.ndarray:
+    """Best of every ``SPREAD`` values in a row."""
+    size = 1
+    while size * 2 <= SPREAD:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: len(x) - (SPREAD - size)], x[SPREAD - size :])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def winnow(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, h1, h2) of the taken hashes of texts that are given as hashes of their words, each of 50 words at least."""
+    flat = np.concatenate(texts)
+    lens = np.array([len(t) for t in texts])
+    first = np.cumsum(lens) - lens
+    h = _mix(_grams(flat, 0x9E3779B97F4A7C15))
+    low = _slide(h, np.minimum)
+    own = np.repeat(np.arange(len(texts)), lens)
+    whole = own[: len(low)] == own[len(flat) - len(low) :]  # hash places of one text only
+    low = np.where(whole, low, np.uint64(0))
+    edge = np.zeros(SPREAD - 1, np.uint64)
+    taken = np.flatnonzero((_slide(np.concatenate([edge, low, edge]), np.maximum) == h) & (h > 0))
+    h2 = _mix(_grams(flat ^ (flat >> np.uint64(29)), 0xD1B54A32D192ED03)[taken])
+    return own[taken], taken - first[own[taken]], h[taken].view(np.int64), h2.view(np.int64)
+
+
+def _own_runs(text: str, h: np.ndarray, pos: np.ndarray, before: np.ndarray, n: np.ndarray, known: _Words) -> list[tuple[int, int, int, int]]:
+    """(start, end, first_start, occurrences) of what repeats inside one text, from taken places and the places of the same hash before."""
+    order = np.lexsort((pos, pos - before))
+    pos, shift, n = pos[order], (pos - before)[order], n[order]
+    cuts = np.flatnonzero((np.diff(shift) != 0) | (np.diff(pos) > GRAM)) + 1
+    at = [(m.start(), m.end()) for m in _WORD.finditer(text) if known[m.group()]]
+    out = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)]):
+        lo, hi, s = int(pos[a]), int(pos[b - 1]) + GRAM, int(shift[a])
+        least, most = max(lo - SPREAD, s), min(hi + SPREAD, len(h))
+        while lo > least and h[lo - 1] == h[lo - 1 - s]:
+            lo -= 1
+        while hi < most and h[hi] == h[hi - s]:
+            hi += 1
+        out.append((at[lo][0], at[hi - 1][1], at[lo - s][0], int(n[a:b].min())))
+    return out
+
+
+def seed_table(df: DataFrame) -> DataFrame:
+    """Of a table of ``id``, ``key`` and text ``t``: the first place ``pos`` of every taken hash ``h1``, ``h2`` in its text with its number ``n`` there,
+    and, with null ``pos``, the runs ``start``, ``end``, ``first_start`` that repeat inside one text.
+
+    A text that repeats itself over and over has one run this way, whatever the number of repeats.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        names = ["id", "key", "pos", "h1", "h2", "n", "start", "end", "first_start"]
+
+        def flush(b: pa.RecordBatch, rows: list[int], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            own, pos, h1, h2 = winnow(texts)
+            if not len(own):
+                return
+            order = np.lexsort((pos, h2, h1, own))
+            again = np.zeros(len(own), bool)
+            again[1:] = (np.diff(own[order]) == 0) & (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
+            group = np.cumsum(~again) - 1
+            n = np.bincount(group)[group]
+            at = order[~again]
+            ids = pa.array(np.array(rows)[own[at]])
+            none = pa.nulls(len(at), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(ids), b.column(1).take(ids), pa.array(pos[at].astype(np.int32)), pa.array(h1[at]), pa.array(h2[at]), pa.array(n[~again].astype(np.int64)), none, none, none], names=names
+            )
+            late = np.flatnonzero(again)
+            of, place, before, n = own[order[late]], pos[order[late]], pos[order[late - 1]], n[late]
+            for i in np.unique(of).tolist():
+                mine = of == i
+                runs = _own_runs(b.column(2)[rows[i]].as_py(), texts[i], place[mine], before[mine], n[mine], known)
+                ids = pa.array([rows[i]] * len(runs), pa.int64())
+                none = pa.nulls(len(runs), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(ids), b.column(1).take(ids), none.cast(pa.int32()), none, none, pa.array([r[3] for r in runs], pa.int64()), *(pa.array([r[k] for r in runs], pa.int32()) for k in range(3))], names=names
+                )
+
+        for b in batches:
+            rows, texts, n = [], [], 0
+            for i, t in enumerate(b.column(2)):
+                w = (t.as_py() or "").split()
+                if len(w) < GRAM + SPREAD - 1:
+                    continue
+                h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+                h = h[h > 0]
+                if len(h) >= GRAM + SPREAD - 1:
+                    rows.append(i)
+                    texts.append(h)
+                    n += len(h)
+                    if n >= FLUSH_WORDS:
+                        yield from flush(b, rows, texts)
+                        rows, texts, n = [], [], 0
+            if rows:
+                yield from flush(b, rows, texts)
+
+    ints, longs = T.IntegerType(), T.LongType()
+    kinds = [("pos", ints), ("h1", longs), ("h2", longs), ("n", longs), ("start", ints), ("end", ints), ("first_start", ints)]
+    return df.mapInArrow(run, T.StructType([*(df.schema[n] for n in ("id", "key")), *(T.StructField(n, k) for n, k in kinds)]))
+
+
+def _surroundings(df: DataFrame) -> DataFrame:
+    """Where every wanted range of words ``lo`` to ``hi`` is in its text, and the text of ``SPREAD`` words on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        names = ["key", "lo", "hi", "start", "end", "left", "right"]
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                at = [(m.start(), m.end()) for m in _WORD.finditer(text) if known[m.group()]]
+                wanted = [(w["lo"], w["hi"]) for w in b.column(2)[i].as_py()]
+                here = [(at[lo][0], at[hi - 1][1]) for lo, hi in wanted]
+                left = [text[at[max(lo - SPREAD, 0)][0] : s] for (lo, _), (s, _) in zip(wanted, here)]
+                right = [text[e : at[min(hi + SPREAD, len(at)) - 1][1]] for (_, hi), (_, e) in zip(wanted, here)]
+                row = pa.array([i] * len(wanted), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(row), *(pa.array([x[k] for x in both], pa.int32()) for both in (wanted, here) for k in (0, 1)), pa.array(left, pa.string()), pa.array(right, pa.string())],
+                    names=names,
+                )
+
+    kinds = [*((n, T.IntegerType()) for n in ("lo", "hi", "start", "end")), ("left", T.StringType()), ("right", T.StringType())]
+    return df.mapInArrow(run, T.StructType([df.schema["key"], *(T.StructField(n, k) for n, k in kinds)]))
+
+
+def _reach(mine: str, other: str, back: bool) -> tuple[int, int]:
+    """Characters of ``mine`` and of ``other`` that equal words take up from the inner edge on."""
+    known = lambda s: [m for m in _WORD.finditer(s) if m.group().strip(OUTER)]
+    a, b = known(mine), known(other)
+    if back:
+        a, b = a[::-1], b[::-1]
+    n = 0
+    while n < min(len(a), len(b)) and a[n].group().lower().strip(OUTER) == b[n].group().lower().strip(OUTER):
+        n += 1
+    if not n:
+        return 0, 0
+    return (len(mine) - a[n - 1].start(), len(other) - b[n - 1].start()) if back else (a[n - 1].end(), b[n - 1].end())
+
+
+def _extend(df: DataFrame) -> DataFrame:
+    """``start``, ``end`` and ``first_start`` moved out as far as the words around both places are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {n: b.column(n).to_pylist() for n in ("start", "end", "first_start", "left", "right", "first_left", "first_right")}
+            before = [_reach(x, y, True) for x, y in zip(col["left"], col["first_left"])]
+            after = [_reach(x, y, False) for x, y in zip(col["right"], col["first_right"])]
+            moved = {
+                "start": [s - x for s, (x, _) in zip(col["start"], before)],
+                "end": [e + x for e, (x, _) in zip(col["end"], after)],
+                "first_start": [s - x for s, (_, x) in zip(col["first_start"], before)],
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(moved[n], pa.int32()) if n in moved else b.column(n) for n in names], names=names)
+
+    names = ["id", "start", "end", "first_id", "first_start", "occurrences"]
+    return df.mapInArrow(run, T.StructType([df.schema[n] for n in names]))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``repeats`` for passages, wherever they start and end."""
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("t"))
+    table = _written(seed_table(docs), "seeds")
+    seeds = table.filter("pos is not null").select("id", "key", "pos", "h1", "h2", "n")
+    first = seeds.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos", "key")).alias("first"), F.sum("n").alias("occurrences"), F.count("*").alias("places")).filter("places > 1")
+    rest = seeds.drop("n").join(first, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
+    rest = rest.select("id", "key", "pos", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), (F.col("pos") - F.col("first.pos")).alias("shift"), "occurrences")
+    alike = ["key", "first_key", "shift"]
+    line = Window.partitionBy(*alike).orderBy("pos")  # one text's finds of one alignment
+    new = F.coalesce(F.col("pos") - F.lag("pos").over(line) > GRAM, F.lit(True)).cast("int")
+    marked = rest.withColumn("__new", new).withColumn("__run", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.first("id").alias("id"), F.first("first_id").alias("first_id"), F.min("pos").alias("lo"), (F.max("pos") + GRAM).alias("hi"), F.min("occurrences").alias("occurrences")]
+    runs = _written(marked.groupBy(*alike, "__run").agg(*ends).drop("__run"), "runs")
+    back = [(F.col(c) - F.col("shift")).alias(c) for c in ("lo", "hi")]
+    ranges = runs.select("key", "lo", "hi").union(runs.select("first_key", *back))
+    wanted = ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("wanted"))
+    once = docs.join(wanted, "key").dropDuplicates(["key"]).select("key", "t", "wanted")
+    places = _written(_surroundings(once), "places")
+    p, q = (places.select(*[F.col(c).alias(f"{side}{c}") for c in places.columns]) for side in ("p_", "q_"))
+    own = (F.col("key") == F.col("p_key")) & (F.col("lo") == F.col("p_lo")) & (F.col("hi") == F.col("p_hi"))
+    other = (F.col("first_key") == F.col("q_key")) & (F.col("lo") - F.col("shift") == F.col("q_lo")) & (F.col("hi") - F.col("shift") == F.col("q_hi"))
+    both = runs.join(p, own).join(q, other).select(
+        "id", F.col("p_start").alias("start"), F.col("p_end").alias("end"), "first_id", F.col("q_start").alias("first_start"), "occurrences",
+        F.col("p_left").alias("left"), F.col("p_right").alias("right"), F.col("q_left").alias("first_left"), F.col("q_right").alias("first_right"),
+    )
+    inside = table.filter("pos is null").select("id", "start", "end", F.col("id").alias("first_id"), "first_start", F.col("n").alias("occurrences")).distinct()
+    return _extend(both).unionByName(inside).select(F.col("id").alias(id_col), "start", "end", F.col("first_id").alias(f"first_{id_col}"), "first_start", "occurrences")
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id_col``, ``start``, ``end`` of every removed unit, with the place that is kept and the number of occurrences."""
+    """``id_col``, ``start``, ``end`` of every removed unit and passage, with the place that is kept and the number of occurrences."""
     table = unit_table(df, id_col, text_col, unit, min_words)
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("occurrences")).filter("occurrences > 1")
     rest = table.join(first, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))))
-    return rest.select(F.col("id").alias(id_col), "start", "end", F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), "occurrences")
+    found = rest.select(F.col("id").alias(id_col), "start", "end", F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), "occurrences")
+    return found.unionByName(passages(df, id_col, text_col))
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with repeated units cut out, and ``removed``: their original (start, end)."""
+    """``df`` with repeated units and passages cut out, and ``removed``: their original (start, end)."""
     df = df.drop("removed")
     spans = repeats(df, id_col, text_col, unit, min_words).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     both = df.join(spans, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     text = F.col(text_col)
     zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc.text, F.substring(text, acc.at + 1, s.start - acc.at)).alias("text"), s.end.alias("at"))
+    step = lambda acc, s: F.struct(F.concat(acc.text, F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))).alias("text"), F.greatest(acc.at, s.end).alias("at"))
     cleaned = F.aggregate("removed", zero, step, lambda acc: F.concat(acc.text, F.substring(text, acc.at + 1, F.length(text))))
     return both.withColumn(text_col, F.when(F.col("removed").isNull(), text).otherwise(cleaned)).withColumn(
         "removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
