@@ -132,6 +132,17 @@ def test_shards(spark):
     assert [r.ord for r in got] == list(range(30, 40))
 
 
+def test_shards_in_range_partitions(spark):
+    df = spark.range(1003).selectExpr("cast(1002 - id as int) as ord").repartition(5)
+    out = features.contiguous_shards(df, "ord", 7)
+    assert "SinglePartition" not in out._jdf.queryExecution().sparkPlan().toString() and "ntile" not in out._jdf.queryExecution().toString()
+    got = {r.ord: r.shard_index for r in out.collect()}
+    sizes = [144, 144, 143, 143, 143, 143, 143]
+    assert got == dict(enumerate(i for i, n in enumerate(sizes) for _ in range(n)))
+    few = features.contiguous_shards(df.filter("ord < 3"), "ord", 7).collect()
+    assert sorted((r.ord, r.shard_index) for r in few) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_token_round_trip(spark):
     df = spark.createDataFrame([([1.0, -2.0, 0.0, 3.0],)], "v array<double>")
     q = df.select(tokens.quantise(tokens.l2_normalise(F.col("v")), 4).alias("q")).withColumn("t", tokens.bits_to_index(F.col("q")))

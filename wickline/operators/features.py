@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,12 +83,30 @@ def profile(df: DataFrame) -> DataFrame:
     return g.withColumn("label", F.when(F.col("spacing") < 60, "seconds").when(F.col("spacing") < 3600, "minutes").when(F.col("spacing") < 86400, "hours").otherwise("days"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage, so that range bounds are drawn once; a temporary folder is set only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wickline-"))
+    return df.checkpoint()
+
+
 def contiguous_shards(df: DataFrame, order: str, k: int) -> DataFrame:
     """Balanced contiguous shards by ``order``; the first n mod k are one larger.
 
-    For universes (thousands of names): one ordered series, as the order is global by definition.
+    Rows are numbered within range partitions, whose counts give the offsets: no task sees the whole series.
     """
-    return df.withColumn("shard_index", F.ntile(k).over(Window.orderBy(order)) - 1)
+    ranged = cut(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    other = counts.select(F.col("__part").alias("__other"), F.col("__n").alias("__m"))
+    sums = counts.crossJoin(F.broadcast(other)).groupBy("__part").agg(  # one row per partition
+        F.sum(F.when(F.col("__other") < F.col("__part"), F.col("__m")).otherwise(0)).alias("__before"), F.sum("__m").alias("__total")
+    )
+    at = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    size, larger = F.floor(F.col("__total") / k), F.col("__total") % k
+    split = larger * (size + 1)
+    index = F.when(F.col("__at") < split, F.floor(F.col("__at") / (size + 1))).otherwise(larger + F.floor((F.col("__at") - split) / F.greatest(size, F.lit(1))))
+    return ranged.join(F.broadcast(sums), "__part").withColumn("__at", at).withColumn("shard_index", index.cast("int")).drop("__part", "__before", "__total", "__at")
 
 
 def shard_check(manifests: DataFrame, shard_count: int) -> DataFrame:

@@ -206,9 +206,14 @@ def _(spark, sf):
     return features.contiguous_shards(src.read(spark, sf, "customer").filter("c_custkey <= 100"), "c_custkey", 7).select(F.col("c_name").alias("name"), "shard_index")
 
 
+@query("shards_whole", "select c_name as name, ntile(7) over (order by c_custkey) - 1 as shard_index from customer")
+def _(spark, sf):
+    return features.contiguous_shards(src.read(spark, sf, "customer"), "c_custkey", 7).select(F.col("c_name").alias("name"), "shard_index")
+
+
 @query("shard_manifest_check", "select 7 as shards, 7 as indexes, 0 as lo, 6 as hi, 1 as fingerprints, 0 as overlap, true as compatible")
 def _(spark, sf):
-    s = features.contiguous_shards(src.read(spark, sf, "customer").filter("c_custkey <= 100"), "c_custkey", 7)
+    s = features.contiguous_shards(src.read(spark, sf, "customer"), "c_custkey", 7)
     m = s.groupBy("shard_index").agg(F.collect_list("c_name").alias("symbols")).withColumn("fingerprint", F.lit("a"))
     return features.shard_check(m, 7)
 
