@@ -47,3 +47,8 @@ def test_same_rows(spark, con, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "mae" in df.columns
+
+
+def test_whole_vectors(spark):
+    assert KNOWN["ensemble_mean_whole"](spark, SF).count() == 64
+    assert {r.n for r in KNOWN["bsq_tokens_whole"](spark, SF).groupBy("vec_id").agg({"g": "count"}).toDF("vec_id", "n").collect()} == {4}

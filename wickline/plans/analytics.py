@@ -253,11 +253,15 @@ def _(spark, sf):
     return tokens.codebook(token_frame(spark, sf).withColumn("code", F.col("token").bitwiseAND(F.lit(255).cast("long"))), "code", 256)
 
 
-_LOGITS = f"v as (select vec_id, embedding[1:{DIM}]::double[] as e from embeddings), lg as (select vec_id, unnest(range(0, {DIM})) as i, unnest(e) as logit from v), sm as (select *, exp(logit - max(logit) over (partition by vec_id)) as ex from lg), pr as (select *, ex / sum(ex) over (partition by vec_id) as p from sm)"
+def _logits_sql(dim: int) -> str:
+    return f"v as (select vec_id, embedding[1:{dim}]::double[] as e from embeddings), lg as (select vec_id, unnest(range(0, {dim})) as i, unnest(e) as logit from v), sm as (select *, exp(logit - max(logit) over (partition by vec_id)) as ex from lg), pr as (select *, ex / sum(ex) over (partition by vec_id) as p from sm)"
 
 
-def logits(spark, sf):
-    return src.read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, DIM)).alias("i", "logit"))
+_LOGITS = _logits_sql(DIM)
+
+
+def logits(spark, sf, dim=DIM):
+    return src.read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, dim)).alias("i", "logit"))
 
 
 @query("softmax_topk", f"with {_LOGITS} select vec_id, i, {o.r('p')} from pr qualify rank() over (partition by vec_id order by logit desc) <= 5")
@@ -286,6 +290,75 @@ def _(spark, sf):
     return logits(spark, sf).groupBy(F.col("i").alias("step")).agg(F.avg("logit").alias("mean"))
 
 
+# the same over every entry of the vector, and codes of the whole vector in groups of DIM bits
+
+WHOLE = 64
+_LOGITS_WHOLE = _logits_sql(WHOLE)
+
+
+@query("softmax_topk_whole", f"with {_LOGITS_WHOLE} select vec_id, i, {o.r('p')} from pr qualify rank() over (partition by vec_id order by logit desc) <= 5")
+def _(spark, sf):
+    return tokens.top_k(tokens.softmax(logits(spark, sf, WHOLE), "vec_id", "logit"), "vec_id", "logit", 5).select("vec_id", "i", "p")
+
+
+@query("softmax_topp_whole", f"with {_LOGITS_WHOLE}, b as (select *, coalesce(sum(p) over (partition by vec_id order by logit desc, i rows between unbounded preceding and 1 preceding), 0) as mass_before from pr) select vec_id, i, {o.r('p')} from b where mass_before <= 0.5")
+def _(spark, sf):
+    return tokens.top_p(logits(spark, sf, WHOLE), "vec_id", "logit", 0.5, "i").select("vec_id", "i", "p")
+
+
+@query("greedy_token_whole", f"with {_LOGITS_WHOLE} select vec_id, arg_max(i, (logit, -i)) as token from lg group by vec_id")
+def _(spark, sf):
+    return logits(spark, sf, WHOLE).groupBy("vec_id").agg(F.max_by("i", F.struct("logit", -F.col("i"))).alias("token"))
+
+
+@query("sampled_token_whole", f"with {_LOGITS_WHOLE}, u as (select *, sum(p) over (partition by vec_id order by i rows unbounded preceding) as cdf, ('0x' || substr(sha256('7:' || vec_id), 1, 8))::ubigint / 4294967296.0 as u from pr) select vec_id, coalesce(min(i) filter (cdf > u), {WHOLE - 1}) as token from u group by vec_id")
+def _(spark, sf):
+    u = tokens.seed_of(7, F.col("vec_id").cast("string")) / 4294967296.0
+    return tokens.draw(tokens.softmax(logits(spark, sf, WHOLE), "vec_id", "logit"), "vec_id", "i", u)
+
+
+@query("ensemble_mean_whole", f"with {_LOGITS_WHOLE} select i as step, {o.r('avg(logit)', 'mean')} from lg group by i")
+def _(spark, sf):
+    return logits(spark, sf, WHOLE).groupBy(F.col("i").alias("step")).agg(F.avg("logit").alias("mean"))
+
+
+_GROUPS = f"""v as (select vec_id, embedding::double[] as e from embeddings), nrm as (select *, greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-12) as nn from v),
+  tok as (select vec_id, g, list_sum(list_transform(e[g * {DIM} + 1:(g + 1) * {DIM}], lambda x, i: case when x / nn > 0 then power(2, i - 1) else 0 end))::bigint as token from nrm, range(0, {WHOLE // DIM}) r(g))"""
+
+
+def whole_vectors(spark, sf):
+    v = src.read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return v.select("vec_id", tokens.quantise(tokens.l2_normalise(F.col("e")), WHOLE).alias("q"))
+
+
+def group_tokens(spark, sf):
+    parts = whole_vectors(spark, sf).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(WHOLE // DIM - 1))).alias("g"), "q").withColumn("q", F.slice("q", F.col("g") * DIM + 1, F.lit(DIM)))
+    return parts.withColumn("token", tokens.bits_to_index(F.col("q")))
+
+
+@query("bsq_tokens_whole", f"with {_GROUPS} select vec_id, g, token from tok")
+def _(spark, sf):
+    return group_tokens(spark, sf).select("vec_id", "g", "token")
+
+
+@query("bsq_roundtrip_whole", f"with {_GROUPS} select vec_id, g, true as same, round(bit_count(token) * 2 / sqrt({WHOLE}) - {DIM} / sqrt({WHOLE}), 6) + 0.0 as total from tok")
+def _(spark, sf):
+    unit = math.sqrt(DIM / WHOLE)
+    t = group_tokens(spark, sf).withColumn("again", F.transform(tokens.index_to_vector(F.col("token"), DIM), lambda x: x * unit))
+    return t.select("vec_id", "g", (F.col("again") == F.col("q")).alias("same"), F.aggregate("again", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("token_split_whole", f"with {_GROUPS} select vec_id, g, token >> 8 as high, token & 255 as low from tok")
+def _(spark, sf):
+    high, low = tokens.split_token(F.col("token"), 8)
+    return group_tokens(spark, sf).select("vec_id", "g", high.alias("high"), low.alias("low"))
+
+
+@query("codebook_entropy_whole", f"with {_GROUPS}, g as (select token as code, count(*) as n from tok group by 1), p as (select n, n / (select sum(n) from g) as p from g) select count(*) as used_codes, sum(n)::bigint as total, {o.r('-sum(p * ln(p + 1e-8))', 'entropy')}, {o.r(f'-sum(p * ln(p + 1e-8)) / ln({1 << DIM})', 'share')} from p")
+def _(spark, sf):
+    return tokens.codebook(group_tokens(spark, sf).withColumn("code", F.col("token")), "code", 1 << DIM)
+
+
 @query("cohort_seed", "select distinct strftime(o_orderdate, '%Y-%m-%d') as day, ('0x' || substr(sha256('20260802:' || strftime(o_orderdate, '%Y-%m-%d')), 1, 8))::ubigint::bigint as seed from orders")
 def _(spark, sf):
     d = src.read(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()

@@ -10,7 +10,7 @@ from wickline.operators import indicators
 from wickline.operators import parsing as ps
 from wickline.operators import portfolio as pf
 from wickline.plans import oracle as o
-from wickline.plans.analytics import _SIG, _STRENGTH, DIM, T, W6, _VEC, token_frame
+from wickline.plans.analytics import _SIG, _STRENGTH, DIM, T, W6, _GROUPS, _VEC, WHOLE, token_frame, whole_vectors
 from wickline.plans.evaluation import ARGS6, HORIZON, parts
 from wickline.plans.registry import query
 from wickline.sources import candles as src
@@ -90,6 +90,11 @@ def _(spark, sf):
     return token_frame(spark, sf).select("vec_id", F.array_join(pf.group_codes(F.col("q"), 4, DIM // 4).cast("array<string>"), ",").alias("codes"))
 
 
+@query("group_codes_whole", f"with {_GROUPS} select vec_id, array_to_string(list_transform(range(0, {WHOLE // 4}), lambda g: list_sum(list_transform(range(0, 4), lambda k: case when e[g * 4 + k + 1] > 0 then power(2, 3 - k) else 0 end))::bigint), ',') as codes from nrm")
+def _(spark, sf):
+    return whole_vectors(spark, sf).select("vec_id", F.array_join(pf.group_codes(F.col("q"), WHOLE // 4, 4).cast("array<string>"), ",").alias("codes"))
+
+
 @query("seeded_sample", "select vec_id, label from embeddings order by sha256('11:' || vec_id), vec_id limit 50")
 def _(spark, sf):
     return pf.seeded_sample(src.read(spark, sf, "embeddings"), 11, "vec_id", 50).select("vec_id", "label")
