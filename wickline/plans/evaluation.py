@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wickline.config import EvaluationConfig
 from wickline.operators import evaluation as ev
 from wickline.operators import quality as ql
 from wickline.plans import oracle as o
@@ -264,10 +265,10 @@ def _(spark, sf):
     return ev.paired(metrics(spark, sf), SPECS).groupBy("comparison_id").agg(F.avg((F.col("difference") < 0).cast("double")).alias("win_rate"), F.count("*").alias("windows"))
 
 
-def _boot(cluster: str, seed: int) -> str:
+def _boot(cluster: str, seed: int, draws: int = DRAWS) -> str:
     return f"""s_{cluster} as (select comparison_id, cast({cluster} as varchar) as cluster, sum(difference) as s, count(*) as n from pr where difference is not null group by all),
     o_{cluster} as (select *, row_number() over (partition by comparison_id order by cluster) - 1 as i, count(*) over (partition by comparison_id) as k from s_{cluster}),
-    p_{cluster} as (select comparison_id, draw, ('0x' || substr(sha256('{seed}:' || draw || ':' || place), 1, 8))::ubigint % k as i from (select distinct comparison_id, k from o_{cluster} where k >= 2), range(0, {DRAWS}) a(draw), lateral (select unnest(range(0, k)) as place)),
+    p_{cluster} as (select comparison_id, draw, ('0x' || substr(sha256('{seed}:' || draw || ':' || place), 1, 8))::ubigint % k as i from (select distinct comparison_id, k from o_{cluster} where k >= 2), range(0, {draws}) a(draw), lateral (select unnest(range(0, k)) as place)),
     q_{cluster} as (select comparison_id, draw, sum(s) / sum(n) as mm from p_{cluster} p join o_{cluster} o using (comparison_id, i) group by all),
     b_{cluster} as (select comparison_id, quantile_cont(mm, 0.025) as lower, quantile_cont(mm, 0.975) as upper from q_{cluster} group by all),
     i_{cluster} as (select k.comparison_id, '{cluster}' as cluster_column, k.k >= 2 as available, k.n_rows, k.k as clusters, k.mean_difference, b.lower, b.upper
@@ -277,9 +278,13 @@ def _boot(cluster: str, seed: int) -> str:
 _INT = f"{o.metrics(*ARGS6)}, {_PAIRS}, {_boot('candidate_month', SEED)}, {_boot('symbol', SEED + 1)}, iv as (select * from i_candidate_month union all select * from i_symbol)"
 
 
-def intervals(spark, sf):
+WHOLE = EvaluationConfig().draws
+_INT_WHOLE = f"{o.metrics(*ARGS6)}, {_PAIRS}, {_boot('candidate_month', SEED, WHOLE)}, {_boot('symbol', SEED + 1, WHOLE)}, iv as (select * from i_candidate_month union all select * from i_symbol)"
+
+
+def intervals(spark, sf, draws=DRAWS):
     pairs = ev.paired(metrics(spark, sf), SPECS)
-    return ev.bootstrap(pairs, "candidate_month", DRAWS, SEED).unionByName(ev.bootstrap(pairs, "symbol", DRAWS, SEED + 1))
+    return ev.bootstrap(pairs, "candidate_month", draws, SEED).unionByName(ev.bootstrap(pairs, "symbol", draws, SEED + 1))
 
 
 @query("bootstrap_intervals", f"with {_INT} select comparison_id, cluster_column, available, n_rows, clusters, {o.r('mean_difference')}, {o.r('lower')}, {o.r('upper')} from iv")
@@ -290,3 +295,13 @@ def _(spark, sf):
 @query("decisions", f"with {_INT} select comparison_id, case when min(available::int) = 1 and max(upper) < 0 then 'robustly_better' when min(available::int) = 1 and min(lower) > 0 then 'robustly_worse' else 'mixed_or_inconclusive' end as decision from iv group by comparison_id")
 def _(spark, sf):
     return ev.decisions(intervals(spark, sf))
+
+
+@query("bootstrap_intervals_whole", f"with {_INT_WHOLE} select comparison_id, cluster_column, available, n_rows, clusters, {o.r('mean_difference')}, {o.r('lower')}, {o.r('upper')} from iv")
+def _(spark, sf):
+    return intervals(spark, sf, WHOLE)
+
+
+@query("decisions_whole", f"with {_INT_WHOLE} select comparison_id, case when min(available::int) = 1 and max(upper) < 0 then 'robustly_better' when min(available::int) = 1 and min(lower) > 0 then 'robustly_worse' else 'mixed_or_inconclusive' end as decision from iv group by comparison_id")
+def _(spark, sf):
+    return ev.decisions(intervals(spark, sf, WHOLE))
