@@ -240,6 +240,15 @@ def test_lines(spark):
     assert lines.remove(df.limit(0)).count() == 0
 
 
+def test_long_lines_are_decoded_whole():
+    finder = pii.Finder(pii.train(pii.training_table()))
+    code = "0123456789abcdef0123456789abcdefa1"
+    for n in (1018, 1019, 1020, 1021, 1022, 1023, 1024, 2046, 5000):
+        text = "word " * n + f'token = "{code}" and (415) 555-2671 more words'
+        found = [(k, text[a:b]) for k, a, b in finder.added([text])[0]]
+        assert found == [("secret", code), ("phone", "(415) 555-2671")], n
+
+
 def test_passages_inside_sentences(spark):
     """A passage glued to differing words, without any sentence of its own, is found from end to end."""
     r = random.Random(31)

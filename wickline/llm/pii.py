@@ -8,8 +8,8 @@ log-likelihood (forward-backward) over a small labelled table made from fixed te
 and decoded by Viterbi over padded numpy batches of lines.
 
 A line made of letters, full stops and commas only is all ``O`` whenever the trained weights prove it
-(``Field.plain_is_outside``), and is not decoded then. Lines longer than ``MAX_LINE`` tokens are decoded in
-pieces of that many tokens. Added spans never overlap a span of the patterns.
+(``Field.plain_is_outside``), and is not decoded then. Every line is decoded whole,
+whatever its length. Added spans never overlap a span of the patterns.
 
 Defined results: null text counts as empty and has no span; offsets are code points with an exclusive end;
 repeated rows have equal spans; an empty table gives an empty result; other columns pass through,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-MAX_LINE = 1024
+RESCALE = 1024
 BATCH_TOKENS = 1 << 15
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -216,6 +216,8 @@ class Field:
             back[:, i] = step.argmax(axis=1)
             new = step.max(axis=1) + e[:, i]
             best = np.where((i < lengths)[:, None], new, best)
+            if i % RESCALE == 0:  # only differences between tags matter; keeps long lines exact
+                best = best - best.max(axis=1, keepdims=True)
         out = np.zeros((n, length), np.int8)
         tag = best.argmax(axis=1).astype(np.int8)
         for i in range(length - 1, -1, -1):
@@ -311,8 +313,8 @@ class Finder:
             for line in text.split("\n"):
                 if line and not (self.skip_plain and not _SPECIAL.search(line)):
                     toks, starts, ends = _tokens(line)
-                    for a in range(0, len(toks), MAX_LINE):
-                        lines.append((d, at, toks[a : a + MAX_LINE], starts[a : a + MAX_LINE], ends[a : a + MAX_LINE]))
+                    if toks:
+                        lines.append((d, at, toks, starts, ends))
                 at += len(line) + 1
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         lines.sort(key=lambda x: len(x[2]))
