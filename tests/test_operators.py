@@ -132,6 +132,16 @@ def test_shards(spark):
     assert [r.ord for r in got] == list(range(30, 40))
 
 
+def test_factor_change_inside_the_target(spark):
+    rows = [("A", i, 10.0, 12.0, 9.0, 11.0, 5.0, 0.5 if i < 8 else 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, open double, high double, low double, close double, volume double, factor double")
+    got = {r.ts: (r.context_changed, r.target_changed, r.exposure_bucket) for r in adjust.window_exposure(df, 3, 2).collect()}
+    assert got[5] == (False, False, "no_material_change") and got[6] == got[7] == (False, True, "material_factor_change")
+    assert got[8] == got[9] == (True, False, "material_factor_change") and set(got) == set(range(10))
+    t = {(r.origin, r.horizon_step): (r.open, r.high, r.low, r.close, r.volume) for r in adjust.target_rows(df, 2).collect()}
+    assert t[6, 1] == (10.0, 12.0, 9.0, 11.0, 5.0) and t[6, 2] == (20.0, 24.0, 18.0, 22.0, 5.0) and len(t) == 20
+
+
 def test_shards_in_range_partitions(spark):
     df = spark.range(1003).selectExpr("cast(1002 - id as int) as ord").repartition(5)
     out = features.contiguous_shards(df, "ord", 7)

@@ -41,9 +41,34 @@ def rebase(df: DataFrame, origins: DataFrame) -> DataFrame:
 
 
 def exposure(df: DataFrame, lookback: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """Largest factor step inside the lookback window of each bar, and its bucket."""
+    """Largest factor step inside the lookback window of each bar, and the bucket of the context alone."""
     step = F.abs(F.log(F.col("factor")) - F.log(F.lag("factor").over(by_time())))
     stepped = df.withColumn("log_step", step)
     worst = F.max("log_step").over(by_time().rowsBetween(-(lookback - 2), 0))
     out = stepped.withColumn("context_max_abs_log_step", F.coalesce(worst, F.lit(0.0)))
     return out.withColumn("exposure_bucket", F.when(F.col("context_max_abs_log_step") > tolerance, "material_factor_change").otherwise("no_material_change"))
+
+
+def target_rows(df: DataFrame, horizon: int) -> DataFrame:
+    """Every bar as an origin with its ``horizon`` next bars, joined after prediction only; origins near the end have none.
+
+    Target prices are multiplied by the target's factor over the origin's; volume raw; amount anew; envelope kept.
+    """
+    bar = F.struct("ts", "open", "high", "low", "close", "volume", "factor")
+    ahead = F.collect_list(bar).over(by_time().rowsBetween(1, horizon))
+    origins = df.select("symbol", F.col("ts").alias("origin"), F.col("factor").alias("origin_factor"), ahead.alias("ahead")).filter(F.size("ahead") == horizon)
+    long = origins.select("symbol", "origin", "origin_factor", F.posexplode("ahead").alias("pos", "x"))
+    out = long.select("symbol", "origin", "origin_factor", (F.col("pos") + 1).cast("long").alias("horizon_step"), "x.*")
+    out = out.withColumns({c: F.col(c) * (F.col("factor") / F.col("origin_factor")) for c in ("open", "high", "low", "close")})
+    out = out.withColumn("high", F.greatest("high", "open", "close", "low"))
+    out = out.withColumn("low", F.least("low", "open", "close", "high"))
+    return out.withColumn("amount", typical_amount(F.col("high"), F.col("low"), F.col("close"), F.col("volume")))
+
+
+def window_exposure(df: DataFrame, lookback: int, horizon: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per origin the largest factor step of its context and the largest distance of a target's factor from the origin's."""
+    far = F.max(F.abs(F.log(F.col("factor") / F.col("origin_factor")))).alias("target_max_abs_log_factor")
+    targets = target_rows(df, horizon).groupBy("symbol", F.col("origin").alias("ts")).agg(far)
+    both = exposure(df, lookback, tolerance).drop("exposure_bucket").join(targets, ["symbol", "ts"])
+    both = both.withColumn("context_changed", F.col("context_max_abs_log_step") > tolerance).withColumn("target_changed", F.col("target_max_abs_log_factor") > tolerance)
+    return both.withColumn("exposure_bucket", F.when(F.col("context_changed") | F.col("target_changed"), "material_factor_change").otherwise("no_material_change"))

@@ -46,6 +46,26 @@ def _(spark, sf):
     return adjust.exposure(factored(spark, sf), 52).select("symbol", "ts", "context_max_abs_log_step", "exposure_bucket")
 
 
+HORIZON = 4
+_TARGETS = f"""{FACTORS}, nb as (select *, row_number() over (partition by symbol order by ts) as rn, count(*) over (partition by symbol) as nn from f),
+  tg as (select g.symbol, g.ts as origin, t.rn - g.rn as horizon_step, t.ts, t.volume, t.factor / g.factor as scale, t.open * (t.factor / g.factor) as o1, t.high * (t.factor / g.factor) as h1, t.low * (t.factor / g.factor) as l1, t.close * (t.factor / g.factor) as c1
+    from nb g join nb t on g.symbol = t.symbol and t.rn between g.rn + 1 and g.rn + {HORIZON} where g.rn + {HORIZON} <= g.nn)"""
+
+
+@query("rebased_target", f"with {_TARGETS}, t2 as (select *, greatest(h1, o1, c1, l1) as h2 from tg), t3 as (select *, least(l1, o1, c1, h2) as l2 from t2) select symbol, {o.d('origin')}, horizon_step, {T}, {o.r('o1', 'open')}, {o.r('h2', 'high')}, {o.r('l2', 'low')}, {o.r('c1', 'close')}, {o.r('volume')}, round((h2 + l2 + c1) / 3 * volume, 3) + 0.0 as amount from t3")
+def _(spark, sf):
+    t = adjust.target_rows(factored(spark, sf), HORIZON)
+    return t.select("symbol", "origin", "horizon_step", "ts", "open", "high", "low", "close", "volume", F.round("amount", 3).alias("amount"))
+
+
+@query("exposure_windows", f"""with {_TARGETS}, st as (select *, abs(ln(factor) - ln(lag(factor) over (partition by symbol order by ts))) as s from f), cx as (select symbol, ts, coalesce(max(s) over (partition by symbol order by ts rows between 50 preceding and current row), 0) as m from st),
+  tx as (select symbol, origin as ts, max(abs(ln(scale))) as w from tg group by all)
+  select symbol, {T}, {o.r('m', 'context_max_abs_log_step')}, {o.r('w', 'target_max_abs_log_factor')}, m > 1e-6 as context_changed, w > 1e-6 as target_changed, case when m > 1e-6 or w > 1e-6 then 'material_factor_change' else 'no_material_change' end as exposure_bucket from cx join tx using (symbol, ts)""")
+def _(spark, sf):
+    x = adjust.window_exposure(factored(spark, sf), 52, HORIZON)
+    return x.select("symbol", "ts", "context_max_abs_log_step", "target_max_abs_log_factor", "context_changed", "target_changed", "exposure_bucket")
+
+
 # ---------------------------------------------------------------- indicators
 
 _MA = """ma as (select *, {five} as ma5, {twenty} as ma20, {sixty} as ma60, {vol} as vol5, count(*) over (partition by symbol order by ts rows between 19 preceding and current row) as rows20,
