@@ -151,6 +151,12 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_shared_counts_cover_every_word_of_the_corpus(spark):
+    rows = [(1, "red fox red fox"), (2, "Blue fox, red hen"), (3, "blue fox, red hen"), (4, None), (5, "")]
+    got = {r.w: r.n for r in toxicity.shared_counts(docs_of(spark, rows), "text").collect()}
+    assert got == {"red": 2, "fox": 2, "blue": 1, "hen": 1}
+
+
 def test_sharding(spark, awkward):
     df = docs_of(spark, awkward + [(i, prose(i % 50, i)) for i in range(20, 700)])
     rows = sharding.records(df, slots=512)

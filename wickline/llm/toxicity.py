@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import cut
+from wickline.llm.common import cut, fresh_path
 
 MAX_DOCS = 4000
 DISCOUNT = 0.75
@@ -86,26 +85,22 @@ def _g2(k1: Column, k0: Column, share: Column) -> Column:
     return 2 * (part(k1, n * share) + part(k0, n * (1 - share)))
 
 
-def shared_counts(docs: DataFrame, text_col: str, vocabulary: frozenset[str]) -> tuple[dict[str, int], int]:
-    """Corpus counts of the given words over all documents, and the number of all words."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the labelled sample
+def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``w`` and ``n``: the distinct left neighbours of every word of the corpus, as a written table that grows with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = held.value
         for b in batches:
-            seen: Counter[str] = Counter()
-            n = 0
-            for t in b.column(0):
-                w = words(t.as_py())
-                n += len(w)
-                if not keep.isdisjoint(w):
-                    seen.update(x for x in w if x in keep)
-            rows = [(START, n), *seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["w", "n"])
+            for at in range(0, b.num_rows, 256):
+                seen: set[tuple[str, str]] = set()
+                for t in b.column(0).slice(at, 256):
+                    w = words(t.as_py())
+                    seen.update(zip([START, *w], w))
+                yield pa.RecordBatch.from_arrays([pa.array([x for _, x in seen], pa.string()), pa.array([h for h, _ in seen], pa.string())], names=["w", "h"])
 
-    counts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    found = {r["w"]: r["n"] for r in counts.collect()}
-    return found, found.pop(START, 0)
+    pairs = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "w string, h string").select("w", F.xxhash64("h").alias("h")).distinct()
+    path = fresh_path(docs.sparkSession, "word-counts")
+    pairs.groupBy("w").agg(F.count("*").alias("n")).write.parquet(path)
+    return docs.sparkSession.read.schema("w string, n long").parquet(path)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> dict:
@@ -128,14 +123,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = ((k1 + 0.5) / (total[1] + 0.5)) / ((k0 + 0.5) / (total[0] + 0.5))
     strong = (odds >= MIN_RATIO) | (odds <= 1 / MIN_RATIO)
     kept = {r["w"]: {1: r["k1"], 0: r["k0"]} for r in one.filter((_g2(k1, k0, F.lit(share)) >= MIN_G2) & strong).collect()}
-    shared, n_all = shared_counts(docs, text_col, frozenset(kept))
+    corpus = shared_counts(docs, text_col)
+    size = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
+    back_of = lambda n: ((n or 0) + 1) / (size["n"] + size["types"] + 1)
+    spark = docs.sparkSession
+    listed = spark.createDataFrame([(w,) for w in kept], "w string")  # bounded by the labelled sample
+    shared = {r["w"]: r["n"] for r in corpus.join(F.broadcast(listed), "w").collect()}
     prob = {}
     for w, k in kept.items():
-        back = (shared.get(w, 0) + 1) / (n_all + len(kept) + 1)
+        back = back_of(shared.get(w))
         prob[w] = {y: (max(k[y] - DISCOUNT, 0) + DISCOUNT * types[y] * back) / total[y] for y in (1, 0)}
     log_one = {w: math.log(p[1] / p[0]) for w, p in prob.items()}
     # word pairs that differ from what their word already says
-    spark = docs.sparkSession
     says = spark.createDataFrame([(w, float(p[1]), float(p[0])) for w, p in prob.items()], "w string, p1 double, p0 double")
     known = pairs.join(says, "w", "left")
     expected = F.coalesce(F.col("p1") * total[1] / (F.col("p1") * total[1] + F.col("p0") * total[0]), F.lit(share))
@@ -143,10 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = known.filter((_g2(k1, k0, expected) >= MIN_G2) & ((ratio >= MIN_RATIO) | (ratio <= 1 / MIN_RATIO)))
     by_h = pairs.groupBy("h").agg(*[F.sum(f"k{k}").alias(f"c{k}") for k in (1, 0)], *[F.sum((F.col(f"k{k}") > 0).cast("int")).alias(f"n{k}") for k in (1, 0)])
     log_two = {}
-    for r in own.join(by_h, "h").collect():
+    mine = cut(own.join(by_h, "h"))  # bounded by the labelled sample
+    for r in corpus.join(F.broadcast(mine), "w", "right").collect():
         p = {}
         for y in (1, 0):
-            low = prob[r["w"]][y] if r["w"] in prob else (r["k1"] + r["k0"]) / (total[1] + total[0])
+            low = prob[r["w"]][y] if r["w"] in prob else back_of(r["n"])
             p[y] = (max(r[f"k{y}"] - DISCOUNT, 0) + DISCOUNT * max(r[f"n{y}"], 1) * low) / max(r[f"c{y}"], 1.0)
         log_two[r["h"], r["w"]] = math.log(p[1] / p[0])
     model = flat | {"one": log_one, "two": log_two}
