@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,15 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a temporary folder is
-    made and set.
+    Where the session leaves it unset, a temporary folder is made and set if everything runs on
+    this machine (tests); on a cluster that is an error, as executors could not reach such a folder.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = tempfile.mkdtemp(prefix="wickline-")
-            spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="wickline-")
+        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
@@ -41,6 +44,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``fresh_path`` named, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of the row itself: its id together with 128 bits of its text.
+
+    Rows share a key only if id and text are equal, so that null or repeated ids never
+    join rows of different texts.
+    """
+    text = F.col(text_col).cast("string")
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(7), text)))
+
+
+def pieces(column: pa.Array, rows: int = 512, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges (first, number) of the rows of a string column that hold at most ``rows`` rows
+    and, unless it is a single row, ``size`` bytes: bounded scratch space whatever the texts."""
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
+    at = 0
+    while at < len(column):
+        stop = min(at + rows, len(column))
+        stop = max(at + 1, min(stop, int(np.searchsorted(ends, ends[at] + size, "right")) - 1))
+        yield at, stop - at
+        at = stop
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(
         F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")

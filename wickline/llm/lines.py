@@ -1,14 +1,13 @@
-"""Removal of repeated text units (lines, paragraphs or sentences of lines) by hashing.
+"""Removal of repeated text units (paragraphs or lines) and passages by hashing.
 
 Every unit is normalised (lower case, single spaces, no outer marks) and hashed to 128 bits. Digests are
 grouped globally: a pre-aggregated minimum finds the earliest occurrence (smallest id, then smallest
 offset) of each digest that occurs more than once, and is joined back to the occurrences; all but the
 earliest are removed. Offsets are code points of the original text. No digest's occurrences ever meet in
-one list, so that a line that is everywhere is no hot group; the join back can be split.
+one list, so that a unit that is everywhere is no hot group; the join back can be split. A paragraph is a run of lines with
+something on them. Units without any word are no repetition and stay; ``min_words`` may ask for more words (default: one).
 
-Units of fewer than ``min_words`` words (list marks, closing words) are no repetition and stay.
-
-A repeated passage that starts or ends inside a unit has its first and last pieces glued to differing words. Passages are
+A repeated passage that starts or ends inside a unit is no unit of its own. Passages are
 therefore also found by their own words, wherever they start: hashes of ``GRAM`` words are winnowed (the smallest
 of every ``SPREAD`` in a row is taken), so that any two texts that share ``GRAM + SPREAD - 1`` = 50 words share a taken hash. Taken
 hashes are grouped globally like units; a text's first occurrence is set against the earliest one of all, a later one against that
@@ -16,8 +15,9 @@ before it in the same text; overlapping finds of one alignment are joined to one
 word, up to ``SPREAD`` words at both ends. ``occurrences`` of a run inside one text are those in that text.
 Rows of units and of passages may overlap.
 
-Defined results: null and empty texts have no unit; a row whose id is null is ranked first; repeated rows
-are separate occurrences only if their ids differ, equal (id, offset) pairs count as one; an empty table
+Rows are told apart by id and text together. Defined results: null and empty texts have no unit; a row whose id is null is
+ranked last; of rows with equal id and text, one counts and all are cut alike; rows that share an id but not the text are separate
+occurrences, ranked by id and then by a hash of the text; texts of any length are read whole, in time linear in their length; an empty table
 gives an empty result; other columns are ignored by ``repeats`` and pass through ``remove``,
 one named ``removed`` is replaced.
 """
@@ -30,52 +30,79 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import fresh_path
+from wickline.llm.common import fresh_path, pieces
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 GRAM, SPREAD = 26, 25
-FLUSH_WORDS = 200_000
-UNITS = {
-    "line": re.compile(r"[^\n]+"),
-    "paragraph": re.compile(r"(?:[^\n]+\n?)+"),
-    "sentence": re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)"),
-}
+FLUSH_WORDS = 100_000
+UNITS = ("paragraph", "line")
 _WORD = re.compile(r"\S+")
 OUTER = " \t.,;:!?\"'()[]{}<>|-*#$%&"
 
 
-def units(text: str, unit: str = "sentence", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+def _spans(text: str, unit: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines with something on them, or of their runs."""
+    at, first, last = 0, None, 0
+    for line in text.split("\n"):
+        full = bool(line) and not line.isspace()
+        if unit == "line":
+            if full:
+                yield at, at + len(line)
+        elif full:
+            first, last = at if first is None else first, at + len(line)
+        elif first is not None:
+            yield first, last
+            first = None
+        at += len(line) + 1
+    if first is not None:
+        yield first, last
+
+
+def units(text: str, unit: str = "paragraph", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit with enough words."""
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {UNITS}")
     out = []
-    for m in UNITS[unit].finditer(text):
-        words = m.group().lower().split()
-        if len(words) >= min_words:
-            out.append((m.start(), m.end(), xxhash.xxh3_128_digest(" ".join(words).strip(OUTER).encode("utf-8", "surrogatepass"))))
+    for start, end in _spans(text, unit):
+        words = text[start:end].lower().split()
+        bare = " ".join(words).strip(OUTER)
+        if bare and len(words) >= min_words:
+            out.append((start, end, xxhash.xxh3_128_digest(bare.encode("utf-8", "surrogatepass"))))
     return out
 
 
-def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id``, ``start``, ``end`` and the digest ``h1``, ``h2`` of every unit."""
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``key`` (of id and text) and text ``t`` of every row."""
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("t"))
+
+
+def unit_table(rows: DataFrame, unit: str = "paragraph", min_words: int = MIN_WORDS) -> DataFrame:
+    """``id``, ``key``, ``start``, ``end`` and the digest ``h1``, ``h2`` of every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found = [units(t or "", unit, min_words) for t in part.column(1).to_pylist()]
+            for first, n in pieces(b.column(2)):
+                part = b.slice(first, n)
+                found = [units(t or "", unit, min_words) for t in part.column(2).to_pylist()]
                 flat = [u for x in found for u in x]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                own = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
                 h = np.frombuffer(b"".join(u[2] for u in flat), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([u[0] for u in flat], pa.int32()), pa.array([u[1] for u in flat], pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                    names=["id", "start", "end", "h1", "h2"],
+                    [part.column(0).take(own), part.column(1).take(own), pa.array([u[0] for u in flat], pa.int32()), pa.array([u[1] for u in flat], pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
+                    names=["id", "key", "start", "end", "h1", "h2"],
                 )
 
-    fields = [T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, T.IntegerType()) for n in ("start", "end")), *(T.StructField(n, T.LongType()) for n in ("h1", "h2"))]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, T.StructType(fields))
+    fields = [rows.schema["id"], rows.schema["key"], *(T.StructField(n, T.IntegerType()) for n in ("start", "end")), *(T.StructField(n, T.LongType()) for n in ("h1", "h2"))]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def _rank() -> Column:
+    """The order of occurrences: by id, null ids last."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
 
 
 class _Words(dict):
@@ -266,7 +293,7 @@ def _extend(df: DataFrame) -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays([pa.array(moved[n], pa.int32()) if n in moved else b.column(n) for n in names], names=names)
 
-    names = ["id", "start", "end", "first_id", "first_start", "occurrences"]
+    names = ["id", "key", "start", "end", "first_id", "first_start", "occurrences"]
     return df.mapInArrow(run, T.StructType([df.schema[n] for n in names]))
 
 
@@ -276,15 +303,14 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``repeats`` for passages, wherever they start and end."""
-    text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("t"))
-    table = _written(seed_table(docs), "seeds")
+def _passages(rows: DataFrame) -> DataFrame:
+    """``id``, ``key``, ``start``, ``end``, ``first_id``, ``first_start`` and ``occurrences`` of passages, wherever they start and end."""
+    table = _written(seed_table(rows), "seeds")
     seeds = table.filter("pos is not null").select("id", "key", "pos", "h1", "h2", "n")
-    first = seeds.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos", "key")).alias("first"), F.sum("n").alias("occurrences"), F.count("*").alias("places")).filter("places > 1")
-    rest = seeds.drop("n").join(first, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
-    rest = rest.select("id", "key", "pos", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), (F.col("pos") - F.col("first.pos")).alias("shift"), "occurrences")
+    first = seeds.groupBy("h1", "h2").agg(F.min(F.struct(_rank().alias("rank"), "pos")).alias("first"), F.sum("n").alias("occurrences"), F.count("*").alias("places")).filter("places > 1")
+    first = first.select("h1", "h2", F.col("first.rank.id").alias("first_id"), F.col("first.rank.key").alias("first_key"), F.col("first.pos").alias("first_pos"), "occurrences")
+    rest = seeds.drop("n").join(first, ["h1", "h2"]).filter("key <> first_key")
+    rest = rest.select("id", "key", "pos", "first_id", "first_key", (F.col("pos") - F.col("first_pos")).alias("shift"), "occurrences")
     alike = ["key", "first_key", "shift"]
     line = Window.partitionBy(*alike).orderBy("pos")  # one text's finds of one alignment
     new = F.coalesce(F.col("pos") - F.lag("pos").over(line) > GRAM, F.lit(True)).cast("int")
@@ -294,37 +320,62 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     back = [(F.col(c) - F.col("shift")).alias(c) for c in ("lo", "hi")]
     ranges = runs.select("key", "lo", "hi").union(runs.select("first_key", *back))
     wanted = ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("wanted"))
-    once = docs.join(wanted, "key").dropDuplicates(["key"]).select("key", "t", "wanted")
+    once = rows.join(wanted, "key").dropDuplicates(["key"]).select("key", "t", "wanted")
     places = _written(_surroundings(once), "places")
     p, q = (places.select(*[F.col(c).alias(f"{side}{c}") for c in places.columns]) for side in ("p_", "q_"))
     own = (F.col("key") == F.col("p_key")) & (F.col("lo") == F.col("p_lo")) & (F.col("hi") == F.col("p_hi"))
     other = (F.col("first_key") == F.col("q_key")) & (F.col("lo") - F.col("shift") == F.col("q_lo")) & (F.col("hi") - F.col("shift") == F.col("q_hi"))
     both = runs.join(p, own).join(q, other).select(
-        "id", F.col("p_start").alias("start"), F.col("p_end").alias("end"), "first_id", F.col("q_start").alias("first_start"), "occurrences",
+        "id", "key", F.col("p_start").alias("start"), F.col("p_end").alias("end"), "first_id", F.col("q_start").alias("first_start"), "occurrences",
         F.col("p_left").alias("left"), F.col("p_right").alias("right"), F.col("q_left").alias("first_left"), F.col("q_right").alias("first_right"),
     )
-    inside = table.filter("pos is null").select("id", "start", "end", F.col("id").alias("first_id"), "first_start", F.col("n").alias("occurrences")).distinct()
-    return _extend(both).unionByName(inside).select(F.col("id").alias(id_col), "start", "end", F.col("first_id").alias(f"first_{id_col}"), "first_start", "occurrences")
+    inside = table.filter("pos is null").select("id", "key", "start", "end", F.col("id").alias("first_id"), "first_start", F.col("n").alias("occurrences")).distinct()
+    return _extend(both).unionByName(inside)
+
+
+def _found(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """Removed units and passages, with the key of their row."""
+    table = _written(unit_table(rows, unit, min_words), "units")
+    first = table.groupBy("h1", "h2").agg(F.min(F.struct(_rank().alias("rank"), "start")).alias("first"), F.count("*").alias("occurrences")).filter("occurrences > 1")
+    first = first.select("h1", "h2", F.col("first.rank.id").alias("first_id"), F.col("first.rank.key").alias("first_key"), F.col("first.start").alias("first_start"), "occurrences")
+    rest = table.join(first, ["h1", "h2"]).filter("key <> first_key or start <> first_start")
+    return rest.select("id", "key", "start", "end", "first_id", "first_start", "occurrences").unionByName(_passages(rows))
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def _named(found: DataFrame, id_col: str) -> DataFrame:
+    return found.select(F.col("id").alias(id_col), "start", "end", F.col("first_id").alias(f"first_{id_col}"), "first_start", "occurrences")
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``repeats`` for passages, wherever they start and end."""
+    return _named(_passages(_rows(df, id_col, text_col)), id_col)
+
+
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "paragraph", min_words: int = MIN_WORDS) -> DataFrame:
     """``id_col``, ``start``, ``end`` of every removed unit and passage, with the place that is kept and the number of occurrences."""
-    table = unit_table(df, id_col, text_col, unit, min_words)
-    first = table.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("occurrences")).filter("occurrences > 1")
-    rest = table.join(first, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))))
-    found = rest.select(F.col("id").alias(id_col), "start", "end", F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), "occurrences")
-    return found.unionByName(passages(df, id_col, text_col))
+    return _named(_found(_rows(df, id_col, text_col), unit, min_words), id_col)
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "paragraph", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with repeated units and passages cut out, and ``removed``: their original (start, end)."""
     df = df.drop("removed")
-    spans = repeats(df, id_col, text_col, unit, min_words).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    both = df.join(spans, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    text = F.col(text_col)
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc.text, F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))).alias("text"), F.greatest(acc.at, s.end).alias("at"))
-    cleaned = F.aggregate("removed", zero, step, lambda acc: F.concat(acc.text, F.substring(text, acc.at + 1, F.length(text))))
-    return both.withColumn(text_col, F.when(F.col("removed").isNull(), text).otherwise(cleaned)).withColumn(
-        "removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
-    )
+    spans = _found(_rows(df, id_col, text_col), unit, min_words).groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    keyed = df.withColumn("__own", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    both = keyed.join(spans, F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
+    both = both.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
+    at, last = both.columns.index(text_col), both.columns.index("removed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n in pieces(b.column(at)):
+                part = b.slice(first, n)
+                left = []
+                for text, cuts in zip(part.column(at).to_pylist(), part.column(last).to_pylist()):
+                    kept, done = [], 0
+                    for c in cuts:
+                        kept.append(text[done : max(c["start"], done)])
+                        done = max(done, c["end"])
+                    left.append("".join([*kept, text[done:]]) if cuts else text)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(left, part.schema.field(at).type), *part.columns[at + 1 :]], names=part.schema.names)
+
+    return both.mapInArrow(run, both.schema)
