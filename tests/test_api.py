@@ -20,7 +20,7 @@ def test_load_and_forecast(spark, tmp_path):
     assert head == {h: (10.5, 10.5 + h) for h in range(1, 6)}
     tail = api.forecast(df, 10, 5, anchor="tail").collect()
     assert {r.predicted_close for r in tail} == {30.5} and all(r.actual_close is None for r in tail)
-    assert api.continuity(api.forecast(df, 10, 5)).first().gap == 1.0
+    assert api.continuity(api.forecast(df, 10, 5)).first().close_gap == 1.0
     assert api.forecast(df, 31, 5).count() == 0
     with pytest.raises(ValueError):
         api.forecast(df, 10, 5, anchor="middle")

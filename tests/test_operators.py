@@ -95,11 +95,11 @@ def test_windows_do_not_depend_on_the_future(spark):
 def test_decisions_and_single_cluster(spark):
     rows = [("c", "AB"[i % 2], f"2026-0{i + 1}", DAY, -0.1 * (i + 1)) for i in range(4)]
     pairs = spark.createDataFrame(rows, "comparison_id string, symbol string, candidate_month string, forecast_origin date, difference double")
-    both = evaluation.bootstrap(pairs, "candidate_month", 200, 7).unionByName(evaluation.bootstrap(pairs, "symbol", 200, 8))
+    both = evaluation.bootstrap(pairs, {"candidate_month": 7, "symbol": 8}, 200)
     assert evaluation.decisions(both).first().decision == "robustly_better"
-    one = evaluation.bootstrap(pairs.filter("symbol = 'A'"), "symbol", 50, 7).first()
+    one = evaluation.bootstrap(pairs.filter("symbol = 'A'"), {"symbol": 7}, 50).first()
     assert not one.available and one.lower is None
-    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, evaluation.bootstrap(pairs, "candidate_month", 200, 7).unionByName(evaluation.bootstrap(pairs, "symbol", 200, 8)).collect()))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, evaluation.bootstrap(pairs, {"candidate_month": 7, "symbol": 8}, 200).collect()))
 
 
 def test_rebase_keeps_origin_and_ignores_a_common_multiplier(spark):
@@ -112,8 +112,10 @@ def test_rebase_keeps_origin_and_ignores_a_common_multiplier(spark):
 
 
 def test_price_limits(spark):
-    df = series(spark, [9, 10, 12])
-    assert [round(r.limited, 4) for r in indicators.price_limits(df, 0.1).orderBy("ts").collect()] == [9.0, 9.9, 10.89]
+    df = series(spark, [9, 10, 12]).withColumn("low", F.when(F.col("close") < 12, F.col("low")))
+    last = spark.createDataFrame([("A", 10.0)], "symbol string, last_close double")
+    got = [(round(r.open, 4), round(r.high, 4), r.low, round(r.close, 4)) for r in indicators.price_limits(df, last, 0.1).orderBy("ts").collect()]
+    assert got == [(9.0, 9.5, 9.0, 9.0), (9.8, 9.9, 9.5, 9.9), (10.89, 10.89, None, 10.89)]
 
 
 def test_constant_correlation_is_null(spark):
@@ -203,8 +205,11 @@ def test_run_marker(spark, tmp_path):
     assert sinks.read_run(spark, path, "candles").count() == 2
     with pytest.raises(ValueError):
         sinks.write_run(spark, {"candles": (df.union(df), ["symbol", "ts"])}, {}, path)
+    assert sinks.read_run(spark, path, "candles").count() == 2  # the finished run stays
+    sinks.write_run(spark, {"candles": (df.limit(1), ["symbol", "ts"])}, {}, path)
+    assert sinks.read_run(spark, path, "candles").count() == 1 and len([p for p in (tmp_path / "run").iterdir() if p.name.startswith("run-")]) == 1
     with pytest.raises(FileNotFoundError):
-        sinks.read_run(spark, path, "candles")
+        sinks.read_run(spark, str(tmp_path / "none"), "candles")
 
 
 def test_config():

@@ -50,9 +50,9 @@ def test_entry(spark):
 
 
 def test_whole_vectors(spark):
-    assert KNOWN["ensemble_mean_whole"](spark, SF).count() == 64
-    assert {r.n for r in KNOWN["bsq_tokens_whole"](spark, SF).groupBy("vec_id").agg({"g": "count"}).toDF("vec_id", "n").collect()} == {4}
+    assert KNOWN["ensemble_mean"](spark, SF).count() == 64
+    assert {r.n for r in KNOWN["bsq_tokens"](spark, SF).groupBy("vec_id").agg({"g": "count"}).toDF("vec_id", "n").collect()} == {4}
 
 
 def test_whole_draws():
-    assert "range(0, 10000) a(draw)" in ORACLE["bootstrap_intervals_whole"] and "range(0, 10000) a(draw)" in ORACLE["decisions_whole"]
+    assert "range(0, 10000) a(draw)" in ORACLE["bootstrap_intervals"] and "range(0, 10000) a(draw)" in ORACLE["decisions"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.numeric import ratio
@@ -59,7 +59,13 @@ def forecast(candles: DataFrame, lookback: int, pred_len: int, predictor: Predic
     return predict(wins, predictor, pred_len).join(actual, ["symbol", "horizon_step"], "left")
 
 
-def continuity(result: DataFrame) -> DataFrame:
-    """Gap between the first forecast and the first actual close."""
-    gap = F.abs(F.col("predicted_close") - F.col("actual_close"))
-    return result.filter("horizon_step = 1").select("symbol", gap.alias("gap"), (ratio(gap, F.abs(F.col("actual_close"))) * 100).alias("gap_pct"))
+def gaps(forecast: Column, actual: Column, name: str) -> list[Column]:
+    """The gap between a forecast and an actual price, and its share of the actual price in percent."""
+    gap = F.abs(actual - forecast)
+    return [gap.alias(f"{name}_gap"), (ratio(gap, F.abs(actual)) * 100).alias(f"{name}_gap_pct")]
+
+
+def continuity(result: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """Gaps between the first forecast and the first actual bar, for all prices that both have."""
+    both = [f for f in fields if f"predicted_{f}" in result.columns and f"actual_{f}" in result.columns]
+    return result.filter("horizon_step = 1").select("symbol", *[c for f in both for c in gaps(F.col(f"predicted_{f}"), F.col(f"actual_{f}"), f)])

@@ -6,28 +6,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.numeric import ratio
+from wickline.operators.frames import by_time
 from wickline.operators.quality import typical_amount
 
 
-def by_time():
-    """Rows of a symbol in time order."""
-    return Window.partitionBy("symbol").orderBy("ts")
 TOLERANCE = 1e-6
 
 
-def with_factor(df: DataFrame) -> DataFrame:
-    """Provider factor adj_close / close; rows whose factor is not finite and positive are dropped."""
+def with_factor(df: DataFrame, strict: bool = True) -> DataFrame:
+    """Provider factor adj_close / close. A factor that is not finite and positive is an error, raised when the row is
+    read; ``strict=False`` drops such rows instead."""
     f = ratio(F.col("adj_close"), F.col("close"))
-    return df.withColumn("factor", f).filter((F.col("factor") > 0) & ~F.isnan("factor") & (F.col("factor") < float("inf")))
+    good = F.coalesce((F.col("factor") > 0) & ~F.isnan("factor") & (F.col("factor") < float("inf")), F.lit(False))
+    out = df.withColumn("factor", f)
+    if not strict:
+        return out.filter(good)
+    where = F.concat_ws(" ", F.lit("provider factors must be finite and strictly positive:"), F.col("symbol"), F.col("ts").cast("string"))
+    return out.withColumn("factor", F.when(good, F.col("factor")).otherwise(F.raise_error(where).cast("double")))
 
 
 def diagnostics(df: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per symbol: rows, range, extremes, changed rows and a fingerprint over the ordered factors."""
+    """Per symbol: rows, range, extremes, changed rows and a fingerprint over the ordered factors.
+
+    The fingerprint is the digest of the digests of the years, so that no list grows beyond a year's bars.
+    """
     text = F.transform(F.sort_array(F.collect_list(F.struct("ts", "factor"))), lambda x: F.format_string("%s=%.6f", F.date_format(x.ts, "yyyy-MM-dd"), x.factor))
-    return df.groupBy("symbol").agg(
-        F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("factor").alias("min_factor"), F.max("factor").alias("max_factor"),
-        F.count_if(F.abs(F.col("factor") - 1) > tolerance).alias("adjusted_rows"), F.sha2(F.array_join(text, "~"), 256).alias("fingerprint"),
+    years = df.groupBy("symbol", F.year("ts").alias("year")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("lo_ts"), F.max("ts").alias("hi_ts"), F.min("factor").alias("lo"), F.max("factor").alias("hi"),
+        F.count_if(F.abs(F.col("factor") - 1) > tolerance).alias("changed"), F.sha2(F.array_join(text, "~"), 256).alias("digest"),
     )
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("year", "digest"))), lambda x: x.digest)
+    return years.groupBy("symbol").agg(
+        F.sum("n").alias("n_rows"), F.min("lo_ts").alias("first_ts"), F.max("hi_ts").alias("last_ts"), F.min("lo").alias("min_factor"), F.max("hi").alias("max_factor"),
+        F.sum("changed").alias("adjusted_rows"), F.sha2(F.array_join(digests, "~"), 256).alias("fingerprint"),
+    )
+
+
+def total_fingerprint(records: DataFrame, name: str = "symbol", digest: str = "fingerprint") -> DataFrame:
+    """One digest over the digests of all names, in the order of the names (a row per name)."""
+    rows = F.sort_array(F.collect_list(F.struct(name, digest)))
+    return records.agg(F.sha2(F.array_join(F.transform(rows, lambda x: F.concat(x[name], F.lit("="), x[digest])), "~"), 256).alias("fingerprint"), F.count("*").alias("names"))
 
 
 def rebase(df: DataFrame, origins: DataFrame) -> DataFrame:
@@ -72,3 +90,17 @@ def window_exposure(df: DataFrame, lookback: int, horizon: int, tolerance: float
     both = exposure(df, lookback, tolerance).drop("exposure_bucket").join(targets, ["symbol", "ts"])
     both = both.withColumn("context_changed", F.col("context_max_abs_log_step") > tolerance).withColumn("target_changed", F.col("target_max_abs_log_factor") > tolerance)
     return both.withColumn("exposure_bucket", F.when(F.col("context_changed") | F.col("target_changed"), "material_factor_change").otherwise("no_material_change"))
+
+
+def cohort_exposure(df: DataFrame, cohorts: DataFrame, lookback: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """Exposure of the windows of common-origin cohorts: factor steps in the context, and the distance of the targets' factors."""
+    stepped = df.select("symbol", "ts", "factor", F.abs(F.log("factor") - F.log(F.lag("factor").over(by_time()))).alias("step"))
+    worst = stepped.withColumn("context_max_abs_log_step", F.coalesce(F.max("step").over(by_time().rowsBetween(-(lookback - 2), 0)), F.lit(0.0)))
+    full = F.broadcast(cohorts.filter("complete").select("candidate_month", "forecast_origin", "targets"))  # one row per month
+    at = worst.join(full, F.col("ts") == F.col("forecast_origin")).select("symbol", "candidate_month", "forecast_origin", "context_max_abs_log_step", F.col("factor").alias("origin_factor"), F.explode("targets").alias("ts"))
+    far = at.join(df.select("symbol", "ts", "factor"), ["symbol", "ts"], "left")
+    g = far.groupBy("symbol", "candidate_month", "forecast_origin").agg(
+        F.max("context_max_abs_log_step").alias("context_max_abs_log_step"), F.coalesce(F.max(F.abs(F.log(F.col("factor") / F.col("origin_factor")))), F.lit(0.0)).alias("target_max_abs_log_from_origin"),
+    )
+    g = g.withColumns({"context_factor_changed": F.col("context_max_abs_log_step") > tolerance, "target_factor_changed": F.col("target_max_abs_log_from_origin") > tolerance})
+    return g.withColumn("exposure_bucket", F.when(F.col("context_factor_changed") | F.col("target_factor_changed"), "material_factor_change").otherwise("no_material_change"))

@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.numeric import average_rank, close_to, ratio, safe_corr, same_sign
+from wickline.operators.frames import by_time
+from wickline.session import cut
 
 
-def by_time():
-    """Rows of a symbol in time order."""
-    return Window.partitionBy("symbol").orderBy("ts")
 KEYS = ("symbol", "candidate_month", "forecast_origin")
 
 
@@ -112,11 +111,11 @@ def window_metrics(fact: DataFrame) -> DataFrame:
     last = lambda c: F.max_by(c, "horizon_step")
     g = fact.groupBy(*KEYS, "method").agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        last("predicted_close").alias("p"), last("actual_close").alias("a"), F.min_by("history_last_close", "horizon_step").alias("history_last_close"),
+        last("predicted_close").alias("p"), last("actual_close").alias("a"), last("target_ts").alias("final_target_ts"), F.min_by("history_last_close", "horizon_step").alias("history_last_close"),
     )
     p, a, c = F.col("p"), F.col("a"), F.col("history_last_close")
     out = g.withColumns({
-        "final_abs_error": F.abs(p - a), "final_ape": ratio(F.abs(p - a), F.abs(a)),
+        "actual_final_close": a, "final_abs_error": F.abs(p - a), "final_ape": ratio(F.abs(p - a), F.abs(a)),
         "predicted_return": ratio(p, c) - 1, "actual_return": ratio(a, c) - 1,
         "predicted_log_return": F.when((p > 0) & (c > 0), F.log(p / c)), "actual_log_return": F.when((a > 0) & (c > 0), F.log(a / c)),
     })
@@ -152,40 +151,106 @@ def ranking(metrics: DataFrame, minimum: int, top: int = 5) -> DataFrame:
     return g.select(*by, "eligible", ok.alias("ranking_available"), *[F.when(ok, F.col(c)).alias(c) for c in ("spearman", "top_overlap", "top_return")])
 
 
-def paired(metrics: DataFrame, specs: list[tuple[str, str, str]], value: str = "log_return_abs_error") -> DataFrame:
-    """(comparison, challenger, reference) pairs of methods on common windows, all at once."""
+def require_positive(metrics: DataFrame) -> DataFrame:
+    """Benchmark metrics, or an error when a row is read whose prices have no logarithm."""
+    bad = F.col("predicted_log_return").isNull() | F.col("actual_log_return").isNull()
+    where = F.concat_ws(" ", F.lit("log-return prices must be strictly positive:"), "symbol", "candidate_month", "method")
+    return metrics.withColumn("log_return_abs_error", F.when(bad, F.raise_error(where).cast("double")).otherwise(F.col("log_return_abs_error")))
+
+
+#: What both sides of a pair must agree on.
+CHECKS = ("final_target_ts", "history_last_close", "actual_final_close", "scoring_target_view", "exposure_bucket", "common_target_fingerprint")
+
+
+def benchmark_summary(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Aggregates of benchmark metrics per ``keys`` (null keys are groups of their own)."""
+    return metrics.groupBy(*keys).agg(
+        F.count("*").alias("windows"), F.countDistinct("symbol").alias("symbols"), F.avg("log_return_abs_error").alias("mean_log_return_abs_error"),
+        F.median("log_return_abs_error").alias("median_log_return_abs_error"), F.avg("final_ape").alias("mean_final_ape"), F.median("final_ape").alias("median_final_ape"),
+        F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"), F.avg(F.col("direction_correct").cast("double")).alias("direction_accuracy"),
+    )
+
+
+def benchmark_ranking(metrics: DataFrame, minimum: int, top: int = 5) -> DataFrame:
+    """Cross-section per arm, month and method by log returns: Spearman, overlap of the top names, their realised returns."""
+    by = ("experiment_arm", "candidate_month", "forecast_origin", "method")
+    order = lambda c: Window.partitionBy(*by).orderBy(F.desc(c), "symbol")
+    r = metrics.withColumns({
+        "rp": F.row_number().over(order("predicted_log_return")), "ra": F.row_number().over(order("actual_log_return")),
+        "sp": average_rank(F.col("predicted_log_return"), *by), "sa": average_rank(F.col("actual_log_return"), *by),
+    })
+    picked = lambda c: F.avg(F.when(F.col("rp") <= top, F.col(c)))
+    g = r.groupBy(*by).agg(
+        F.count("*").alias("eligible"), safe_corr(F.col("sp"), F.col("sa")).alias("spearman"), F.sum(((F.col("rp") <= top) & (F.col("ra") <= top)).cast("long")).alias("top_overlap"),
+        picked("actual_return").alias("top_return"), picked("actual_log_return").alias("top_log_return"),
+    )
+    ok = F.col("eligible") >= minimum
+    return g.select(*by, "eligible", ok.alias("ranking_available"), *[F.when(ok, F.col(c)).alias(c) for c in ("spearman", "top_overlap", "top_return", "top_log_return")])
+
+
+def overall(metrics: DataFrame, skips: DataFrame, rankings: DataFrame, primary: str) -> DataFrame:
+    """One row: windows of the primary method, skipped windows, symbols and cohorts with a ranking."""
+    m = metrics.agg(F.count_if(F.col("method") == primary).alias("eligible_windows"), F.countDistinct("symbol").alias("symbols_evaluated"))
+    k = skips.agg(F.count("*").alias("skipped_windows"))
+    r = rankings.agg(F.count_if("ranking_available").alias("ranking_cohorts"))
+    return m.crossJoin(k).crossJoin(r)  # single rows
+
+
+def paired(metrics: DataFrame, specs: list[tuple[str, str, str]], value: str = "log_return_abs_error", name: str = "method", checks: tuple[str, ...] = CHECKS, strict: bool = False) -> DataFrame:
+    """(comparison, challenger, reference) pairs of methods on common windows, all at once.
+
+    The methods of a window meet in one map (a window has a handful), without joining the metrics to themselves; a method that
+    a window has twice is an error. Both sides must agree on the ``checks`` that the metrics have: ``mismatch`` names the first
+    that they do not agree on; with ``strict`` that is an error, raised when the pair is read.
+    """
+    kept = [c for c in checks if c in metrics.columns]
+    cells = F.struct(F.col(value).alias("error"), *kept)
+    twice = F.raise_error(F.concat_ws(" ", F.lit("a window has a method twice:"), *KEYS)).cast("int")
+    m = metrics.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col(name).alias("k"), cells.alias("v"))).alias("all"))
+    once = F.size(F.array_distinct(F.transform("all", lambda x: x.k))) == F.size("all")
+    m = m.withColumn("__one", F.when(once, 1).otherwise(twice)).filter("__one = 1").withColumn("all", F.map_from_entries("all"))
     table = F.array(*[F.struct(F.lit(i).alias("comparison_id"), F.lit(c).alias("challenger"), F.lit(r).alias("reference")) for i, c, r in specs])
-    m = metrics.select(*KEYS, "method", F.col(value).alias("error"), "actual_return", "history_last_close")
-    left = m.withColumn("s", F.explode(table)).filter(F.col("s.challenger") == F.col("method")).select(*KEYS, "s.*", F.col("error").alias("challenger_error"), F.col("actual_return").alias("ca"), F.col("history_last_close").alias("cl"))
-    right = m.select(*KEYS, F.col("method").alias("reference"), F.col("error").alias("reference_error"), F.col("actual_return").alias("ra"), F.col("history_last_close").alias("rl"))
-    both = left.join(right, [*KEYS, "reference"])
-    diff = F.col("challenger_error") - F.col("reference_error")
+    both = m.withColumn("s", F.explode(table)).select(*KEYS, "s.*", F.col("all")[F.col("s.challenger")].alias("c"), F.col("all")[F.col("s.reference")].alias("r")).filter("c is not null and r is not null")
+    kinds = dict(metrics.dtypes)
+    agree = lambda x: close_to(F.col(f"c.{x}"), F.col(f"r.{x}")) if kinds[x] == "double" else F.col(f"c.{x}").eqNullSafe(F.col(f"r.{x}"))
+    mismatch = F.coalesce(*[F.when(~agree(x), F.lit(x)) for x in kept], F.lit(None).cast("string"))
+    both = both.withColumn("mismatch", mismatch)
+    diff = F.col("c.error") - F.col("r.error")
+    if strict:
+        said = F.concat_ws(" ", F.lit("paired target mismatch:"), "mismatch", *KEYS)
+        diff = F.when(F.col("c").isNotNull() & F.col("r").isNotNull() & F.col("mismatch").isNotNull(), F.raise_error(said).cast("double")).otherwise(diff)
+    carried = [F.col(f"c.{c}").alias(c) for c in ("exposure_bucket", "common_target_fingerprint") if c in kept]
     return both.select(
-        *KEYS, "comparison_id", "challenger", "reference", "challenger_error", "reference_error", diff.alias("difference"),
-        F.when(diff < 0, "challenger").when(diff > 0, "reference").otherwise("tie").alias("winner"),
-        (close_to(F.col("ca"), F.col("ra")) & close_to(F.col("cl"), F.col("rl"))).alias("consistent"),
+        *KEYS, "comparison_id", "challenger", "reference", F.col("c.error").alias("challenger_error"), F.col("r.error").alias("reference_error"), diff.alias("difference"),
+        F.when(diff < 0, "challenger").when(diff > 0, "reference").otherwise("tie").alias("winner"), "mismatch", F.col("mismatch").isNull().alias("consistent"), *carried,
     )
 
 
-def bootstrap(pairs: DataFrame, cluster: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Interval of the mean difference, drawing whole clusters with replacement.
+def bootstrap(pairs: DataFrame, clusters: dict[str, int], draws: int, level: float = 0.95, per_task: int = 250) -> DataFrame:
+    """Intervals of the mean difference, drawing whole clusters with replacement; ``clusters``: column and its seed.
 
-    Clusters are summed first, so that a draw adds (sum, n) pairs; the index of a draw is a hash of seed, draw and
-    place, equal on every run and engine. Draws x clusters rows, whatever the number of windows.
+    Pairs are read once and summed per cluster, so that a draw adds (sum, n) pairs. A comparison's sums are two arrays (a pair of numbers per
+    cluster); a draw is a fold over them inside one row, so that nothing is shuffled but the draws' means. The index of a
+    place in a draw is a hash of seed, draw and place, equal on every run and engine.
     """
-    sums = pairs.filter("difference is not null").groupBy("comparison_id", F.col(cluster).cast("string").alias("cluster")).agg(F.sum("difference").alias("s"), F.count("*").alias("n"))
-    ordered = sums.withColumn("i", F.row_number().over(Window.partitionBy("comparison_id").orderBy("cluster")) - 1)
-    k = sums.groupBy("comparison_id").agg(F.count("*").alias("k"), F.sum("n").alias("n_rows"), (F.sum("s") / F.sum("n")).alias("mean_difference"))
-    spark = pairs.sparkSession
-    draw = spark.range(draws).select(F.col("id").alias("draw"))
-    places = k.filter("k >= 2").select("comparison_id", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("place"))
-    word = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("place").cast("string")), 256), 1, 8)
-    picks = places.crossJoin(F.broadcast(draw)).select("comparison_id", "draw", F.pmod(F.conv(word, 16, 10).cast("long"), F.col("k")).cast("int").alias("i"))
-    means = picks.join(ordered, ["comparison_id", "i"]).groupBy("comparison_id", "draw").agg((F.sum("s") / F.sum("n")).alias("m"))
+    if draws < 1 or not 0 < level < 1:
+        raise ValueError("draws must be positive and level between 0 and 1")
+    kinds = F.array(*[F.struct(F.lit(c).alias("cluster_column"), F.lit(s).alias("seed"), F.col(c).cast("string").alias("cluster")) for c, s in clusters.items()])
+    each = pairs.filter("difference is not null").select("comparison_id", "difference", F.explode(kinds).alias("x")).select("comparison_id", "difference", "x.*")
+    sums = each.groupBy("comparison_id", "cluster_column", "seed", "cluster").agg(F.sum("difference").alias("s"), F.count("*").alias("n"))
+    held = sums.groupBy("comparison_id", "cluster_column", "seed").agg(F.sort_array(F.collect_list(F.struct("cluster", "s", "n"))).alias("all"), F.count("*").alias("k"), F.sum("n").alias("n_rows"), (F.sum("s") / F.sum("n")).alias("mean_difference"))
+    held = cut(held)  # a row per comparison and cluster column
+    draw = pairs.sparkSession.range(0, draws, 1, max(1, -(-draws // per_task))).select(F.col("id").alias("draw"))
+    rows = draw.crossJoin(F.broadcast(held.filter("k >= 2").select("comparison_id", "cluster_column", "seed", "k", F.transform("all", lambda x: x.s).alias("s"), F.transform("all", lambda x: x.n).alias("n"))))
+    word = lambda place: F.substring(F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col("draw").cast("string"), place.cast("string")), 256), 1, 8)
+    picks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda p: F.pmod(F.conv(word(p), 16, 10).cast("long"), F.col("k")).cast("int"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    fold = F.aggregate(picks, zero, lambda a, i: F.struct((a.s + F.get("s", i)).alias("s"), (a.n + F.get("n", i)).alias("n")), lambda a: a.s / a.n)
+    means = rows.select("comparison_id", "cluster_column", fold.alias("m"))
     tail = (1 - level) / 2
-    bounds = means.groupBy("comparison_id").agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
-    return k.join(bounds, "comparison_id", "left").select(
-        "comparison_id", F.lit(cluster).alias("cluster_column"), (F.col("k") >= 2).alias("available"), F.col("n_rows"), F.col("k").alias("clusters"), "mean_difference", "lower", "upper"
+    bounds = means.groupBy("comparison_id", "cluster_column").agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
+    return held.join(bounds, ["comparison_id", "cluster_column"], "left").select(
+        "comparison_id", "cluster_column", (F.col("k") >= 2).alias("available"), "n_rows", F.col("k").alias("clusters"), "mean_difference", "lower", "upper"
     )
 
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.numeric import clip
+from wickline.operators.frames import by_time
+from wickline.session import cut
 
 
-def by_time():
-    """Rows of a symbol in time order."""
-    return Window.partitionBy("symbol").orderBy("ts")
 EPS = 1e-5
 
 
@@ -56,20 +53,32 @@ def index_hash(idx: Column, epoch: Column, n: Column) -> Column:
     return F.pmod(idx.cast("long") * 9973 + (epoch.cast("long") + 1) * 104729, n.cast("long"))
 
 
-def business_days(df: DataFrame, start: str, count: int, holidays: DataFrame | None = None) -> DataFrame:
-    """The next ``count`` weekdays after ``start`` that are no holidays."""
-    days = df.withColumn("day", F.explode(F.expr(f"sequence(date_add({start}, 1), date_add({start}, {count * 2 + 40}))"))).filter(F.weekday("day") < 5)
+def business_days(df: DataFrame, start: str, count: int, holidays: DataFrame | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+    """The next ``count`` weekdays after ``start`` that are no holidays.
+
+    Weekdays alone always suffice within ``count`` weeks' worth of days; every holiday behind a start may push the end by one
+    more day, so that the days looked at grow with the holidays: no number of them makes the result short.
+    """
+    keys = list(df.columns)
+    more, few = F.lit(0), None
     if holidays is not None:
-        days = days.join(F.broadcast(holidays), F.col("day") == F.col("holiday"), "left_anti")  # a year's holidays
-    keys = [c for c in df.columns]
+        holidays = holidays.select("holiday").filter("holiday is not null").distinct()
+        n = holidays.count()
+        few = F.broadcast(holidays) if n <= broadcast_rows else holidays
+        more = F.lit(n)
+    ahead = (F.lit(count) + more) * 7 / 5 + 7
+    days = df.withColumn("day", F.explode(F.sequence(F.date_add(start, 1), F.date_add(F.col(start), ahead.cast("int"))))).filter(F.weekday("day") < 5)
+    if few is not None:
+        days = days.join(few, F.col("day") == F.col("holiday"), "left_anti")
     return days.withColumn("step", F.row_number().over(Window.partitionBy(*keys).orderBy("day"))).filter(F.col("step") <= count)
 
 
 def fixed_steps(df: DataFrame, count: int) -> DataFrame:
     """Stamps that follow the last bar at the spacing of the first two."""
-    g = df.groupBy("symbol").agg(F.sort_array(F.collect_set("ts")).alias("t"))
-    gap = F.unix_timestamp(F.get("t", F.lit(1)).cast("timestamp")) - F.unix_timestamp(F.get("t", F.lit(0)).cast("timestamp"))
-    base = g.filter("size(t) > 1").select("symbol", F.unix_timestamp(F.element_at("t", -1).cast("timestamp")).alias("last"), gap.alias("gap"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("step"))
+    seen = df.select("symbol", "ts", F.min("ts").over(Window.partitionBy("symbol")).alias("first"))
+    g = seen.groupBy("symbol").agg(F.max("ts").alias("last"), F.min("first").alias("first"), F.min(F.when(F.col("ts") > F.col("first"), F.col("ts"))).alias("second"))
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    base = g.filter("second is not null").select("symbol", seconds("last").alias("last"), (seconds("second") - seconds("first")).alias("gap"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("step"))
     return base.select("symbol", "step", F.timestamp_seconds(F.col("last") + F.col("gap") * F.col("step")).alias("ts"))
 
 
@@ -83,14 +92,6 @@ def profile(df: DataFrame) -> DataFrame:
     return g.withColumn("label", F.when(F.col("spacing") < 60, "seconds").when(F.col("spacing") < 3600, "minutes").when(F.col("spacing") < 86400, "hours").otherwise("days"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage, so that range bounds are drawn once; a temporary folder is set only where the session has none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wickline-"))
-    return df.checkpoint()
-
-
 def contiguous_shards(df: DataFrame, order: str, k: int) -> DataFrame:
     """Balanced contiguous shards by ``order``; the first n mod k are one larger.
 
@@ -109,10 +110,33 @@ def contiguous_shards(df: DataFrame, order: str, k: int) -> DataFrame:
     return ranged.join(F.broadcast(sums), "__part").withColumn("__at", at).withColumn("shard_index", index.cast("int")).drop("__part", "__before", "__total", "__at")
 
 
-def shard_check(manifests: DataFrame, shard_count: int) -> DataFrame:
-    """One row: whether manifests have all indexes once, one fingerprint and no name twice."""
-    names = manifests.select(F.explode("symbols").alias("s"))
-    overlap = names.agg((F.count("s") - F.countDistinct("s")).alias("overlap"))
-    g = manifests.agg(F.count("*").alias("shards"), F.countDistinct("shard_index").alias("indexes"), F.min("shard_index").alias("lo"), F.max("shard_index").alias("hi"), F.countDistinct("fingerprint").alias("fingerprints"))
-    ok = (F.col("shards") == shard_count) & (F.col("indexes") == shard_count) & (F.col("lo") == 0) & (F.col("hi") == shard_count - 1) & (F.col("fingerprints") == 1) & (F.col("overlap") == 0)
-    return g.crossJoin(overlap).withColumn("compatible", ok)  # two single rows
+#: What all manifests of a run have in common.
+SAME = ("config_fingerprint", "source_data_fingerprint", "model_revision", "tokenizer_revision", "shard_count")
+
+
+def shard_check(manifests: DataFrame, shard_count: int, same: tuple[str, ...] = SAME) -> DataFrame:
+    """One row: whether manifests have all indexes once, one value of each field in ``same``, and no name twice."""
+    names = manifests.select(F.explode("symbols").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    overlap = names.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("overlap"))
+    g = manifests.agg(
+        F.count("*").alias("shards"), F.countDistinct("shard_index").alias("indexes"), F.min("shard_index").alias("lo"), F.max("shard_index").alias("hi"),
+        *[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit("null"))).alias(f"__{c}") for c in same],
+    )
+    differ = F.array_join(F.filter(F.array(*[F.when(F.col(f"__{c}") > 1, F.lit(c)) for c in same]), lambda x: x.isNotNull()), ",")
+    g = g.withColumn("differing", differ).drop(*[f"__{c}" for c in same])
+    ok = (F.col("shards") == shard_count) & (F.col("indexes") == shard_count) & (F.col("lo") == 0) & (F.col("hi") == shard_count - 1) & (F.col("differing") == "") & (F.col("overlap") == 0)
+    return g.crossJoin(overlap).withColumn("compatible", F.coalesce(ok, F.lit(False)))  # two single rows
+
+
+def sample_pairs(lengths: DataFrame, epoch: int, seed: int, n: int, width: int) -> DataFrame:
+    """``n`` starts of training windows of an epoch, uniform over all (symbol, start) pairs by a seeded hash; equal on every run.
+
+    ``lengths``: a row per symbol with its number of bars ``n_rows``. Pairs are numbered by cumulated counts and drawn by number.
+    """
+    starts = lengths.select("symbol", F.greatest(F.col("n_rows") - width + 1, F.lit(0)).alias("starts")).filter("starts > 0")
+    line = Window.orderBy("symbol")  # a row per symbol
+    numbered = starts.withColumn("hi", F.sum("starts").over(line)).withColumn("lo", F.col("hi") - F.col("starts"))
+    total = starts.agg(F.sum("starts").alias("total"))
+    drawn = lengths.sparkSession.range(n).select(F.col("id").alias("sample"), F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:{epoch}:"), F.col("id").cast("string")), 256), 1, 12), 16, 10).cast("long").alias("u"))
+    at = drawn.crossJoin(F.broadcast(total)).select("sample", (F.col("u") % F.col("total")).alias("at"))  # one row
+    return at.join(F.broadcast(numbered), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("sample", "symbol", (F.col("at") - F.col("lo")).alias("start_index"))

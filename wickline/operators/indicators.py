@@ -1,7 +1,7 @@
 """Indicators, returns, signals and path-dependent strategies.
 
 All frames of a symbol share one sort. What depends on its own past decisions is a fold over the symbol's
-ordered bars, evaluated by a higher-order function inside the JVM.
+sorted bars, which carries a small state from row to row.
 """
 
 from __future__ import annotations
@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickline.functions.numeric import clip, ratio
+from wickline.functions.numeric import clip, ratio, safe_corr
+from wickline.operators.frames import by_time, fold
 
 
-def by_time():
-    """Rows of a symbol in time order."""
-    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def full_mean(c: str, n: int) -> Column:
@@ -62,9 +60,23 @@ def recent_trend(df: DataFrame, n: int = 20) -> DataFrame:
     return rows.withColumns({"slope": slope, "span": span, "n": count}).withColumn("trend", F.coalesce(clip(ratio(F.col("slope"), F.col("span")) * F.col("n"), -0.1, 0.1), F.lit(0.0))).drop("__x", "slope", "span", "n")
 
 
-def centered_mean(df: DataFrame, width: int) -> DataFrame:
-    """Centred mean; an even width reaches one row further back."""
-    return df.withColumn("smooth", F.avg("close").over(by_time().rowsBetween(-(width // 2), (width - 1) // 2)))
+def smoothed(pred: DataFrame, trend: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close"), factor: float = 0.3) -> DataFrame:
+    """Forecast prices as centred means, times one plus ``factor`` times the recent trend of the history.
+
+    The width follows from the number ``n`` of a symbol's forecasts: a fifth of it, from 3 to 7; an even width reaches one row further
+    back. ``trend`` has a row per symbol.
+    """
+    width = F.greatest(F.lit(3), F.least(F.lit(7), F.floor(F.count("*").over(Window.partitionBy("symbol")) / 5)))
+    frames = {w: by_time().rowsBetween(-(w // 2), (w - 1) // 2) for w in range(3, 8)}
+    sized = pred.withColumn("__width", width)
+    means = {}
+    for c in columns:
+        mean = F.lit(None).cast("double")
+        for w, frame in frames.items():
+            mean = F.when(F.col("__width") == w, F.avg(c).over(frame)).otherwise(mean)
+        means[c] = mean
+    moved = sized.withColumns(means).drop("__width").join(trend.select("symbol", F.col("trend").alias("__trend")), "symbol")
+    return moved.withColumns({c: F.col(c) * (1 + F.col("__trend") * factor) for c in columns}).drop("__trend")
 
 
 def returns(df: DataFrame) -> DataFrame:
@@ -86,52 +98,75 @@ def signals(df: DataFrame, threshold: float) -> DataFrame:
     return raw.withColumn("signal", F.coalesce(held, F.lit(0)))
 
 
-def price_limits(df: DataFrame, limit: float) -> DataFrame:
-    """Closes within ``limit`` of the previous limited close, starting from the first one."""
-    bars = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("bars"))
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<ts:date,close:double,limited:double>>").alias("out"))
+def price_limits(pred: DataFrame, last: DataFrame, limit: float) -> DataFrame:
+    """Forecast prices within ``limit`` of the previous limited close, starting from the given ``last_close`` of each symbol.
 
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc.last.isNull(), x.close).otherwise(F.least(F.greatest(x.close, acc.last * (1 - limit)), acc.last * (1 + limit)))
-        return F.struct(now.alias("last"), F.concat(acc.out, F.array(F.struct(x.ts.alias("ts"), x.close.alias("close"), now.alias("limited")))).alias("out"))
+    Missing prices stay missing; behind a missing close nothing is limited until the next one.
+    """
+    prices = ("open", "high", "low", "close")
+    both = pred.join(last.select("symbol", F.col("last_close").alias("__last")), "symbol")
 
-    return bars.select("symbol", F.inline(F.aggregate("bars", zero, step, lambda a: a.out)))
+    def step(state, *values):
+        *bar, given = values
+        before = given if state is None else state[0]
+        out = tuple(v if v is None or before is None else max(min(v, before * (1 + limit)), before * (1 - limit)) for v in bar)
+        return (out[-1],), out
 
+    return fold(both, [*prices, "__last"], ", ".join(f"{c} double" for c in prices), lambda: None, step)
 
-def threshold_strategy(df: DataFrame, threshold: float, capital: float = 100000.0, fee: float = 0.001) -> DataFrame:
-    """Long-only: buys all after a rise beyond the threshold, sells all after a fall; a row per symbol."""
-    change = ratio(F.col("close"), F.lag("close").over(by_time())) - 1
-    bars = df.withColumn("change", change).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "close", "change"))).alias("bars"))
-    zero = F.struct(F.lit(capital).alias("cash"), F.lit(0.0).alias("shares"), F.lit(0).cast("long").alias("trades"), F.lit(0.0).alias("price"))
-
-    def step(acc: Column, x: Column) -> Column:
-        buy = (acc.shares == 0) & (x.change > threshold)
-        sell = (acc.shares > 0) & (x.change < -threshold)
-        return F.struct(
-            F.when(buy, F.lit(0.0)).when(sell, acc.shares * x.close * (1 - fee)).otherwise(acc.cash).alias("cash"),
-            F.when(buy, acc.cash * (1 - fee) / x.close).when(sell, F.lit(0.0)).otherwise(acc.shares).alias("shares"),
-            F.when(buy | sell, acc.trades + 1).otherwise(acc.trades).alias("trades"), x.close.alias("price"),
-        )
-
-    done = bars.select("symbol", F.aggregate("bars", zero, step).alias("s"))
-    final = F.col("s.cash") + F.col("s.shares") * F.col("s.price")
-    return done.select("symbol", final.alias("final_value"), (final / capital - 1).alias("total_return"), F.col("s.trades").alias("trades"))
-
-
-def performance(df: DataFrame, periods: int = 252, risk_free: float = 0.03) -> DataFrame:
-    """Return, volatility, Sharpe ratio, drawdown and win rate per symbol."""
-    r = returns(df)
-    g = r.groupBy("symbol").agg(
-        F.count("change").alias("n"), F.max_by("growth", "ts").alias("growth"), F.stddev_samp("change").alias("sd"),
-        F.min("drawdown").alias("max_drawdown"), F.avg((F.col("change") > 0).cast("double")).alias("win_rate"),
+
+def threshold_strategy(pred: DataFrame, threshold: float = 0.03, capital: float = 100000.0) -> DataFrame:
+    """Long-only in whole shares: all in when the predicted return passes the threshold, all out below its negative.
+
+    ``pred``: ``predicted`` and ``actual`` of every bar. A row per bar with the value, the position and what was done.
+    """
+
+    def step(state, predicted, actual):
+        cash, held = state
+        action = None
+        gain = (predicted - actual) / actual if predicted is not None and actual else 0.0
+        if held == 0 and gain > threshold and int(cash / actual) > 0:
+            held, action = int(cash / actual), "BUY"
+            cash -= held * actual
+        elif held > 0 and gain < -threshold:
+            cash, held, action = cash + held * actual, 0, "SELL"
+        return (cash, held), (cash + held * (actual or 0.0), held, actual, action)
+
+    return fold(pred, ["predicted", "actual"], "value double, position long, price double, action string", lambda: (capital, 0), step)
+
+
+def performance(backtest: DataFrame, capital: float = 100000.0, periods: int = 252, risk_free: float = 0.03) -> DataFrame:
+    """Return, volatility, Sharpe ratio and drawdown of a backtest's values per symbol, and its trades: the i-th purchase is
+    paired with the i-th sale; win rate and mean return are per pair. A symbol without trades has 0 for both."""
+    before = F.lag("value").over(by_time())
+    rows = backtest.withColumn("__r", F.when(before > 0, (F.col("value") - before) / before).otherwise(F.lit(0.0)))
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__growth", F.product(1 + F.col("__r")).over(so_far))
+    rows = rows.withColumn("__drawdown", F.col("__growth") / F.max("__growth").over(so_far) - 1)
+    g = rows.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.max_by("value", "ts").alias("final_value"), F.stddev_samp("__r").alias("sd"), F.min("__drawdown").alias("max_drawdown"), F.count("action").alias("trades"),
+    )
+    done = backtest.filter("action is not null").withColumn("k", F.row_number().over(Window.partitionBy("symbol", "action").orderBy("ts")))
+    pairs = done.groupBy("symbol", "k").agg(F.max(F.when(F.col("action") == "BUY", F.col("price"))).alias("b"), F.max(F.when(F.col("action") == "SELL", F.col("price"))).alias("s"))
+    won = pairs.withColumn("r", ratio(F.col("s") - F.col("b"), F.col("b"))).groupBy("symbol").agg(F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.avg("r").alias("mean_trade_return"))
+    total = F.col("final_value") / capital - 1
+    annual = F.pow(1 + total, F.lit(float(periods)) / F.col("n")) - 1
+    vol = F.coalesce(F.col("sd"), F.lit(0.0)) * F.sqrt(F.lit(float(periods)))
+    return g.join(won, "symbol", "left").select(
+        "symbol", "final_value", total.alias("total_return"), annual.alias("annual_return"), vol.alias("volatility"), F.coalesce(ratio(annual - risk_free, vol), F.lit(0.0)).alias("sharpe"),
+        "max_drawdown", F.coalesce("win_rate", F.lit(0.0)).alias("win_rate"), F.coalesce("mean_trade_return", F.lit(0.0)).alias("mean_trade_return"), "trades",
     )
-    annual = F.pow(F.col("growth"), F.lit(float(periods)) / F.col("n")) - 1
-    vol = F.col("sd") * F.sqrt(F.lit(float(periods)))
-    return g.select("symbol", (F.col("growth") - 1).alias("total_return"), annual.alias("annual_return"), vol.alias("volatility"), ratio(annual - risk_free, vol).alias("sharpe"), "max_drawdown", "win_rate")
 
 
 def accuracy(pred: DataFrame) -> DataFrame:
-    """Mean percentage error, hits below 5 %, and agreement of direction between bars."""
+    """Mean percentage error, share of errors below 5 %, agreement of direction between bars and correlation.
+
+    A bar without a bar before it has no direction and counts as a miss.
+    """
     e = F.abs(ratio(F.col("predicted") - F.col("actual"), F.col("actual")))
     d = pred.withColumns({"e": e, "dp": F.col("predicted") - F.lag("predicted").over(by_time()), "da": F.col("actual") - F.lag("actual").over(by_time())})
-    return d.groupBy("symbol").agg(F.avg("e").alias("mape"), F.avg((F.col("e") < 0.05).cast("double")).alias("hit_rate"), F.avg((F.signum("dp") == F.signum("da")).cast("double")).alias("direction"))
+    same = F.coalesce(F.signum("dp") == F.signum("da"), F.lit(False))
+    return d.groupBy("symbol").agg(
+        F.avg("e").alias("mape"), F.avg(F.coalesce(F.col("e") < 0.05, F.lit(False)).cast("double")).alias("hit_rate"), F.avg(same.cast("double")).alias("direction"),
+        safe_corr(F.col("predicted"), F.col("actual")).alias("correlation"),
+    )

@@ -40,16 +40,47 @@ def sectors(df: DataFrame, column: str, names: list[str], members: dict[str, Col
     return df.withColumn("sector", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
 
 
-def composite(uptrend: Column, strength: Column, macro: Column, cuts: Column, fundamentals: Column, low: float = 0.85, high: float = 1.15) -> Column:
-    """Product of trend, macro, rate and fundamental factors within bounds."""
+def composite(
+    uptrend: Column, strength: Column, hot: Column, resonance: Column, count: Column, macro: Column, cuts: Column, fundamentals: Column, low: float = 0.85, high: float = 1.15,
+) -> Column:
+    """Product of trend, sector, macro, rate and fundamental factors within bounds."""
     trend = F.when(uptrend, 1 + 0.08 * strength).otherwise(1 + 0.04 * (strength - 0.5))
-    f = trend * (1 + 0.06 * (macro - 0.5)) * (1 + 0.015 * cuts) * (1 + 0.08 * (fundamentals - 0.5))
+    sector = F.when(hot, 1 + 0.06 * resonance + F.least(0.01 * count, F.lit(0.03))).otherwise(1 + 0.02 * (resonance - 0.5))
+    f = trend * sector * (1 + 0.06 * (macro - 0.5)) * (1 + 0.015 * cuts) * (1 + 0.08 * (fundamentals - 0.5))
     return F.least(F.greatest(f, F.lit(low)), F.lit(high))
 
 
+#: Axis steps by the span that they are used below (fixed values).
+AXIS_STEPS = ((1, 0.1), (5, 0.5), (10, 1.0), (20, 2.0), (50, 5.0), (100, 10.0), (200, 20.0), (500, 50.0))
+
+
 def axis_step(span: Column) -> Column:
-    """The smallest fixed step that makes at most ten intervals."""
+    """The step of an axis by its span; 1 for an empty span."""
     step = F.lit(100.0)
-    for x in (50, 20, 10, 5, 2, 1, 0.5, 0.1):
-        step = F.when(span / 10 <= x, F.lit(float(x))).otherwise(step)
-    return step
+    for below, x in reversed(AXIS_STEPS):
+        step = F.when(span < below, F.lit(x)).otherwise(step)
+    return F.when(span <= 0, F.lit(1.0)).otherwise(step)
+
+
+def with_defaults(df: DataFrame, lookup: DataFrame, key: str, defaults: dict[str, object], broadcast_rows: int = 100_000) -> DataFrame:
+    """Columns of a lookup table by ``key``, with ``defaults`` where it has no row (or a null); the table is broadcast behind a count."""
+    small = lookup.select(key, *defaults)
+    hint = F.broadcast if small.count() <= broadcast_rows else (lambda x: x)
+    return df.drop(*defaults).join(hint(small), key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def check_request(code: str, name: str, pred_days: object, history_years: object) -> tuple[str, str, int, int]:
+    """A forecast request within its bounds; ValueError names the field that is not."""
+    code, name = (code or "").strip(), (name or "").strip()
+    if not code or not name:
+        raise ValueError(f"{'code' if not code else 'name'} must not be empty")
+    numbers = []
+    for field, value, most in (("pred_days", pred_days, 365), ("history_years", history_years, 10)):
+        try:
+            number = int(str(value).strip())
+        except ValueError:
+            raise ValueError(f"{field} must be a whole number") from None
+        if not 1 <= number <= most:
+            raise ValueError(f"{field} must be from 1 to {most}")
+        numbers.append(number)
+    return code, name, *numbers

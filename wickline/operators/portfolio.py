@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.numeric import clip, ratio
+from wickline.operators.frames import fold
 
 
 def signal_backtest(df: DataFrame, signal: str, capital: float = 100000.0, keep_cash: bool = True) -> DataFrame:
-    """Whole-share positions that follow a signal; value and position at every bar.
+    """Whole-share positions that follow a signal; value, position, price and trade of every bar with a price.
 
-    A position opens when flat and the signal is not 0, and closes when the signal is 0. ``keep_cash=False`` forgets the
-    cash that was left over when a position closes, as an older convention has it.
+    From the second bar on, a position opens when flat and the signal is not 0, and closes when the signal is 0. ``keep_cash=False``
+    forgets the cash that was left over when a position closes, as an older convention has it.
     """
-    bars = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", F.col("close").alias("price"), F.col(signal).cast("long").alias("signal")))).alias("bars"))
-    zero = F.struct(F.lit(capital).alias("cash"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("begun"), F.array().cast("array<struct<ts:date,value:double,position:bigint>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        close = acc.begun & (acc.held != 0) & (x.signal == 0)
-        shares = F.floor(acc.cash / x.price)
-        open_ = acc.begun & (acc.held == 0) & (x.signal != 0) & (shares > 0)
-        cash = F.when(close, acc.held * x.price + (acc.cash if keep_cash else F.lit(0.0))).when(open_, acc.cash - shares * x.price).otherwise(acc.cash)
-        held = F.when(close, F.lit(0).cast("long")).when(open_, shares * x.signal).otherwise(acc.held)
-        row = F.struct(x.ts.alias("ts"), (cash + held * x.price).alias("value"), held.alias("position"))
-        return F.struct(cash.alias("cash"), held.alias("held"), F.lit(True).alias("begun"), F.concat(acc.out, F.array(row)).alias("out"))
+    def step(state, price, now):
+        cash, held, begun = state
+        if price is None:
+            return (cash, held, True), None
+        action = None
+        if begun and held and now == 0:
+            cash, held, action = held * price + (cash if keep_cash else 0.0), 0, "SELL"
+        elif begun and not held and now:
+            shares = math.floor(cash / price) if price else 0
+            if shares > 0:
+                cash, held, action = cash - shares * price, shares * int(now), "BUY"
+        return (cash, held, True), (cash + held * price, held, price, action)
 
-    return bars.select("symbol", F.inline(F.aggregate("bars", zero, step, lambda a: a.out)))
+    return fold(df, ["close", signal], "value double, position long, price double, action string", lambda: (capital, 0, False), step)
 
 
 def scores(windows: DataFrame, predicted: str, last: str) -> DataFrame:
@@ -92,7 +97,83 @@ def seeded_sample(df: DataFrame, seed: int, key: str, n: int) -> DataFrame:
     return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)
 
 
-def tame_outliers(df: DataFrame, bound: float = 0.3, back: float = 0.1) -> DataFrame:
-    """Forecasts further than ``bound`` from the current price go back to ``back`` beside it."""
-    move = ratio(F.col("predicted") - F.col("current"), F.col("current"))
-    return df.withColumn("corrected", F.when(F.abs(move) > bound, F.col("current") * (1 + F.signum(move) * back)).otherwise(F.col("predicted")))
+def seeded_uniform(seed: int, *keys: Column) -> Column:
+    """A number from 0 to 1 by a hash of seed and keys: equal on every run and engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def tame_outliers(df: DataFrame, factor: Column, columns: tuple[str, ...] = ("open", "high", "low", "close"), bound: float = 0.3) -> DataFrame:
+    """Forecast prices further than ``bound`` from the ``current`` price: their distance is scaled by ``factor`` (0.8 to 1.2)."""
+    far = lambda c: F.abs(F.col(c) - F.col("current")) > F.col("current") * bound
+    return df.withColumns({c: F.when(far(c), F.col("current") * (1 + (ratio(F.col(c), F.col("current")) - 1) * factor)).otherwise(F.col(c)) for c in columns})
+
+
+def after_holidays(df: DataFrame, holidays: list[tuple[str, int, float]], columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """Prices from the end of a holiday on, for a number of days, times one plus its strength; (end, days, strength)."""
+    effect = F.lit(1.0)
+    for end, days, strength in holidays:
+        last = F.lit(end).cast("date")
+        effect = effect * F.when((F.col("ts") >= last) & (F.col("ts") < F.date_add(last, days)), 1 + strength).otherwise(1.0)
+    return df.withColumns({c: F.col(c) * effect for c in columns})
+
+
+def jitter_volume(df: DataFrame, mean: Column, factor: Column) -> DataFrame:
+    """Volume times ``factor``, within 0.3 and 3 times the history's mean."""
+    return df.withColumn("volume", F.greatest(F.least(F.col("volume") * factor, mean * 3.0), mean * 0.3))
+
+
+def topk_dropout(
+    bars: DataFrame, topk: int = 50, n_drop: int = 5, hold: int = 5, account: float = 100_000_000.0, open_cost: float = 0.001, close_cost: float = 0.0015, min_cost: float = 5.0, limit: float = 0.095, invested: float = 0.95,
+) -> DataFrame:
+    """A daily portfolio of the ``topk`` best scores that drops at most ``n_drop`` names a day; a row per day.
+
+    ``bars``: symbol, ts, open, close and ``score``, which is known at the close and acted on at the next day's open. Each day the held
+    names and the best others are ranked together; held names among the last ``n_drop`` are sold once held for ``hold`` days, and the
+    freed places are bought with equal shares of the ``invested`` part of the cash. Nothing is traded without a price or with an
+    opening move of ``limit`` or more against the last close (no purchase at the upper, no sale at the lower limit).
+
+    The portfolio is one series of days by definition. Its task reads only names that were among the best
+    ``topk + n_drop`` of some day: no other name can ever be held.
+    """
+    by_day = Window.partitionBy("ts").orderBy(F.desc("score"), "symbol")
+    yesterday = Window.partitionBy("symbol").orderBy("ts")
+    known = bars.select("symbol", "ts", "open", "close", F.lag("score").over(yesterday).alias("score"), F.lag("close").over(yesterday).alias("before"))
+    ranked = known.withColumn("rank", F.when(F.col("score").isNotNull(), F.row_number().over(by_day)))
+    able = ranked.filter(F.col("rank") <= topk + n_drop).select("symbol").distinct()
+    rows = F.struct("symbol", "open", "close", "score", "before")
+    days = ranked.join(able, "symbol", "left_semi").groupBy("ts").agg(F.collect_list(rows).alias("rows")).withColumn("all", F.lit(1))
+
+    def step(state, today):
+        cash, held = state  # name: (shares, days held, last close)
+        at = {r["symbol"]: r for r in today}
+        scored = sorted((r["symbol"] for r in today if r["score"] is not None), key=lambda n: (-at[n]["score"], n))
+        move = lambda n: at[n]["open"] / at[n]["before"] - 1 if n in at and at[n]["open"] and at[n]["before"] else None
+        own = [n for n in scored if n in held] + sorted(n for n in held if n not in at or at[n]["score"] is None)
+        fresh = [n for n in scored if n not in held][: n_drop + topk - len(own)]
+        together = sorted(own + fresh, key=lambda n: (n not in at or at[n]["score"] is None, -(at[n]["score"] or 0.0) if n in at else 0.0, n))
+        weak = set(together[-n_drop:])
+        cost = turnover = 0.0
+        sold = 0
+        for n in [n for n in own if n in weak and held[n][1] >= hold]:
+            if move(n) is not None and move(n) > -limit:
+                value = held.pop(n)[0] * at[n]["open"]
+                fee = max(min_cost, value * close_cost)
+                cash, cost, turnover, sold = cash + value - fee, cost + fee, turnover + value, sold + 1
+        buy = [n for n in fresh[: max(sold + topk - len(own), 0)] if move(n) is not None and move(n) < limit]
+        share = cash * invested / len(buy) if buy else 0.0
+        for n in buy:
+            shares = math.floor(share / (at[n]["open"] * (1 + open_cost)))
+            if shares > 0:
+                value = shares * at[n]["open"]
+                fee = max(min_cost, value * open_cost)
+                cash, cost, turnover = cash - value - fee, cost + fee, turnover + value
+                held[n] = (shares, 0, at[n]["open"])
+        worth = 0.0
+        for n, (shares, age, price) in list(held.items()):
+            price = at[n]["close"] if n in at and at[n]["close"] is not None else price
+            held[n] = (shares, age + 1, price)
+            worth += shares * price
+        return (cash, held), (cash + worth, cash, len(held), cost, turnover)
+
+    return fold(days, ["rows"], "value double, cash double, names long, cost double, turnover double", lambda: (account, {}), step, key="all").drop("all")

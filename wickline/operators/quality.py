@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickline.functions.numeric import clean_number
+from wickline.operators.frames import by_time
 
 PRICES = ("open", "high", "low", "close")
 
-def by_time():
-    """Rows of a symbol in time order."""
-    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def repair_envelope(df: DataFrame) -> DataFrame:

@@ -21,14 +21,51 @@ def quantise(v: Column, dim: int) -> Column:
 
 
 def bits_to_index(v: Column) -> Column:
-    """Bit i is set where entry i is not negative; the first entry is the lowest bit."""
-    bits = F.transform(v, lambda x, i: F.when(x >= 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x)
+    """Bit i is set where entry i is not negative; the first entry is the lowest bit (at most 63 bits)."""
+    bits = F.transform(v, lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
-def index_to_vector(index: Column, dim: int) -> Column:
-    scale = 1 / math.sqrt(dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.floor(index / F.pow(F.lit(2.0), i)) % 2 == 1, F.lit(scale)).otherwise(F.lit(-scale)))
+def index_to_vector(index: Column, bits: int, dim: int | None = None) -> Column:
+    """The signs of an index of ``bits`` bits over the root of ``dim`` (default: the bits)."""
+    scale = 1 / math.sqrt(dim or bits)
+    at = lambda i: F.call_function("shiftright", index.cast("long"), i).bitwiseAND(F.lit(1).cast("long"))
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(at(i) == 1, F.lit(scale)).otherwise(F.lit(-scale)))
+
+
+def half_indexes(v: Column, low_bits: int, dim: int) -> tuple[Column, Column]:
+    """Indexes of the first ``low_bits`` entries and of the rest of a quantised vector."""
+    return bits_to_index(F.slice(v, F.lit(1), F.lit(low_bits))), bits_to_index(F.slice(v, F.lit(low_bits + 1), F.lit(dim - low_bits)))
+
+
+def halves_to_vector(first: Column, rest: Column, low_bits: int, dim: int) -> Column:
+    """The quantised vector of two half indexes."""
+    return F.concat(index_to_vector(first, low_bits, dim), index_to_vector(rest, dim - low_bits, dim))
+
+
+def codes_to_index(codes: Column, width: int) -> Column:
+    """One index of the codes of equal groups of ``width`` bits, the first group highest."""
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.call_function("shiftleft", a, F.lit(width)).bitwiseOR(x.cast("long")))
+
+
+def index_to_codes(index: Column, groups: int, width: int) -> Column:
+    """The codes of equal groups of an index, the first group highest."""
+    mask = F.lit((1 << width) - 1).cast("long")
+    return F.transform(F.sequence(F.lit(groups - 1), F.lit(0), F.lit(-1)), lambda g: F.call_function("shiftright", index.cast("long"), g * width).bitwiseAND(mask))
+
+
+def sinusoid(position: Column, dim: int, base: float = 10000.0) -> Column:
+    """Fixed time embedding: sine at even, cosine at odd places, of falling frequency."""
+    rate = lambda i: F.exp((i - i % 2).cast("double") * F.lit(-math.log(base) / dim)) * position
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i % 2 == 0, F.sin(rate(i))).otherwise(F.cos(rate(i))))
+
+
+def add_vectors(*vectors: Column) -> Column:
+    """Entry by entry sum of arrays of one length."""
+    total = vectors[0]
+    for v in vectors[1:]:
+        total = F.zip_with(total, v, lambda a, b: a + b)
+    return total
 
 
 def split_token(token: Column, low_bits: int) -> tuple[Column, Column]:

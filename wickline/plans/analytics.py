@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wickline.api import gaps
 from wickline.operators import adjust, features, indicators, tokens
 from wickline.operators import parsing as ps
 from wickline.plans import oracle as o
@@ -23,12 +22,21 @@ def factored(spark, sf):
     return adjust.with_factor(c.withColumn("adj_close", F.col("close") * F.when(F.col("ts") < "1998-01-01", 0.5).otherwise(1.0)))
 
 
-@query("provider_factors", f"""with {FACTORS} select symbol, count(*) as n_rows, {o.d('min(ts)', 'first_ts')}, {o.d('max(ts)', 'last_ts')}, {o.r('min(factor)', 'min_factor')}, {o.r('max(factor)', 'max_factor')},
-  count(*) filter (abs(factor - 1) > 1e-6) as adjusted_rows, sha256(string_agg(strftime(ts, '%Y-%m-%d') || '=' || printf('%.6f', factor), '~' order by ts)) as fingerprint from f group by symbol""")
+_FINGER = """y as (select symbol, year(ts) as year, count(*) as n, min(ts) as lo_ts, max(ts) as hi_ts, min(factor) as lo, max(factor) as hi, count(*) filter (abs(factor - 1) > 1e-6) as changed,
+    sha256(string_agg(strftime(ts, '%Y-%m-%d') || '=' || printf('%.6f', factor), '~' order by ts)) as digest from f group by all),
+  d as (select symbol, sum(n)::bigint as n_rows, min(lo_ts) as first_ts, max(hi_ts) as last_ts, min(lo) as min_factor, max(hi) as max_factor, sum(changed)::bigint as adjusted_rows, sha256(string_agg(digest, '~' order by year)) as fingerprint from y group by symbol)"""
+
+
+@query("provider_factors", f"with {FACTORS}, {_FINGER} select symbol, n_rows, {o.d('first_ts')}, {o.d('last_ts')}, {o.r('min_factor')}, {o.r('max_factor')}, adjusted_rows, fingerprint from d")
 def _(spark, sf):
     return adjust.diagnostics(factored(spark, sf))
 
 
+@query("factor_fingerprint", f"with {FACTORS}, {_FINGER} select sha256(string_agg(symbol || '=' || fingerprint, '~' order by symbol)) as fingerprint, count(*) as names from d")
+def _(spark, sf):
+    return adjust.total_fingerprint(adjust.diagnostics(factored(spark, sf)))
+
+
 _REBASED = f"""{FACTORS}, og as (select symbol, max(ts) as origin from f group by symbol), b as (select f.*, origin, f.factor / g.factor as scale from f join og using (symbol) join f g on g.symbol = f.symbol and g.ts = origin),
   s as (select symbol, ts, origin, volume, open * scale as o1, high * scale as h1, low * scale as l1, close * scale as c1 from b), s2 as (select *, greatest(h1, o1, c1, l1) as h2 from s), s3 as (select *, least(l1, o1, c1, h2) as l2 from s2)"""
 
@@ -99,9 +107,25 @@ def _(spark, sf):
     return indicators.recent_trend(src.week6(spark, sf)).select("symbol", "ts", "trend")
 
 
-@query("centered_smooth", f"with {W6} select symbol, {T}, {o.r('avg(close) over (partition by symbol order by ts rows between 2 preceding and 1 following)', 'smooth')} from c")
+PRICES = ("open", "high", "low", "close")
+_HIST = "hs as (select * from c where ts < date '2000-01-01'), fu as (select * from c where ts >= date '2000-01-01')"
+_TREND = """tn as (select *, row_number() over (partition by symbol order by ts)::double as x, row_number() over (partition by symbol order by ts desc) as back from hs),
+  tr as (select symbol, coalesce(least(greatest(regr_slope(close, x) / nullif(max(close) - min(close), 0) * count(*), -0.1), 0.1), 0) as trend from tn where back <= 20 group by symbol)"""
+_WIDTH = "fw as (select *, greatest(3, least(7, count(*) over (partition by symbol) // 5)) as w, row_number() over (partition by symbol order by ts) as rn from fu)"
+
+
+def halves(spark, sf):
+    """Bars before and from the year 2000: a history and what stands for its forecast."""
+    c = src.week6(spark, sf)
+    return c.filter("ts < '2000-01-01'"), c.filter("ts >= '2000-01-01'")
+
+
+@query("centered_smooth", f"with {W6}, {_HIST}, {_TREND}, {_WIDTH} select a.symbol, strftime(a.ts, '%Y-%m-%d') as ts, " + ", ".join(o.r(f"avg(b.{c}) * (1 + any_value(trend) * 0.3)", c) for c in PRICES)
+  + " from fw a join fw b on a.symbol = b.symbol and b.rn between a.rn - a.w // 2 and a.rn + (a.w - 1) // 2 join tr on tr.symbol = a.symbol group by a.symbol, a.ts")
 def _(spark, sf):
-    return indicators.centered_mean(src.week6(spark, sf), 4).select("symbol", "ts", "smooth")
+    before, after = halves(spark, sf)
+    trend = indicators.recent_trend(before).groupBy("symbol").agg(F.max_by("trend", "ts").alias("trend"))
+    return indicators.smoothed(after, trend).select("symbol", "ts", *PRICES)
 
 
 _RET = f"""{W6}, r0 as (select *, close / nullif(lag(close) over (partition by symbol order by ts), 0) - 1 as change from c),
@@ -114,12 +138,6 @@ def _(spark, sf):
     return indicators.returns(src.week6(spark, sf)).select("symbol", "ts", "change", "growth", "peak", "drawdown")
 
 
-@query("backtest_metrics", f"""with {_RET}, g as (select symbol, count(change) as n, arg_max(growth, ts) as growth, stddev_samp(change) as sd, min(drawdown) as max_drawdown, avg((change > 0)::int::double) as win_rate from r3 group by symbol)
-  select symbol, {o.r('growth - 1', 'total_return')}, {o.r('power(growth, 52.0 / n) - 1', 'annual_return')}, {o.r('sd * sqrt(52.0)', 'volatility')}, {o.r('(power(growth, 52.0 / n) - 1 - 0.03) / nullif(sd * sqrt(52.0), 0)', 'sharpe')}, {o.r('max_drawdown')}, {o.r('win_rate')} from g""")
-def _(spark, sf):
-    return indicators.performance(src.week6(spark, sf), 52)
-
-
 _SIG = f"""{W6}, s0 as (select *, close / nullif(lag(close) over (partition by symbol order by ts), 0) - 1 as change from c), s1 as (select *, case when change > 0.05 then 1 when change < -0.05 then -1 else 0 end as raw_signal from s0),
   s2 as (select *, coalesce(last_value(nullif(raw_signal, 0) ignore nulls) over (partition by symbol order by ts rows between unbounded preceding and current row), 0) as signal from s1)"""
 
@@ -132,33 +150,58 @@ def _(spark, sf):
 _FOLD = f"{W6}, n as (select *, row_number() over (partition by symbol order by ts) as rn, close / nullif(lag(close) over (partition by symbol order by ts), 0) - 1 as change from c)"
 
 
-@query("price_limits", f"""with recursive {_FOLD}, l as (select symbol, ts, close, rn, close as limited from n where rn = 1 union all select n.symbol, n.ts, n.close, n.rn, least(greatest(n.close, l.limited * 0.9), l.limited * 1.1) from l join n on n.symbol = l.symbol and n.rn = l.rn + 1)
-  select symbol, {T}, {o.r('close')}, {o.r('limited')} from l""")
-def _(spark, sf):
-    return indicators.price_limits(src.week6(spark, sf), 0.1)
+def _clip(c: str) -> str:
+    return f"least(greatest(n.{c}, l.close * 0.9), l.close * 1.1)"
 
 
-@query("threshold_strategy", f"""with recursive {_FOLD}, l as (select symbol, rn, 100000.0::double as cash, 0.0::double as shares, 0::bigint as trades, close as price from n where rn = 1 union all
-  select n.symbol, n.rn, case when l.shares = 0 and n.change > 0.05 then 0.0 when l.shares > 0 and n.change < -0.05 then l.shares * n.close * 0.999 else l.cash end, case when l.shares = 0 and n.change > 0.05 then l.cash * 0.999 / n.close when l.shares > 0 and n.change < -0.05 then 0.0 else l.shares end,
-    case when (l.shares = 0 and n.change > 0.05) or (l.shares > 0 and n.change < -0.05) then l.trades + 1 else l.trades end, n.close from l join n on n.symbol = l.symbol and n.rn = l.rn + 1)
-  select symbol, round(cash + shares * price, 3) + 0.0 as final_value, {o.r('(cash + shares * price) / 100000.0 - 1', 'total_return')}, trades from l qualify row_number() over (partition by symbol order by rn desc) = 1""")
+@query("price_limits", f"""with recursive {W6}, {_HIST}, n as (select *, row_number() over (partition by symbol order by ts) as rn from fu), l as (
+    select symbol, date '1900-01-01' as ts, 0::bigint as rn, 0::double as open, 0::double as high, 0::double as low, arg_max(close, ts) as close from hs group by symbol
+    union all select n.symbol, n.ts, n.rn, {_clip('open')}, {_clip('high')}, {_clip('low')}, {_clip('close')} from l join n on n.symbol = l.symbol and n.rn = l.rn + 1)
+  select symbol, {T}, {', '.join(o.r(c) for c in PRICES)} from l where rn > 0""")
 def _(spark, sf):
-    return indicators.threshold_strategy(src.week6(spark, sf), 0.05).withColumn("final_value", F.round("final_value", 3))
+    before, after = halves(spark, sf)
+    return indicators.price_limits(after, before.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close")), 0.1)
 
 
-_ACC = f"{W6}, p as (select symbol, ts, close as actual, avg(close) over (partition by symbol order by ts rows between 3 preceding and 1 preceding) as predicted from c), q as (select *, abs((predicted - actual) / nullif(actual, 0)) as e, predicted - lag(predicted) over w as dp, actual - lag(actual) over w as da from p where predicted is not null window w as (partition by symbol order by ts))"
+_PRED = f"{W6}, p as (select symbol, ts, close as actual, avg(close) over (partition by symbol order by ts rows between 3 preceding and 1 preceding) as predicted from c), pp as (select *, row_number() over (partition by symbol order by ts) as rn from p where predicted is not null)"
 
 
-@query("prediction_accuracy", f"with {_ACC} select symbol, {o.r('avg(e)', 'mape')}, {o.r('avg((e < 0.05)::int::double)', 'hit_rate')}, {o.r('avg((sign(dp) = sign(da))::int::double)', 'direction')} from q group by symbol")
-def _(spark, sf):
+def predicted(spark, sf):
+    """The mean of the three closes before a bar, standing for its forecast."""
     w = indicators.by_time()
-    p = src.week6(spark, sf).select("symbol", "ts", F.col("close").alias("actual"), F.avg("close").over(w.rowsBetween(-3, -1)).alias("predicted")).filter("predicted is not null")
-    return indicators.accuracy(p)
+    return src.week6(spark, sf).select("symbol", "ts", F.col("close").alias("actual"), F.avg("close").over(w.rowsBetween(-3, -1)).alias("predicted")).filter("predicted is not null")
+
+
+_BUY, _SELL = "l.held = 0 and (n.predicted - n.actual) / n.actual > 0.03 and floor(l.cash / n.actual) > 0", "l.held > 0 and (n.predicted - n.actual) / n.actual < -0.03"
+
+
+_MOVE = f"{W6}, p as (select symbol, ts, close as actual, close * close / nullif(lag(close) over (partition by symbol order by ts), 0) as predicted from c), pp as (select *, row_number() over (partition by symbol order by ts) as rn from p where predicted is not null)"
+
+
+@query("threshold_strategy", f"""with recursive {_MOVE}, l as (select symbol, date '1900-01-01' as ts, 0::bigint as rn, 100000.0::double as cash, 0::bigint as held, 0.0::double as price, cast(null as varchar) as action from (select distinct symbol from pp)
+    union all select n.symbol, n.ts, n.rn, case when {_BUY} then l.cash - floor(l.cash / n.actual) * n.actual when {_SELL} then l.cash + l.held * n.actual else l.cash end,
+      case when {_BUY} then floor(l.cash / n.actual)::bigint when {_SELL} then 0 else l.held end, n.actual, case when {_BUY} then 'BUY' when {_SELL} then 'SELL' end from l join pp n on n.symbol = l.symbol and n.rn = l.rn + 1)
+  select symbol, {T}, round(cash + held * price, 3) + 0.0 as value, held as position, action from l where rn > 0""")
+def _(spark, sf):
+    # the last move goes on once more
+    again = F.col("close") * F.col("close") / F.nullif(F.lag("close").over(indicators.by_time()), F.lit(0.0))
+    moves = src.week6(spark, sf).select("symbol", "ts", F.col("close").alias("actual"), again.alias("predicted")).filter("predicted is not null")
+    return indicators.threshold_strategy(moves).select("symbol", "ts", F.round("value", 3).alias("value"), "position", "action")
 
 
-@query("relative_volume", f"with {W6} select symbol, {T}, {o.r('volume / max(volume) over (partition by symbol)', 'relative_volume')} from c")
+@query("prediction_accuracy", f"""with {_PRED}, q as (select *, abs((predicted - actual) / nullif(actual, 0)) as e, predicted - lag(predicted) over w as dp, actual - lag(actual) over w as da from pp window w as (partition by symbol order by ts))
+  select symbol, {o.r('avg(e)', 'mape')}, {o.r('avg(coalesce(e < 0.05, false)::int::double)', 'hit_rate')}, {o.r('avg(coalesce(sign(dp) = sign(da), false)::int::double)', 'direction')}, {o.r(o.CORR.format(x='predicted', y='actual'), 'correlation')} from q group by symbol""")
 def _(spark, sf):
-    return src.week6(spark, sf).select("symbol", "ts", (F.col("volume") / F.max("volume").over(Window.partitionBy("symbol"))).alias("relative_volume"))
+    return indicators.accuracy(predicted(spark, sf))
+
+
+@query("relative_volume", f"""with {W6}, {_HIST}, pk as (select symbol, max(volume) as peak from hs group by symbol) select symbol, {T}, 'history' as part, {o.r('volume / peak', 'relative_volume')} from hs join pk using (symbol)
+  union all select symbol, {T}, 'forecast', {o.r('volume / peak', 'x')} from fu join pk using (symbol)""")
+def _(spark, sf):
+    before, after = halves(spark, sf)
+    peak = before.groupBy("symbol").agg(F.max("volume").alias("peak"))
+    both = before.withColumn("part", F.lit("history")).unionByName(after.withColumn("part", F.lit("forecast")))
+    return both.join(peak, "symbol").select("symbol", "ts", "part", (F.col("volume") / F.col("peak")).alias("relative_volume"))
 
 
 @query("walk_forward_points", f"with {_FOLD} select symbol, {T}, rn - 1 as start_index, {o.r('close')} from n where rn - 1 >= 52 and rn - 1 + 4 <= (select max(rn) from n m where m.symbol = n.symbol) and (rn - 1 - 52) % 4 = 0")
@@ -221,72 +264,55 @@ def _(spark, sf):
     return features.profile(src.week6(spark, sf))
 
 
-@query("shards", "select c_name as name, ntile(7) over (order by c_custkey) - 1 as shard_index from customer where c_custkey <= 100")
+@query("shards", "select c_name as name, ntile(7) over (order by c_custkey) - 1 as shard_index from customer")
 def _(spark, sf):
-    return features.contiguous_shards(src.read(spark, sf, "customer").filter("c_custkey <= 100"), "c_custkey", 7).select(F.col("c_name").alias("name"), "shard_index")
+    return features.contiguous_shards(src.read(spark, sf, "customer"), "c_custkey", 7).select(F.col("c_name").alias("name"), "shard_index")
 
 
-@query("shards_whole", "select c_name as name, ntile(7) over (order by c_custkey) - 1 as shard_index from customer")
-def _(spark, sf):
-    return features.contiguous_shards(src.read(spark, sf, "customer"), "c_custkey", 7).select(F.col("c_name").alias("name"), "shard_index")
+_CASES = """m as (select ntile(7) over (order by c_custkey) - 1 as shard_index, c_name as s, c_nationkey from customer),
+  k as (select 'good' as run, shard_index, s, 'r1' as rev from m union all select 'renumbered', case when shard_index = 6 then 7 else shard_index end, s, 'r1' from m union all select 'revised', shard_index, s, case when shard_index = 3 then 'r2' else 'r1' end from m
+    union all select 'overlapping', shard_index, s, 'r1' from m union all select 'overlapping', 0, s, 'r1' from m where shard_index = 6 and c_nationkey = 1)"""
 
 
-@query("shard_manifest_check", "select 7 as shards, 7 as indexes, 0 as lo, 6 as hi, 1 as fingerprints, 0 as overlap, true as compatible")
+@query("shard_manifest_check", f"""with {_CASES}, g as (select run, count(distinct shard_index) as shards, count(distinct shard_index) as indexes, min(shard_index) as lo, max(shard_index) as hi, case when count(distinct rev) > 1 then 'model_revision' else '' end as differing, count(*) - count(distinct s) as overlap from k group by run)
+  select *, shards = 7 and lo = 0 and hi = 6 and differing = '' and overlap = 0 as compatible from g""")
 def _(spark, sf):
     s = features.contiguous_shards(src.read(spark, sf, "customer"), "c_custkey", 7)
-    m = s.groupBy("shard_index").agg(F.collect_list("c_name").alias("symbols")).withColumn("fingerprint", F.lit("a"))
-    return features.shard_check(m, 7)
+    m = s.withColumn("rev", F.lit("r1"))
+    runs = {
+        "good": m, "renumbered": m.withColumn("shard_index", F.when(F.col("shard_index") == 6, 7).otherwise(F.col("shard_index"))),
+        "revised": m.withColumn("rev", F.when(F.col("shard_index") == 3, "r2").otherwise("r1")), "overlapping": m.union(m.filter("shard_index = 6 and c_nationkey = 1").withColumn("shard_index", F.lit(0))),
+    }
+    out = None
+    for run, rows in runs.items():
+        g = rows.groupBy("shard_index").agg(F.collect_list("c_name").alias("symbols"), F.max("rev").alias("model_revision"))
+        g = g.withColumns({c: F.lit("a") for c in features.SAME if c != "model_revision"})
+        row = features.shard_check(g, 7).withColumn("run", F.lit(run))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # ---------------------------------------------------------------- tokens
 
-DIM = 16
-SCALE = 1 / math.sqrt(DIM)
-_VEC = f"v as (select vec_id, label, embedding[1:{DIM}]::double[] as e from embeddings), nrm as (select *, greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-12) as nn from v), tok as (select *, list_sum(list_transform(e, lambda x, i: case when x / nn > 0 then power(2, i - 1) else 0 end))::bigint as token from nrm)"
-
-
-def token_frame(spark, sf):
-    v = src.read(spark, sf, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, DIM).alias("e"))
-    q = v.withColumn("q", tokens.quantise(tokens.l2_normalise(F.col("e")), DIM))
-    return q.withColumn("token", tokens.bits_to_index(F.col("q")))
-
-
-@query("bsq_tokens", f"with {_VEC} select vec_id, token from tok")
-def _(spark, sf):
-    return token_frame(spark, sf).select("vec_id", "token")
-
-
-@query("bsq_roundtrip", f"with {_VEC} select vec_id, true as same, round(list_sum(list_transform(e, lambda x: case when x / nn > 0 then {SCALE} else -{SCALE} end)), 6) + 0.0 as total from tok")
-def _(spark, sf):
-    t = token_frame(spark, sf).withColumn("again", tokens.index_to_vector(F.col("token"), DIM))
-    return t.select("vec_id", (F.col("again") == F.col("q")).alias("same"), F.aggregate("again", F.lit(0.0), lambda a, x: a + x).alias("total"))
+WHOLE, DIM = 64, 16  # entries of a vector; bits of a code
+_LOGITS = f"v as (select vec_id, embedding::double[] as e from embeddings), lg as (select vec_id, unnest(range(0, {WHOLE})) as i, unnest(e) as logit from v), sm as (select *, exp(logit - max(logit) over (partition by vec_id)) as ex from lg), pr as (select *, ex / sum(ex) over (partition by vec_id) as p from sm)"
 
 
-@query("token_split", f"with {_VEC} select vec_id, token >> 8 as high, token & 255 as low from tok")
-def _(spark, sf):
-    high, low = tokens.split_token(F.col("token"), 8)
-    return token_frame(spark, sf).select("vec_id", high.alias("high"), low.alias("low"))
+def logits(spark, sf):
+    return src.read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "logit"))
 
 
-@query("codebook_entropy", f"with {_VEC}, g as (select token & 255 as code, count(*) as n from tok group by 1), p as (select n, n / (select sum(n) from g) as p from g) select count(*) as used_codes, sum(n)::bigint as total, {o.r('-sum(p * ln(p + 1e-8))', 'entropy')}, {o.r('-sum(p * ln(p + 1e-8)) / ln(256)', 'share')} from p")
+@query("softmax_topk", f"with {_LOGITS} select vec_id, i, {o.r('p')} from pr qualify rank() over (partition by vec_id order by logit desc) <= 5")
 def _(spark, sf):
-    return tokens.codebook(token_frame(spark, sf).withColumn("code", F.col("token").bitwiseAND(F.lit(255).cast("long"))), "code", 256)
-
-
-def _logits_sql(dim: int) -> str:
-    return f"v as (select vec_id, embedding[1:{dim}]::double[] as e from embeddings), lg as (select vec_id, unnest(range(0, {dim})) as i, unnest(e) as logit from v), sm as (select *, exp(logit - max(logit) over (partition by vec_id)) as ex from lg), pr as (select *, ex / sum(ex) over (partition by vec_id) as p from sm)"
-
-
-_LOGITS = _logits_sql(DIM)
+    return tokens.top_k(tokens.softmax(logits(spark, sf), "vec_id", "logit"), "vec_id", "logit", 5).select("vec_id", "i", "p")
 
 
-def logits(spark, sf, dim=DIM):
-    return src.read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, dim)).alias("i", "logit"))
+_WARM = "wm as (select vec_id, i, exp((logit - max(logit) over (partition by vec_id)) / 0.6) as ex from lg)"
 
 
-@query("softmax_topk", f"with {_LOGITS} select vec_id, i, {o.r('p')} from pr qualify rank() over (partition by vec_id order by logit desc) <= 5")
+@query("softmax_temperature", f"with {_LOGITS}, {_WARM} select vec_id, i, {o.r('ex / sum(ex) over (partition by vec_id)', 'p')} from wm")
 def _(spark, sf):
-    return tokens.top_k(tokens.softmax(logits(spark, sf), "vec_id", "logit"), "vec_id", "logit", 5).select("vec_id", "i", "p")
+    return tokens.softmax(logits(spark, sf), "vec_id", "logit", 0.6).select("vec_id", "i", "p")
 
 
 @query("softmax_topp", f"with {_LOGITS}, b as (select *, coalesce(sum(p) over (partition by vec_id order by logit desc, i rows between unbounded preceding and 1 preceding), 0) as mass_before from pr) select vec_id, i, {o.r('p')} from b where mass_before <= 0.5")
@@ -299,7 +325,7 @@ def _(spark, sf):
     return logits(spark, sf).groupBy("vec_id").agg(F.max_by("i", F.struct("logit", -F.col("i"))).alias("token"))
 
 
-@query("sampled_token", f"with {_LOGITS}, u as (select *, sum(p) over (partition by vec_id order by i rows unbounded preceding) as cdf, ('0x' || substr(sha256('7:' || vec_id), 1, 8))::ubigint / 4294967296.0 as u from pr) select vec_id, coalesce(min(i) filter (cdf > u), {DIM - 1}) as token from u group by vec_id")
+@query("sampled_token", f"with {_LOGITS}, u as (select *, sum(p) over (partition by vec_id order by i rows unbounded preceding) as cdf, ('0x' || substr(sha256('7:' || vec_id), 1, 8))::ubigint / 4294967296.0 as u from pr) select vec_id, coalesce(min(i) filter (cdf > u), {WHOLE - 1}) as token from u group by vec_id")
 def _(spark, sf):
     u = tokens.seed_of(7, F.col("vec_id").cast("string")) / 4294967296.0
     return tokens.draw(tokens.softmax(logits(spark, sf), "vec_id", "logit"), "vec_id", "i", u)
@@ -310,40 +336,8 @@ def _(spark, sf):
     return logits(spark, sf).groupBy(F.col("i").alias("step")).agg(F.avg("logit").alias("mean"))
 
 
-# the same over every entry of the vector, and codes of the whole vector in groups of DIM bits
-
-WHOLE = 64
-_LOGITS_WHOLE = _logits_sql(WHOLE)
-
-
-@query("softmax_topk_whole", f"with {_LOGITS_WHOLE} select vec_id, i, {o.r('p')} from pr qualify rank() over (partition by vec_id order by logit desc) <= 5")
-def _(spark, sf):
-    return tokens.top_k(tokens.softmax(logits(spark, sf, WHOLE), "vec_id", "logit"), "vec_id", "logit", 5).select("vec_id", "i", "p")
-
-
-@query("softmax_topp_whole", f"with {_LOGITS_WHOLE}, b as (select *, coalesce(sum(p) over (partition by vec_id order by logit desc, i rows between unbounded preceding and 1 preceding), 0) as mass_before from pr) select vec_id, i, {o.r('p')} from b where mass_before <= 0.5")
-def _(spark, sf):
-    return tokens.top_p(logits(spark, sf, WHOLE), "vec_id", "logit", 0.5, "i").select("vec_id", "i", "p")
-
-
-@query("greedy_token_whole", f"with {_LOGITS_WHOLE} select vec_id, arg_max(i, (logit, -i)) as token from lg group by vec_id")
-def _(spark, sf):
-    return logits(spark, sf, WHOLE).groupBy("vec_id").agg(F.max_by("i", F.struct("logit", -F.col("i"))).alias("token"))
-
-
-@query("sampled_token_whole", f"with {_LOGITS_WHOLE}, u as (select *, sum(p) over (partition by vec_id order by i rows unbounded preceding) as cdf, ('0x' || substr(sha256('7:' || vec_id), 1, 8))::ubigint / 4294967296.0 as u from pr) select vec_id, coalesce(min(i) filter (cdf > u), {WHOLE - 1}) as token from u group by vec_id")
-def _(spark, sf):
-    u = tokens.seed_of(7, F.col("vec_id").cast("string")) / 4294967296.0
-    return tokens.draw(tokens.softmax(logits(spark, sf, WHOLE), "vec_id", "logit"), "vec_id", "i", u)
-
-
-@query("ensemble_mean_whole", f"with {_LOGITS_WHOLE} select i as step, {o.r('avg(logit)', 'mean')} from lg group by i")
-def _(spark, sf):
-    return logits(spark, sf, WHOLE).groupBy(F.col("i").alias("step")).agg(F.avg("logit").alias("mean"))
-
-
 _GROUPS = f"""v as (select vec_id, embedding::double[] as e from embeddings), nrm as (select *, greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-12) as nn from v),
-  tok as (select vec_id, g, list_sum(list_transform(e[g * {DIM} + 1:(g + 1) * {DIM}], lambda x, i: case when x / nn > 0 then power(2, i - 1) else 0 end))::bigint as token from nrm, range(0, {WHOLE // DIM}) r(g))"""
+  tok as (select vec_id, g, e[g * {DIM} + 1:(g + 1) * {DIM}] as part, list_sum(list_transform(e[g * {DIM} + 1:(g + 1) * {DIM}], lambda x, i: case when x / nn > 0 then power(2, i - 1) else 0 end))::bigint as token from nrm, range(0, {WHOLE // DIM}) r(g))"""
 
 
 def whole_vectors(spark, sf):
@@ -352,33 +346,53 @@ def whole_vectors(spark, sf):
 
 
 def group_tokens(spark, sf):
+    """Codes of ``DIM`` bits over the whole vector."""
     parts = whole_vectors(spark, sf).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(WHOLE // DIM - 1))).alias("g"), "q").withColumn("q", F.slice("q", F.col("g") * DIM + 1, F.lit(DIM)))
     return parts.withColumn("token", tokens.bits_to_index(F.col("q")))
 
 
-@query("bsq_tokens_whole", f"with {_GROUPS} select vec_id, g, token from tok")
+@query("bsq_tokens", f"with {_GROUPS} select vec_id, g, token from tok")
 def _(spark, sf):
     return group_tokens(spark, sf).select("vec_id", "g", "token")
 
 
-@query("bsq_roundtrip_whole", f"with {_GROUPS} select vec_id, g, true as same, round(bit_count(token) * 2 / sqrt({WHOLE}) - {DIM} / sqrt({WHOLE}), 6) + 0.0 as total from tok")
+@query("bsq_roundtrip", f"with {_GROUPS} select vec_id, g, array_to_string(list_transform(part, lambda x: case when x > 0 then '+' else '-' end), '') as signs, round(list_sum(list_transform(part, lambda x: case when x > 0 then 1 else -1 end)) / sqrt({WHOLE}), 6) + 0.0 as total from tok")
 def _(spark, sf):
-    unit = math.sqrt(DIM / WHOLE)
-    t = group_tokens(spark, sf).withColumn("again", F.transform(tokens.index_to_vector(F.col("token"), DIM), lambda x: x * unit))
-    return t.select("vec_id", "g", (F.col("again") == F.col("q")).alias("same"), F.aggregate("again", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    t = group_tokens(spark, sf).withColumn("again", tokens.index_to_vector(F.col("token"), DIM, WHOLE))
+    signs = F.array_join(F.transform("again", lambda x: F.when(x > 0, "+").otherwise("-")), "")
+    return t.select("vec_id", "g", signs.alias("signs"), F.aggregate("again", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+LOW = 24
 
 
-@query("token_split_whole", f"with {_GROUPS} select vec_id, g, token >> 8 as high, token & 255 as low from tok")
+@query("half_tokens", f"""with {_GROUPS.split('tok as')[0].rstrip().rstrip(',')} select vec_id, list_sum(list_transform(e[1:{LOW}], lambda x, i: case when x > 0 then power(2, i - 1) else 0 end))::bigint as first, list_sum(list_transform(e[{LOW + 1}:{WHOLE}], lambda x, i: case when x > 0 then power(2, i - 1) else 0 end))::bigint as rest,
+  array_to_string(list_transform(e, lambda x: case when x > 0 then '+' else '-' end), '') as signs from nrm""")
+def _(spark, sf):
+    first, rest = tokens.half_indexes(F.col("q"), LOW, WHOLE)
+    t = whole_vectors(spark, sf).select("vec_id", first.alias("first"), rest.alias("rest"))
+    back = tokens.halves_to_vector(F.col("first"), F.col("rest"), LOW, WHOLE)
+    return t.withColumn("signs", F.array_join(F.transform(back, lambda x: F.when(x > 0, "+").otherwise("-")), ""))
+
+
+@query("token_split", f"with {_GROUPS} select vec_id, g, token >> 8 as high, token & 255 as low from tok")
 def _(spark, sf):
     high, low = tokens.split_token(F.col("token"), 8)
     return group_tokens(spark, sf).select("vec_id", "g", high.alias("high"), low.alias("low"))
 
 
-@query("codebook_entropy_whole", f"with {_GROUPS}, g as (select token as code, count(*) as n from tok group by 1), p as (select n, n / (select sum(n) from g) as p from g) select count(*) as used_codes, sum(n)::bigint as total, {o.r('-sum(p * ln(p + 1e-8))', 'entropy')}, {o.r(f'-sum(p * ln(p + 1e-8)) / ln({1 << DIM})', 'share')} from p")
+@query("codebook_entropy", f"with {_GROUPS}, g as (select token as code, count(*) as n from tok group by 1), p as (select n, n / (select sum(n) from g) as p from g) select count(*) as used_codes, sum(n)::bigint as total, {o.r('-sum(p * ln(p + 1e-8))', 'entropy')}, {o.r(f'-sum(p * ln(p + 1e-8)) / ln({1 << DIM})', 'share')} from p")
 def _(spark, sf):
     return tokens.codebook(group_tokens(spark, sf).withColumn("code", F.col("token")), "code", 1 << DIM)
 
 
+@query("time_embedding", "select event_id, h as place, round(case when h % 2 = 0 then sin(hour(ts) * exp(h * -ln(10000.0) / 8)) else cos(hour(ts) * exp((h - 1) * -ln(10000.0) / 8)) end + case when h % 2 = 0 then sin((isodow(ts) - 1) * exp(h * -ln(10000.0) / 8)) else cos((isodow(ts) - 1) * exp((h - 1) * -ln(10000.0) / 8)) end, 6) + 0.0 as value from events, range(0, 8) t(h)")
+def _(spark, sf):
+    e = src.read(spark, sf, "events").select("event_id", F.hour("ts").cast("double").alias("h"), F.weekday("ts").cast("double").alias("w"))
+    both = tokens.add_vectors(tokens.sinusoid(F.col("h"), 8), tokens.sinusoid(F.col("w"), 8))
+    return e.select("event_id", F.posexplode(both).alias("place", "value"))
+
+
 @query("cohort_seed", "select distinct strftime(o_orderdate, '%Y-%m-%d') as day, ('0x' || substr(sha256('20260802:' || strftime(o_orderdate, '%Y-%m-%d')), 1, 8))::ubigint::bigint as seed from orders")
 def _(spark, sf):
     d = src.read(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
@@ -388,9 +402,13 @@ def _(spark, sf):
 # ---------------------------------------------------------------- reshape, joins, parsing
 
 
-@query("pivot_signals", f"with {W6} select {T}, " + ", ".join(o.r(f"avg(close) filter (symbol = '{s}')", s) for s in ("AF", "AO", "NF", "NO", "RF", "RO")) + " from c group by ts")
+#: The instruments of ``week6`` (return flag and line status): a pivot needs its columns beforehand.
+SYMBOLS = [f + t for f in "ANR" for t in "FO"]
+
+
+@query("pivot_signals", f"with {W6} select {T}, " + ", ".join(o.r(f"avg(close) filter (symbol = '{s}')", s) for s in SYMBOLS) + " from c group by ts")
 def _(spark, sf):
-    return src.week6(spark, sf).groupBy("ts").pivot("symbol", ["AF", "AO", "NF", "NO", "RF", "RO"]).avg("close")
+    return src.week6(spark, sf).groupBy("ts").pivot("symbol", SYMBOLS).avg("close")
 
 
 @query("unpivot_fields", f"with {W6} " + " union all ".join(f"select symbol, {T}, '{f}' as field, {o.r(f, 'value')} from c" for f in ("open", "high", "low", "close")))
@@ -423,11 +441,12 @@ def _(spark, sf):
     return b.join(x, ["symbol", "ordinal"]).select("symbol", "ordinal", "buy_ts", "sell_ts", (F.col("s") - F.col("b")).alias("profit"))
 
 
-@query("jsonp_klines", """select event_id, event_type as code, strftime(ts, '%Y-%m-%d') as day, round(value, 4) + 0.0 as open, round(value + 1, 4) + 0.0 as close, 0.0 as high from events""")
+@query("jsonp_klines", """select event_id, event_type as code, strftime(ts, '%Y-%m-%d') as day, round(value, 4) + 0.0 as open, round(value + 1, 4) + 0.0 as close, round(value + 2, 4) + 0.0 as high, round(value - 1, 4) + 0.0 as low, case when event_id % 3 = 0 then 0.0 else event_id::double end as volume from events""")
 def _(spark, sf):
     e = src.read(spark, sf, "events")
-    body = F.format_string('cb123({"data":{"code":"%s","klines":["%s,%.4f,%.4f"]}});', F.col("event_type"), F.date_format("ts", "yyyy-MM-dd"), F.col("value"), F.col("value") + 1)
-    return ps.klines(e.select("event_id", body.alias("body")), "body").select("event_id", "code", "day", "open", "close", "high")
+    tail = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(","), F.col("event_id").cast("string")))
+    body = F.format_string('cb123({"data":{"code":"%s","klines":["%s,%.4f,%.4f,%.4f,%.4f%s"]}});', F.col("event_type"), F.date_format("ts", "yyyy-MM-dd"), *[F.col("value") + k for k in (0, 1, 2, -1)], tail)
+    return ps.klines(e.select("event_id", body.alias("body")), "body").select("event_id", "code", "day", "open", "close", "high", "low", "volume")
 
 
 @query("exchange_code", "select p_partkey, case when substr(p_partkey::varchar, 1, 1) in ('0', '2', '3') then 'SZ' else 'SH' end as exchange from part")
@@ -453,23 +472,50 @@ def _(spark, sf):
     return ps.sectors(p, "p_type", ["STEEL", "BRASS", "TIN"], {"TIN": F.col("p_partkey") % 50 == 0}).select("p_partkey", "sector")
 
 
-@query("composite_factor", f"with {_STRENGTH} select symbol, {T}, {o.r('least(greatest((case when uptrend then 1 + 0.08 * strength else 1 + 0.04 * (strength - 0.5) end) * (1 + 0.06 * (0.7 - 0.5)) * (1 + 0.015 * 2) * (1 + 0.08 * (strength - 0.5)), 0.85), 1.15)', 'factor')} from st")
-def _(spark, sf):
+COMPOSITE = """least(greatest((case when uptrend then 1 + 0.08 * strength else 1 + 0.04 * (strength - 0.5) end) * (case when symbol < 'N' then 1 + 0.06 * strength + least(0.01 * 2, 0.03) else 1 + 0.02 * (strength - 0.5) end)
+  * (1 + 0.06 * (0.7 - 0.5)) * (1 + 0.015 * 2) * (1 + 0.08 * (strength - 0.5)), 0.85), 1.15)"""
+
+
+def scored(spark, sf):
+    """Bars with their composite factor; symbols before N stand for a hot sector."""
     t = indicators.trend_strength(src.week6(spark, sf))
-    return t.select("symbol", "ts", ps.composite(F.col("uptrend"), F.col("strength"), macro=F.lit(0.7), cuts=F.lit(2), fundamentals=F.col("strength")).alias("factor"))
+    s = F.col("strength")
+    return t.withColumn("factor", ps.composite(F.col("uptrend"), s, hot=F.col("symbol") < "N", resonance=s, count=F.lit(2), macro=F.lit(0.7), cuts=F.lit(2), fundamentals=s))
 
 
-@query("axis_interval", f"with {W6}, g as (select symbol, max(high) - min(low) as span from c group by symbol) select symbol, {o.r('span')}, case " + " ".join(f"when span / 10 <= {x} then {x}::double" for x in (0.1, 0.5, 1, 2, 5, 10, 20, 50)) + " else 100.0::double end as step from g")
+@query("composite_factor", f"with {_STRENGTH} select symbol, {T}, {o.r(COMPOSITE, 'factor')} from st")
+def _(spark, sf):
+    return scored(spark, sf).select("symbol", "ts", "factor")
+
+
+@query("axis_interval", f"with {W6}, g as (select symbol, max(high) - min(low) as span from c group by symbol union all select symbol || ' scaled ' || k, (max(high) - min(low)) * power(10, k - 4) from c, range(0, 5) t(k) group by symbol, k union all select 'flat', 0.0) select symbol, {o.r('span')}, case when span <= 0 then 1.0 "
+  + " ".join(f"when span < {b} then {x}" for b, x in ps.AXIS_STEPS) + " else 100.0 end::double as step from g")
 def _(spark, sf):
     g = src.week6(spark, sf).groupBy("symbol").agg((F.max("high") - F.min("low")).alias("span"))
-    return g.withColumn("step", ps.axis_step(F.col("span")))
+    more = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.concat_ws(" ", "symbol", F.lit("scaled"), F.col("k").cast("string")).alias("symbol"), (F.col("span") * F.pow(F.lit(10.0), F.col("k") - 4)).alias("span"))
+    flat = spark.createDataFrame([("flat", 0.0)], "symbol string, span double")
+    return g.union(more).union(flat).withColumn("step", ps.axis_step(F.col("span")))
+
+
+@query("lookup_defaults", "select p_partkey, coalesce(n_name, 'unknown') as sector, case when n_name is null then 0.5 else n_regionkey / 10.0 end::double as score from part left join nation on n_nationkey = p_size")
+def _(spark, sf):
+    n = src.read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("p_size"), F.col("n_name").alias("sector"), (F.col("n_regionkey") / 10).alias("score"))
+    return ps.with_defaults(src.read(spark, sf, "part").select("p_partkey", "p_size"), n, "p_size", {"sector": "unknown", "score": 0.5}).select("p_partkey", "sector", "score")
+
+
+@query("epoch_samples", f"""with {W6}, l as (select symbol, greatest(count(*) - 57 + 1, 0) as starts from c group by symbol), nb as (select symbol, starts, sum(starts) over (order by symbol) as hi from l where starts > 0),
+  d as (select i as sample, (('0x' || substr(sha256('5:2:' || i), 1, 12))::ubigint % (select sum(starts) from l)::ubigint)::bigint as nth from range(0, 500) t(i)) select sample, symbol, (nth - (hi - starts))::bigint as start_index from d join nb on nth >= hi - starts and nth < hi""")
+def _(spark, sf):
+    return features.sample_pairs(src.week6(spark, sf).groupBy("symbol").agg(F.count("*").alias("n_rows")), epoch=2, seed=5, n=500, width=57)
+
+
+_GAPS = [(f, f"abs(next_{f} - {f})") for f in PRICES]
 
 
-@query("continuity_gap", f"with {W6}, x as (select *, lead(open) over (partition by symbol order by ts) as next_open from c) select symbol, {T}, {o.r('abs(next_open - close)', 'gap')}, {o.r('abs(next_open - close) / nullif(close, 0) * 100', 'gap_pct')} from x where next_open is not null")
+@query("continuity_gap", f"with {W6}, x as (select *, " + ", ".join(f"lead({f}) over (partition by symbol order by ts) as next_{f}" for f in PRICES) + f" from c) select symbol, {T}, " + ", ".join(f"{o.r(g, f + '_gap')}, {o.r(f'{g} / nullif(abs(next_{f}), 0) * 100', f + '_gap_pct')}" for f, g in _GAPS) + " from x where next_close is not null")
 def _(spark, sf):
-    x = src.week6(spark, sf).withColumn("next_open", F.lead("open").over(indicators.by_time())).filter("next_open is not null")
-    gap = F.abs(F.col("next_open") - F.col("close"))
-    return x.select("symbol", "ts", gap.alias("gap"), (gap / F.when(F.col("close") != 0, F.col("close")) * 100).alias("gap_pct"))
+    x = src.week6(spark, sf).withColumns({f"next_{f}": F.lead(f).over(indicators.by_time()) for f in PRICES}).filter("next_close is not null")
+    return x.select("symbol", "ts", *[c for f in PRICES for c in gaps(F.col(f), F.col(f"next_{f}"), f)])
 
 
 @query("yearly_stats", f"with {W6} select symbol, year(ts) as year, count(*) as bars, {o.r('arg_min(open, ts)', 'first_open')}, {o.r('arg_max(close, ts)', 'last_close')}, {o.r('max(high)', 'high')}, {o.r('min(low)', 'low')}, {o.r('sum(volume)', 'volume')} from c group by symbol, year(ts)")

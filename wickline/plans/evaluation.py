@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wickline.config import EvaluationConfig
+from wickline.operators import adjust
 from wickline.operators import evaluation as ev
 from wickline.operators import quality as ql
 from wickline.plans import oracle as o
 from wickline.plans.registry import query
+from wickline.session import cut
 from wickline.sources import candles as src
+from wickline.sources import sinks
 
 THRESHOLD, HORIZON, LOOKBACK, MINIMUM = 0.8, 4, 52, 20
-DRAWS, SEED = 200, 20260802
+DRAWS, SEED = EvaluationConfig().draws, EvaluationConfig().seed
 ARGS6 = (o.WEEK6, THRESHOLD, HORIZON, LOOKBACK)
 ARGS25 = (o.WEEK25, THRESHOLD, HORIZON, LOOKBACK)
 BAR = "symbol, {day}, " + ", ".join(o.r(c) for c in ("open", "high", "low", "close", "volume"))
@@ -54,13 +57,31 @@ def _(spark, sf):
     return ql.repair_audit(ql.repair_envelope(damaged(spark, sf)))
 
 
+_BROKEN = f"""select symbol, case when day(ts) % 17 = 0 then null else ts end as ts, open, high, low, case when day(ts) % 23 = 0 then null when day(ts) % 29 = 0 then -close else close end as close, volume
+  from ({DAMAGED}), range(0, 2) x(copy) where copy = 0 or day(ts) % 19 = 0"""
+
+
+def broken(spark, sf):
+    """The damaged bars with missing stamps, repeated bars, missing and negative prices as well."""
+    day, b = F.dayofmonth("ts"), damaged(spark, sf)
+    both = b.union(b.filter(day % 19 == 0))
+    close = F.when(day % 23 == 0, F.lit(None)).when(day % 29 == 0, -F.col("close")).otherwise(F.col("close"))
+    return both.withColumns({"close": close, "ts": F.when(day % 17 != 0, F.col("ts"))})
+
+
 @query(
     "candle_violations",
-    f"""select * from (select symbol, {o.d('ts')}, case when least(open, high, low, close) < 0 then 'negative_price' when volume < 0 then 'negative_volume'
-      when high < greatest(open, close, low) then 'high' when low > least(open, close) then 'low' end as violation from ({DAMAGED})) where violation is not null""",
+    f"""select * from (select symbol, {o.d('ts')}, case when ts is null then 'timestamp' when count(*) over (partition by symbol, ts) > 1 then 'duplicate' when open is null or high is null or low is null or close is null or volume is null then 'non_numeric'
+      when least(open, high, low, close) < 0 then 'negative_price' when volume < 0 then 'negative_volume' when high < greatest(open, close, low) then 'high' when low > least(open, close) then 'low' end as violation from ({_BROKEN})) where violation is not null""",
 )
 def _(spark, sf):
-    return ql.violations(damaged(spark, sf)).select("symbol", "ts", "violation")
+    return ql.violations(broken(spark, sf)).select("symbol", "ts", "violation")
+
+
+@query("manifest_summary", f"with {_REPAIRED} select count(distinct symbol) + 1 as requested, count(distinct symbol) as succeeded, 1 as failed, sum((raw_high <> h2)::int + (raw_low <> l2)::int)::bigint as repairs from fin")
+def _(spark, sf):
+    failures = spark.createDataFrame([("ZZ", "ValueError", "no rows")], "symbol string, error_type string, error string")
+    return sinks.manifest_summary(sinks.manifest(ql.repair_envelope(damaged(spark, sf)), failures))
 
 
 @query("typical_amount", f"select symbol, {o.d('ts')}, {o.r('(high + low + close) / 3 * volume', 'amount')} from ({o.WEEK6})")
@@ -128,16 +149,17 @@ def _(spark, sf):
     return ql.as_of(u, F.lit("1998-06-01").cast("date")).select("member", "valid_from")
 
 
-@query("unknown_symbols", "select c_custkey as member from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("unknown_symbols", "select c_custkey as member from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderpriority = '1-URGENT')")
 def _(spark, sf):
-    return src.read(spark, sf, "customer").join(src.read(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("c_custkey").alias("member"))
+    held = src.read(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    return src.read(spark, sf, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("c_custkey").alias("member"))
 
 
 # ---------------------------------------------------------------- evaluation
 
 
 def parts(spark, sf, bars=src.week6):
-    candles = bars(spark, sf)
+    candles = cut(bars(spark, sf))  # read three times below: calendar, history, targets
     cohorts = ev.monthly_cohorts(ev.canonical_calendar(candles, THRESHOLD), HORIZON)
     wins = ev.windows(ev.history(candles, LOOKBACK), cohorts, LOOKBACK)
     return candles, cohorts, wins
@@ -149,6 +171,10 @@ def metrics(spark, sf, bars=src.week6):
     return ev.window_metrics(fact)
 
 
+_M = ["mae", "rmse", "history_last_close", "final_abs_error", "final_ape", "predicted_return", "actual_return", "predicted_log_return", "actual_log_return", "log_return_abs_error"]
+_MC = ["symbol", "candidate_month", "forecast_origin", "method", *_M, "direction_correct"]
+
+
 @query("canonical_calendar", f"with {o.calendar(o.WEEK6, THRESHOLD)} select {o.d('ts')}, symbols from cal")
 def _(spark, sf):
     return ev.canonical_calendar(src.week6(spark, sf), THRESHOLD)
@@ -160,9 +186,9 @@ def _(spark, sf):
     return c.withColumn("targets", F.array_join(F.transform("targets", lambda x: F.date_format(x, "yyyy-MM-dd")), ","))
 
 
-@query("calendar_skips", f"with {o.cohorts(o.WEEK6, THRESHOLD, HORIZON)} select candidate_month, 'incomplete_target_calendar' as reason_code from coh where not complete")
+@query("calendar_skips", f"with {o.cohorts(o.WEEK6, THRESHOLD, 4 * HORIZON)} select candidate_month, 'incomplete_target_calendar' as reason_code from coh where not complete")
 def _(spark, sf):
-    c = ev.monthly_cohorts(ev.canonical_calendar(src.week6(spark, sf), THRESHOLD), HORIZON)
+    c = ev.monthly_cohorts(ev.canonical_calendar(src.week6(spark, sf), THRESHOLD), 4 * HORIZON)
     return c.filter("not complete").select("candidate_month", F.lit("incomplete_target_calendar").alias("reason_code"))
 
 
@@ -203,17 +229,14 @@ def _(spark, sf):
     return ev.prediction_fact(ev.baselines(wins, HORIZON), ev.targets(wins, candles))
 
 
-_M = ["mae", "rmse", "history_last_close", "final_abs_error", "final_ape", "predicted_return", "actual_return", "predicted_log_return", "actual_log_return", "log_return_abs_error"]
-
-
 @query("window_metrics", f"with {o.metrics(*ARGS6)} select symbol, candidate_month, {o.d('forecast_origin')}, method, {', '.join(o.r(c) for c in _M)}, direction_correct from m")
 def _(spark, sf):
-    return metrics(spark, sf)
+    return metrics(spark, sf).select(*_MC)
 
 
 @query("benchmark_window_metrics", f"with {o.metrics(*ARGS25)} select symbol, candidate_month, {o.d('forecast_origin')}, method, {', '.join(o.r(c) for c in _M)}, direction_correct from m")
 def _(spark, sf):
-    return metrics(spark, sf, src.week25)
+    return ev.require_positive(metrics(spark, sf, src.week25)).select(*_MC)
 
 
 @query("symbol_metrics", f"with {o.metrics(*ARGS6)} select symbol as name, method, {o.SUMMARY} from m group by symbol, method")
@@ -254,10 +277,22 @@ def _(spark, sf):
     return ev.paired(metrics(spark, sf), SPECS).select("comparison_id", "symbol", "candidate_month", "challenger_error", "reference_error", "difference", "winner", "consistent")
 
 
-@query("pair_mismatch", f"with {o.metrics(*ARGS6)}, {_PAIRS} select comparison_id, count(*) as pairs, 0::bigint as mismatches from pr group by comparison_id")
+_SPOILT = f"sp as (select * exclude (actual_final_close), actual_final_close + case when method = 'momentum_20' and symbol = 'RF' and month(forecast_origin) = 3 then 999 else 0 end as actual_final_close from m)"
+
+
+@query(
+    "pair_mismatch",
+    f"with {o.metrics(*ARGS6)}, {_SPOILT} "
+    + " union all ".join(
+        f"""select '{i}' as comparison_id, count(*) as pairs, sum((abs(a.actual_final_close - b.actual_final_close) > 1e-8 + 1e-5 * abs(b.actual_final_close) or abs(a.history_last_close - b.history_last_close) > 1e-8 + 1e-5 * abs(b.history_last_close) or a.final_target_ts <> b.final_target_ts)::int)::bigint as mismatches
+        from sp a join sp b using (symbol, candidate_month, forecast_origin) where a.method = '{c}' and b.method = '{r}'"""
+        for i, c, r in SPECS
+    ),
+)
 def _(spark, sf):
-    p = ev.paired(metrics(spark, sf), SPECS)
-    return p.groupBy("comparison_id").agg(F.count("*").alias("pairs"), F.sum((~F.col("consistent")).cast("long")).alias("mismatches"))
+    spoilt = (F.col("method") == "momentum_20") & (F.col("symbol") == "RF") & (F.month("forecast_origin") == 3)
+    m = metrics(spark, sf).withColumn("actual_final_close", F.col("actual_final_close") + F.when(spoilt, 999).otherwise(0))
+    return ev.paired(m, SPECS).groupBy("comparison_id").agg(F.count("*").alias("pairs"), F.sum((~F.col("consistent")).cast("long")).alias("mismatches"))
 
 
 @query("win_rates", f"with {o.metrics(*ARGS6)}, {_PAIRS} select comparison_id, {o.r('avg((difference < 0)::int::double)', 'win_rate')}, count(*) as windows from pr group by comparison_id")
@@ -275,16 +310,12 @@ def _boot(cluster: str, seed: int, draws: int = DRAWS) -> str:
       from (select comparison_id, count(*) as k, sum(n)::bigint as n_rows, sum(s) / sum(n) as mean_difference from s_{cluster} group by all) k left join b_{cluster} b using (comparison_id))"""
 
 
-_INT = f"{o.metrics(*ARGS6)}, {_PAIRS}, {_boot('candidate_month', SEED)}, {_boot('symbol', SEED + 1)}, iv as (select * from i_candidate_month union all select * from i_symbol)"
+_INT = f"{o.metrics(*ARGS6)}, {_PAIRS}, {_boot('symbol', SEED)}, {_boot('forecast_origin', SEED + 1)}, iv as (select * from i_symbol union all select * from i_forecast_origin)"
+_DECIDE = "case when min(available::int) = 1 and max(upper) < 0 then 'robustly_better' when min(available::int) = 1 and min(lower) > 0 then 'robustly_worse' else 'mixed_or_inconclusive' end as decision"
 
 
-WHOLE = EvaluationConfig().draws
-_INT_WHOLE = f"{o.metrics(*ARGS6)}, {_PAIRS}, {_boot('candidate_month', SEED, WHOLE)}, {_boot('symbol', SEED + 1, WHOLE)}, iv as (select * from i_candidate_month union all select * from i_symbol)"
-
-
-def intervals(spark, sf, draws=DRAWS):
-    pairs = ev.paired(metrics(spark, sf), SPECS)
-    return ev.bootstrap(pairs, "candidate_month", draws, SEED).unionByName(ev.bootstrap(pairs, "symbol", draws, SEED + 1))
+def intervals(spark, sf):
+    return ev.bootstrap(ev.paired(metrics(spark, sf), SPECS, strict=True), {"symbol": SEED, "forecast_origin": SEED + 1}, DRAWS)
 
 
 @query("bootstrap_intervals", f"with {_INT} select comparison_id, cluster_column, available, n_rows, clusters, {o.r('mean_difference')}, {o.r('lower')}, {o.r('upper')} from iv")
@@ -292,16 +323,96 @@ def _(spark, sf):
     return intervals(spark, sf)
 
 
-@query("decisions", f"with {_INT} select comparison_id, case when min(available::int) = 1 and max(upper) < 0 then 'robustly_better' when min(available::int) = 1 and min(lower) > 0 then 'robustly_worse' else 'mixed_or_inconclusive' end as decision from iv group by comparison_id")
+@query("decisions", f"with {_INT} select comparison_id, {_DECIDE} from iv group by comparison_id")
 def _(spark, sf):
     return ev.decisions(intervals(spark, sf))
 
 
-@query("bootstrap_intervals_whole", f"with {_INT_WHOLE} select comparison_id, cluster_column, available, n_rows, clusters, {o.r('mean_difference')}, {o.r('lower')}, {o.r('upper')} from iv")
+# ---------------------------------------------------------------- benchmark of arms
+
+ARMS = ("raw", "adjusted")
+BENCH = o.benchmark(THRESHOLD, HORIZON, LOOKBACK)
+BENCH_SPECS = [("momentum_adjusted_vs_raw", "adjusted/momentum_20", "raw/momentum_20"), ("trend_adjusted_vs_raw", "adjusted/trend_20", "raw/trend_20"), ("adjusted_momentum_vs_last", "adjusted/momentum_20", "adjusted/last_close")]
+
+
+def benchmark(spark, sf):
+    """Metrics of two arms (contexts raw or adjusted by the provider's factor); both are scored on targets rebased to the origin."""
+    change = F.when(F.col("ts") < "1998-01-01", 0.5).when((F.col("symbol") < "Brand#3") & (F.col("ts") < "2000-01-01"), 0.8).otherwise(1.0)
+    base = src.week25(spark, sf).withColumn("factor", change)
+    arm = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), (F.col("factor") if a == "adjusted" else F.lit(1.0)).alias("f")) for a in ARMS]))
+    candles = base.withColumn("a", arm).select(
+        F.concat("a.arm", F.lit(":"), "symbol").alias("symbol"), "ts", *[(F.col(c) * F.col("a.f")).alias(c) for c in ("open", "high", "low", "close")], "volume", F.col("close").alias("raw"), (F.col("close") * F.col("factor")).alias("adj"), "factor",
+    )
+    candles = cut(candles)
+    cohorts = cut(ev.monthly_cohorts(ev.canonical_calendar(candles, THRESHOLD), HORIZON))
+    wins = ev.windows(ev.history(candles, LOOKBACK), cohorts, LOOKBACK)
+    fact = ev.prediction_fact(ev.baselines(wins, HORIZON), ev.targets(wins, candles.select("symbol", "ts", F.col("adj").alias("close"))))
+    seen = adjust.cohort_exposure(candles, cohorts, LOOKBACK)
+    origins = wins.select(*ev.KEYS, F.col("factor").alias("origin_factor"), F.col("raw").alias("origin_close"))
+    scaled = fact.drop("history_last_close").join(origins, list(ev.KEYS)).withColumns({
+        "predicted_close": F.when(F.col("symbol").startswith("raw:"), F.col("predicted_close")).otherwise(F.col("predicted_close") / F.col("origin_factor")),
+        "actual_close": F.col("actual_close") / F.col("origin_factor"), "history_last_close": F.col("origin_close"),
+    })
+    m = ev.require_positive(ev.window_metrics(scaled)).join(seen, list(ev.KEYS))
+    part = lambda i: F.split_part("symbol", F.lit(":"), F.lit(i))
+    return m.withColumns({"experiment_arm": part(1), "symbol": part(2)})
+
+
+@query("benchmark_exposure", f"with {BENCH} select experiment_arm, symbol, candidate_month, {o.d('forecast_origin')}, method, {o.r('cmax', 'context_max_abs_log_step')}, {o.r('tmax', 'target_max_abs_log_from_origin')}, context_changed as context_factor_changed, target_changed as target_factor_changed, exposure_bucket, {o.r('log_return_abs_error')}, {o.r('history_last_close')}, {o.r('actual_final_close')}, {o.d('final_target_ts')} from bm")
+def _(spark, sf):
+    return benchmark(spark, sf).select(
+        "experiment_arm", "symbol", "candidate_month", "forecast_origin", "method", "context_max_abs_log_step", "target_max_abs_log_from_origin", "context_factor_changed", "target_factor_changed", "exposure_bucket",
+        "log_return_abs_error", "history_last_close", "actual_final_close", "final_target_ts",
+    )
+
+
+_BSUM = "count(*) as windows, count(distinct symbol) as symbols, " + ", ".join(
+    o.r(x, n) for x, n in (("avg(log_return_abs_error)", "mean_log_return_abs_error"), ("median(log_return_abs_error)", "median_log_return_abs_error"), ("avg(final_ape)", "mean_final_ape"), ("median(final_ape)", "median_final_ape"), ("avg(mae)", "mean_mae"), ("avg(rmse)", "mean_rmse"), ("avg(direction_correct::int::double)", "direction_accuracy"))
+)
+
+
+@query("benchmark_symbol_metrics", f"with {BENCH} select experiment_arm, symbol as name, method, exposure_bucket, {_BSUM} from bm group by experiment_arm, symbol, method, exposure_bucket")
+def _(spark, sf):
+    return ev.benchmark_summary(benchmark(spark, sf).withColumn("name", F.col("symbol")), "experiment_arm", "name", "method", "exposure_bucket")
+
+
+@query("benchmark_period_metrics", f"with {BENCH} select experiment_arm, candidate_month, {o.d('forecast_origin')}, method, exposure_bucket, {_BSUM} from bm group by experiment_arm, candidate_month, forecast_origin, method, exposure_bucket")
+def _(spark, sf):
+    return ev.benchmark_summary(benchmark(spark, sf), "experiment_arm", "candidate_month", "forecast_origin", "method", "exposure_bucket")
+
+
+@query("benchmark_arm_summary", f"with {BENCH} select experiment_arm, method, {_BSUM} from bm group by experiment_arm, method")
+def _(spark, sf):
+    return ev.benchmark_summary(benchmark(spark, sf), "experiment_arm", "method")
+
+
+@query("exposure_counts", f"with {BENCH} select exposure_bucket, count(*) as windows from (select distinct symbol, candidate_month, exposure_bucket from bm) group by exposure_bucket")
+def _(spark, sf):
+    return benchmark(spark, sf).select("symbol", "candidate_month", "exposure_bucket").distinct().groupBy("exposure_bucket").agg(F.count("*").alias("windows"))
+
+
+_BY = "partition by experiment_arm, candidate_month, forecast_origin, method"
+_BRANKED = f"""{BENCH}, r0 as (select *, row_number() over ({_BY} order by predicted_log_return desc, symbol) as rp, row_number() over ({_BY} order by actual_log_return desc, symbol) as ra,
+  rank() over ({_BY} order by predicted_log_return) + (count(*) over ({_BY}, predicted_log_return) - 1) / 2.0 as sp, rank() over ({_BY} order by actual_log_return) + (count(*) over ({_BY}, actual_log_return) - 1) / 2.0 as sa from bm),
+  r1 as (select experiment_arm, candidate_month, forecast_origin, method, count(*) as eligible, {o.CORR.format(x='sp', y='sa')} as spearman, sum((rp <= 5 and ra <= 5)::int)::bigint as top_overlap, avg(case when rp <= 5 then actual_return end) as top_return, avg(case when rp <= 5 then actual_log_return end) as top_log_return from r0 group by all)"""
+
+
+@query("benchmark_ranking", f"with {_BRANKED} select experiment_arm, candidate_month, {o.d('forecast_origin')}, method, eligible, eligible >= {MINIMUM} as ranking_available, " + ", ".join(o.r(f"case when eligible >= {MINIMUM} then {c} end", c) for c in ("spearman", "top_return", "top_log_return")) + f", case when eligible >= {MINIMUM} then top_overlap end as top_overlap from r1")
+def _(spark, sf):
+    return ev.benchmark_ranking(benchmark(spark, sf), MINIMUM)
+
+
+@query("benchmark_pairs", f"with {BENCH} " + " union all ".join(
+    f"""select '{i}' as comparison_id, symbol, candidate_month, {o.d('forecast_origin')}, {o.r('a.log_return_abs_error', 'challenger_error')}, {o.r('b.log_return_abs_error', 'reference_error')}, {o.r('a.log_return_abs_error - b.log_return_abs_error', 'difference')}, a.exposure_bucket
+    from bm a join bm b using (symbol, candidate_month, forecast_origin) where a.experiment_arm || '/' || a.method = '{c}' and b.experiment_arm || '/' || b.method = '{r}'""" for i, c, r in BENCH_SPECS))
 def _(spark, sf):
-    return intervals(spark, sf, WHOLE)
+    m = benchmark(spark, sf).withColumn("name", F.concat("experiment_arm", F.lit("/"), "method"))
+    return ev.paired(m, BENCH_SPECS, name="name", strict=True).select("comparison_id", "symbol", "candidate_month", "forecast_origin", "challenger_error", "reference_error", "difference", "exposure_bucket")
 
 
-@query("decisions_whole", f"with {_INT_WHOLE} select comparison_id, case when min(available::int) = 1 and max(upper) < 0 then 'robustly_better' when min(available::int) = 1 and min(lower) > 0 then 'robustly_worse' else 'mixed_or_inconclusive' end as decision from iv group by comparison_id")
+@query("overall_summary", f"""with {_RANKED}, g as (select count(*) as n from (select distinct symbol from c) cross join coh where complete)
+  select (select count(*) from m where method = 'last_close') as eligible_windows, (select count(distinct symbol) from m) as symbols_evaluated, (select n from g) - (select count(*) from w where len(targets) = (select count(*) from c where c.symbol = w.symbol and list_contains(w.targets, c.ts))) as skipped_windows, (select count(*) from r1 where eligible >= {MINIMUM}) as ranking_cohorts""")
 def _(spark, sf):
-    return ev.decisions(intervals(spark, sf, WHOLE))
+    candles, cohorts, wins = parts(spark, sf, src.week25)
+    m = cut(ev.window_metrics(ev.prediction_fact(ev.baselines(wins, HORIZON), ev.targets(wins, candles))))
+    return ev.overall(m, ev.window_skips(candles, cohorts, LOOKBACK), ev.ranking(m, MINIMUM), "last_close")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from wickline.operators import evaluation as ev
 from wickline.operators import indicators
-from wickline.operators import parsing as ps
 from wickline.operators import portfolio as pf
+from wickline.operators import tokens as tk
 from wickline.plans import oracle as o
-from wickline.plans.analytics import _SIG, _STRENGTH, DIM, T, W6, _GROUPS, _VEC, WHOLE, token_frame, whole_vectors
+from wickline.plans.analytics import _GROUPS, _HIST, _SIG, _STRENGTH, COMPOSITE, PRICES, T, W6, WHOLE, halves, scored, whole_vectors
 from wickline.plans.evaluation import ARGS6, HORIZON, parts
 from wickline.plans.registry import query
 from wickline.sources import candles as src
@@ -18,23 +18,41 @@ from wickline.sources import candles as src
 
 def _positions(keep: bool) -> str:
     left = "l.cash" if keep else "0.0"
-    return f"""with recursive {_SIG}, n as (select symbol, ts, close, raw_signal as sg, row_number() over (partition by symbol order by ts) as rn from s2),
-    l as (select symbol, ts, rn, 100000.0::double as cash, 0::bigint as held, close as price from n where rn = 1 union all
-      select n.symbol, n.ts, n.rn, case when l.held <> 0 and n.sg = 0 then l.held * n.close + {left} when l.held = 0 and n.sg <> 0 and floor(l.cash / n.close) > 0 then l.cash - floor(l.cash / n.close) * n.close else l.cash end,
-        case when l.held <> 0 and n.sg = 0 then 0 when l.held = 0 and n.sg <> 0 and floor(l.cash / n.close) > 0 then floor(l.cash / n.close)::bigint * n.sg else l.held end, n.close from l join n on n.symbol = l.symbol and n.rn = l.rn + 1)
-    select symbol, {T}, round(cash + held * price, 3) + 0.0 as value, held as position from l"""
+    sell, buy = "l.held <> 0 and n.sg = 0", "l.held = 0 and n.sg <> 0 and floor(l.cash / n.close) > 0"
+    return f"""{_SIG}, n as (select symbol, ts, close, raw_signal as sg, row_number() over (partition by symbol order by ts) as rn from s2),
+    l as (select symbol, ts, rn, 100000.0::double as cash, 0::bigint as held, close as price, cast(null as varchar) as action from n where rn = 1 union all
+      select n.symbol, n.ts, n.rn, case when {sell} then l.held * n.close + {left} when {buy} then l.cash - floor(l.cash / n.close) * n.close else l.cash end,
+        case when {sell} then 0 when {buy} then floor(l.cash / n.close)::bigint * n.sg else l.held end, n.close, case when {sell} then 'SELL' when {buy} then 'BUY' end from l join n on n.symbol = l.symbol and n.rn = l.rn + 1)"""
 
 
-@query("signal_backtest", _positions(True))
+_POSITIONS = f"select symbol, {T}, round(cash + held * price, 3) + 0.0 as value, held as position, action from l"
+
+
+def backtested(spark, sf, keep_cash=True):
+    return pf.signal_backtest(indicators.signals(src.week6(spark, sf), 0.05), "raw_signal", keep_cash=keep_cash)
+
+
+@query("signal_backtest", f"with recursive {_positions(True)} {_POSITIONS}")
 def _(spark, sf):
-    s = indicators.signals(src.week6(spark, sf), 0.05)
-    return pf.signal_backtest(s, "raw_signal").withColumn("value", F.round("value", 3))
+    return backtested(spark, sf).select("symbol", "ts", F.round("value", 3).alias("value"), "position", "action")
+
+
+@query("signal_backtest_forgetful", f"with recursive {_positions(False)} {_POSITIONS}")
+def _(spark, sf):
+    return backtested(spark, sf, keep_cash=False).select("symbol", "ts", F.round("value", 3).alias("value"), "position", "action")
+
+
+_PERF = f"""{_positions(True)}, v as (select *, cash + held * price as value from l), r as (select *, case when lag(value) over w > 0 then value / lag(value) over w - 1 else 0 end as ret from v window w as (partition by symbol order by ts)),
+  g0 as (select *, product(1 + ret) over (partition by symbol order by ts rows unbounded preceding) as growth from r), g1 as (select *, growth / max(growth) over (partition by symbol order by ts rows unbounded preceding) - 1 as dd from g0),
+  g as (select symbol, count(*) as n, arg_max(value, ts) as final_value, stddev_samp(ret) as sd, min(dd) as max_drawdown, count(action) as trades from g1 group by symbol),
+  k as (select symbol, action, price, row_number() over (partition by symbol, action order by ts) as k from l where action is not null),
+  t as (select b.symbol, avg((s.price > b.price)::int::double) as win_rate, avg((s.price - b.price) / b.price) as mean_trade_return from k b join k s on s.symbol = b.symbol and s.k = b.k and b.action = 'BUY' and s.action = 'SELL' group by b.symbol),
+  x as (select *, final_value / 100000.0 - 1 as total_return, power(final_value / 100000.0, 52.0 / n) - 1 as annual_return, coalesce(sd, 0) * sqrt(52.0) as volatility from g left join t using (symbol))"""
 
 
-@query("signal_backtest_forgetful", _positions(False))
+@query("backtest_metrics", f"with recursive {_PERF} select symbol, round(final_value, 3) + 0.0 as final_value, {o.r('total_return')}, {o.r('annual_return')}, {o.r('volatility')}, {o.r('coalesce((annual_return - 0.03) / nullif(volatility, 0), 0)', 'sharpe')}, {o.r('max_drawdown')}, {o.r('coalesce(win_rate, 0)', 'win_rate')}, {o.r('coalesce(mean_trade_return, 0)', 'mean_trade_return')}, trades from x")
 def _(spark, sf):
-    s = indicators.signals(src.week6(spark, sf), 0.05)
-    return pf.signal_backtest(s, "raw_signal", keep_cash=False).withColumn("value", F.round("value", 3))
+    return indicators.performance(backtested(spark, sf), periods=52).withColumn("final_value", F.round("final_value", 3))
 
 
 _SCORES = f"{o.windows(*ARGS6)}, g as (select symbol, candidate_month, method, arg_max(predicted_close, horizon_step) - any_value(history_last_close) as l, avg(predicted_close) - any_value(history_last_close) as m, max(predicted_close) - any_value(history_last_close) as h, min(predicted_close) - any_value(history_last_close) as s from fc where method = 'trend_20' group by all)"
@@ -59,25 +77,17 @@ def _(spark, sf):
     return src.read(spark, sf, "part").select("p_partkey", low.alias("low"), high.alias("high"))
 
 
-_FACTOR = "least(greatest((case when uptrend then 1 + 0.08 * strength else 1 + 0.04 * (strength - 0.5) end) * (1 + 0.06 * (0.7 - 0.5)) * (1 + 0.015 * 2) * (1 + 0.08 * (strength - 0.5)), 0.85), 1.15)"
-
-
-def _scored(spark, sf):
-    t = indicators.trend_strength(src.week6(spark, sf))
-    return t.withColumn("factor", ps.composite(F.col("uptrend"), F.col("strength"), macro=F.lit(0.7), cuts=F.lit(2), fundamentals=F.col("strength")))
-
-
-@query("factor_applied", f"with {_STRENGTH}, f as (select *, {_FACTOR} as factor from st) select symbol, {T}, {o.r('close * least(greatest(factor, 0.9), 1.1)', 'close')}, {o.r('volume * (1 + (factor - 1) * 0.3)', 'volume')} from f")
+@query("factor_applied", f"with {_STRENGTH}, f as (select *, {COMPOSITE} as factor from st) select symbol, {T}, {o.r('close * least(greatest(factor, 0.9), 1.1)', 'close')}, {o.r('volume * (1 + (factor - 1) * 0.3)', 'volume')} from f")
 def _(spark, sf):
-    return pf.apply_factor(_scored(spark, sf), F.col("factor")).select("symbol", "ts", "close", "volume")
+    return pf.apply_factor(scored(spark, sf), F.col("factor")).select("symbol", "ts", "close", "volume")
 
 
-@query("outlook", f"""with {_STRENGTH}, f as (select *, {_FACTOR} as factor, symbol < 'N' as hot from st),
+@query("outlook", f"""with {_STRENGTH}, f as (select *, {COMPOSITE} as factor, symbol < 'N' as hot from st),
   g as (select *, list_filter([case when strength > 0.6 then 'trend' end, case when hot then 'sector' end, case when strength > 0.6 then 'fundamentals' end], lambda x: x is not null) as dr, list_filter([case when strength < 0.4 then 'trend' end, case when not hot then 'sector' end], lambda x: x is not null) as ri from f)
   select symbol, {T}, case when factor > 1 then 'positive' else 'cautious' end as sentiment, array_to_string(dr, ',') as drivers, array_to_string(ri, ',') as risks, case when len(dr) > len(ri) then 'watch' else 'careful' end as suggestion from g""")
 def _(spark, sf):
     x = pf.outlook(F.col("factor"), F.col("strength"), F.col("symbol") < "N", F.lit(0.7), F.col("strength"))
-    return _scored(spark, sf).withColumn("o", x).select("symbol", "ts", "o.*")
+    return scored(spark, sf).withColumn("o", x).select("symbol", "ts", "o.*")
 
 
 @query("buffered_range", f"with {W6}, l as (select ts, row_number() over (order by ts) - 1 as i from (select distinct ts from c)), a as (select greatest(count(*) filter (ts < date '1997-03-05') - 52, 0) as lo, least(count(*) filter (ts <= date '2000-01-15') - 1 + 4, max(i)) as hi from l) select {o.d('min(ts)', 'start_ts')}, {o.d('max(ts)', 'end_ts')} from l, a where i = lo or i = hi")
@@ -85,22 +95,68 @@ def _(spark, sf):
     return pf.buffered_range(src.week6(spark, sf).select("ts").distinct(), "1997-03-05", "2000-01-15", 52, 4)
 
 
-@query("group_codes", f"with {_VEC} select vec_id, array_to_string(list_transform(range(0, 4), lambda g: list_sum(list_transform(range(0, 4), lambda k: case when e[g * 4 + k + 1] > 0 then power(2, 3 - k) else 0 end))::bigint), ',') as codes from tok")
-def _(spark, sf):
-    return token_frame(spark, sf).select("vec_id", F.array_join(pf.group_codes(F.col("q"), 4, DIM // 4).cast("array<string>"), ",").alias("codes"))
+_BITS = "list_transform(e, lambda x: case when x > 0 then 1 else 0 end)"
 
 
-@query("group_codes_whole", f"with {_GROUPS} select vec_id, array_to_string(list_transform(range(0, {WHOLE // 4}), lambda g: list_sum(list_transform(range(0, 4), lambda k: case when e[g * 4 + k + 1] > 0 then power(2, 3 - k) else 0 end))::bigint), ',') as codes from nrm")
+@query("group_codes", f"with {_GROUPS} select vec_id, array_to_string(list_transform(range(0, {WHOLE // 4}), lambda g: list_sum(list_transform(range(0, 4), lambda k: case when e[g * 4 + k + 1] > 0 then power(2, 3 - k) else 0 end))::bigint), ',') as codes from nrm")
 def _(spark, sf):
     return whole_vectors(spark, sf).select("vec_id", F.array_join(pf.group_codes(F.col("q"), WHOLE // 4, 4).cast("array<string>"), ",").alias("codes"))
 
 
+@query("group_codes_inverse", f"""with {_GROUPS}, b as (select vec_id, range(0, 4) as parts, {_BITS} as b from nrm)
+  select vec_id, p as part, list_sum(list_transform(b[p * 16 + 1:p * 16 + 16], lambda x, i: x * power(2, 16 - i)))::bigint as index, array_to_string(list_transform(range(0, 4), lambda g: list_sum(list_transform(b[p * 16 + g * 4 + 1:p * 16 + g * 4 + 4], lambda x, i: x * power(2, 4 - i)))::bigint), ',') as codes from b, range(0, 4) t(p)""")
+def _(spark, sf):
+    codes = pf.group_codes(F.col("q"), WHOLE // 4, 4)
+    v = whole_vectors(spark, sf).select("vec_id", codes.alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"))
+    index = v.select("vec_id", "part", tk.codes_to_index(F.slice("codes", F.col("part") * 4 + 1, F.lit(4)), 4).alias("index"))
+    return index.withColumn("codes", F.array_join(tk.index_to_codes(F.col("index"), 4, 4).cast("array<string>"), ","))
+
+
 @query("seeded_sample", "select vec_id, label from embeddings order by sha256('11:' || vec_id), vec_id limit 50")
 def _(spark, sf):
     return pf.seeded_sample(src.read(spark, sf, "embeddings"), 11, "vec_id", 50).select("vec_id", "label")
 
 
-@query("tamed_outliers", f"with {W6}, x as (select symbol, ts, close as predicted, lag(close) over (partition by symbol order by ts) as current from c) select symbol, {T}, {o.r('predicted')}, {o.r('case when abs((predicted - current) / nullif(current, 0)) > 0.3 then current * (1 + sign(predicted - current) * 0.1) else predicted end', 'corrected')} from x where current is not null")
+_U = "('0x' || substr(sha256('3:' || symbol || ':' || strftime(ts, '%Y-%m-%d')), 1, 8))::ubigint / 4294967296.0"
+_CURRENT = "cu as (select symbol, arg_max(close, ts) as current, avg(volume) as mean_volume from hs group by symbol)"
+
+
+def forecast_bars(spark, sf):
+    """Bars from 2000 on as a forecast, with the last price and the mean volume known before."""
+    before, after = halves(spark, sf)
+    known = before.groupBy("symbol").agg(F.max_by("close", "ts").alias("current"), F.avg("volume").alias("mean_volume"))
+    return after.join(known, "symbol")
+
+
+def jitter():
+    return 0.8 + 0.4 * pf.seeded_uniform(3, F.col("symbol"), F.date_format("ts", "yyyy-MM-dd"))
+
+
+def _tamed(c: str) -> str:
+    return o.r(f"case when abs({c} - current) > current * 0.3 then current * (1 + ({c} / current - 1) * (0.8 + 0.4 * {_U})) else {c} end", c)
+
+
+@query("tamed_outliers", f"with {W6}, {_HIST}, {_CURRENT} select symbol, {T}, {', '.join(_tamed(c) for c in PRICES)} from fu join cu using (symbol)")
+def _(spark, sf):
+    return pf.tame_outliers(forecast_bars(spark, sf), jitter()).select("symbol", "ts", *PRICES)
+
+
+HOLIDAYS = [("2000-05-01", 20, 0.03), ("2000-10-08", 30, 0.02)]
+_EFFECT = " * ".join(f"case when ts >= date '{e}' and ts < date '{e}' + interval {d} day then {1 + s} else 1 end" for e, d, s in HOLIDAYS)
+
+
+@query("after_holidays", f"with {W6}, {_HIST} select symbol, {T}, {', '.join(o.r(f'{c} * {_EFFECT}', c) for c in PRICES)} from fu")
+def _(spark, sf):
+    return pf.after_holidays(halves(spark, sf)[1], HOLIDAYS).select("symbol", "ts", *PRICES)
+
+
+@query("jittered_volume", f"with {W6}, {_HIST}, {_CURRENT} select symbol, {T}, {o.r(f'greatest(least(volume * (0.8 + 0.4 * {_U}), mean_volume * 3), mean_volume * 0.3)', 'volume')} from fu join cu using (symbol)")
+def _(spark, sf):
+    return pf.jitter_volume(forecast_bars(spark, sf), F.col("mean_volume"), jitter()).select("symbol", "ts", "volume")
+
+
+@query("topk_dropout")
 def _(spark, sf):
-    x = src.week6(spark, sf).select("symbol", "ts", F.col("close").alias("predicted"), F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")).alias("current")).filter("current is not null")
-    return pf.tame_outliers(x).select("symbol", "ts", "predicted", "corrected")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    bars = src.week25(spark, sf).withColumn("score", F.col("close") / F.lag("close", 4).over(w) - 1)
+    return pf.topk_dropout(bars, topk=8, n_drop=2, hold=2, limit=0.5)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickline.functions.numeric import clean_number, ratio
+from wickline.operators.frames import by_time
+from wickline.operators.quality import violations
+
 UNIVERSE = ("symbol", "name", "valid_from", "valid_to")
 #: Column synonyms of providers (fixed values).
 SYNONYMS = {
@@ -50,9 +54,93 @@ def raw_candles(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("adj_close", F.coalesce("adj_close", "close")) if "adj_close" in out.columns else out.withColumn("adj_close", F.col("close"))
 
 
-def coverage(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols and stamps only: the other columns are never read."""
-    return raw_candles(spark, path).select("symbol", F.col("timestamps").alias("ts"))
+RAW = ("ts", "open", "high", "low", "close", "adj_close", "volume", "symbol")
+
+
+def discover(spark: SparkSession, folder: str, symbols: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """``symbol`` and ``path`` of the files of a folder that are named after a symbol of ``symbols``; contents are not read."""
+    found = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    named = found.filter(F.col("file").endswith(suffix)).select(F.expr(f"substring(file, 1, length(file) - {len(suffix)})").alias("symbol"), "path")
+    return named.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def restricted(candles: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Candles of the universe's symbols only."""
+    return candles.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def finite(c: Column) -> Column:
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def require(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``df`` if no row fails; else ValueError with the first failing check, in the given order, and its number of rows."""
+    counts = df.agg(*[F.count_if(bad).alias(f"c{i}") for i, bad in enumerate(checks.values())]).first()
+    for i, name in enumerate(checks):
+        if counts[i]:
+            raise ValueError(f"{name}: {counts[i]} rows")
+    return df
+
+
+def strict_raw(df: DataFrame) -> DataFrame:
+    """Raw candles that pass every gate: all columns, one row per symbol and stamp, finite numbers, positive prices, no negative volume."""
+    if missing := [c for c in RAW if c not in df.columns]:
+        raise ValueError("missing raw columns: " + ", ".join(missing))
+    prices = ("open", "high", "low", "close", "adj_close")
+    odd = F.lit(False)
+    for c in (*prices, "volume"):
+        odd = odd | ~finite(F.col(c))
+    low = F.least(*prices) <= 0
+    repeated = df.groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.count_if(F.col("ts").isNull()).alias("none"), F.count_if(odd).alias("odd"), F.count_if(low).alias("low"), F.count_if(F.col("volume") < 0).alias("sold"))
+    require(repeated, {
+        "timestamps are missing": F.col("none") > 0, "duplicate timestamps are not allowed": F.col("n") > 1, "numeric columns contain non-finite values": F.col("odd") > 0,
+        "prices must be strictly positive": F.col("low") > 0, "volume must not be negative": F.col("sold") > 0,
+    })
+    return df.select(*RAW)
+
+
+def strict_model(df: DataFrame) -> DataFrame:
+    """Model-ready candles that pass every gate: a finite amount and no violation of the candle rules."""
+    if "amount" not in df.columns:
+        raise ValueError("amount column is required")
+    require(df, {"amount contains non-finite values": ~finite(F.col("amount"))})
+    bad = violations(df).groupBy("violation").count().orderBy("violation").collect()  # a row per rule
+    if bad:
+        raise ValueError("candles are invalid: " + ", ".join(f"{r['violation']} ({r['count']} rows)" for r in bad))
+    return df
+
+
+def coverage(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Symbols and stamps only: the other columns are never read. ``strict`` refuses a stamp that a symbol has twice."""
+    df = raw_candles(spark, path).select("symbol", F.col("timestamps").alias("ts"))
+    if strict:
+        require(df.groupBy("symbol", "ts").agg(F.count("*").alias("n")), {"duplicate timestamps": F.col("n") > 1})
+    return df
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """A provider's frame as candles: canonical names (of two-level headers such as ``Open|X`` the first level), numbers, stamps without
+    a zone, rows in which a price or the volume is missing rejected."""
+    df = canonical_names(df.withColumnsRenamed({c: c.split("|")[0] for c in df.columns if "|" in c}))
+    numbers = [c for c in ("open", "high", "low", "close", "adj_close", "volume") if c in df.columns]
+    if missing := {"timestamps", "open", "high", "low", "close", "volume"} - set(df.columns):
+        raise ValueError(f"missing columns {sorted(missing)}")
+    bare = F.regexp_replace(F.col("timestamps").cast("string"), r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")
+    out = df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in numbers}).withColumn("timestamps", bare.try_cast("timestamp_ntz"))
+    out = out.withColumn("adj_close", F.coalesce("adj_close", "close") if "adj_close" in df.columns else F.col("close"))
+    return out.na.drop(subset=["timestamps", "open", "high", "low", "close", "volume"])
+
+
+def provider_daily(df: DataFrame) -> DataFrame:
+    """Daily bars of a provider that reports localised headers and text numbers: canonical names, coerced numbers, the change to the
+    bar before (``change``), its share (``change_pct``) and the amplitude, incomplete rows dropped."""
+    named = canonical_names(df)
+    numbers = [c for c in ("open", "high", "low", "close", "volume", "amount") if c in named.columns]
+    rows = named.withColumns({c: clean_number(F.col(c)) for c in numbers}).withColumn("ts", F.to_date("timestamps")).na.drop(subset=["ts", *numbers])
+    if "symbol" not in rows.columns:
+        rows = rows.withColumn("symbol", F.lit("series"))
+    before = F.lag("close").over(by_time())
+    return rows.drop("timestamps").withColumns({"change": F.col("close") - before, "change_pct": ratio(F.col("close") - before, before) * 100, "amplitude": ratio(F.col("high") - F.col("low"), before) * 100})
 
 
 def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame:
@@ -69,14 +157,18 @@ def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame:
     raise RuntimeError(f"no source has rows: {failures}")
 
 
-def synthetic(spark: SparkSession, symbols: int, days: int, seed: int = 7) -> DataFrame:
-    """Seeded random-walk candles within an envelope."""
+def synthetic(spark: SparkSession, symbols: int, days: int, seed: int = 7, step: float = 0.1, low: float = 1.0) -> DataFrame:
+    """Seeded random-walk candles within an envelope; a day's move is clamped to ``step`` and prices to ``low`` at least.
+
+    ``change_pct`` is the move against the close before, ``amplitude`` the day's range against it, in percent.
+    """
     base = spark.range(symbols * days).select((F.col("id") % symbols).cast("int").alias("s"), F.floor(F.col("id") / symbols).cast("int").alias("i"))
     noise = F.pmod(F.xxhash64(F.lit(seed), "s", "i"), F.lit(2001)) / 1000.0 - 1
-    steps = base.select(F.format_string("SYN%04d", "s").alias("symbol"), F.expr("date_add(date '2020-01-01', i)").alias("ts"), noise.alias("z"), "s")
-    from pyspark.sql import Window
-
-    walk = F.sum("z").over(Window.partitionBy("symbol").orderBy("ts"))
-    out = steps.withColumn("close", 100 * F.exp(F.lit(0.01) * walk))
-    out = out.withColumn("open", F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")), F.lit(100.0)))
-    return out.select("symbol", "ts", "open", (F.greatest("open", "close") * 1.005).alias("high"), (F.least("open", "close") * 0.995).alias("low"), "close", (1e4 * (1 + F.abs("z"))).alias("volume"))
+    steps = base.select(F.format_string("SYN%04d", "s").alias("symbol"), F.expr("date_add(date '2020-01-01', i)").alias("ts"), noise.alias("z"))
+    move = F.greatest(F.least(F.lit(0.01) * F.col("z"), F.lit(step)), F.lit(-step))
+    walk = F.sum(move).over(by_time())
+    out = steps.withColumn("close", F.greatest(100 * F.exp(walk), F.lit(low)))
+    before = F.coalesce(F.lag("close").over(by_time()), F.lit(100.0))
+    out = out.withColumn("open", before)
+    out = out.withColumns({"high": F.greatest("open", "close") * 1.005, "low": F.least("open", "close") * 0.995, "volume": 1e4 * (1 + F.abs("z"))})
+    return out.select("symbol", "ts", "open", "high", "low", "close", "volume", ((F.col("close") / F.col("open") - 1) * 100).alias("change_pct"), ((F.col("high") - F.col("low")) / F.col("open") * 100).alias("amplitude"))

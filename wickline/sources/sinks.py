@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +29,29 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_run(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], manifest: dict, path: str) -> None:
-    """Remove the marker, check keys, write every table and the manifest, then the marker."""
-    fs, marker = _fs(spark, f"{path}/{MARKER}")
-    fs.delete(marker, False)
+    """Check keys, write every table and the manifest into a folder of this run, then name that folder in the marker.
+
+    The marker is replaced last and by a rename: readers see the whole earlier run or the whole new one, and a run that
+    fails leaves the earlier one as it was. Folders that the marker does not name are deleted when a run is completed.
+    """
     for df, keys in tables.values():
         check_keys(df, keys)
+    run = f"run-{uuid.uuid4().hex}"
     for name, (df, _) in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{run}/{name}")
     text = spark.range(1).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in manifest.items()])).alias("value"))
-    text.write.mode("overwrite").text(f"{path}/manifest")
-    fs.create(marker, True).close()
+    text.write.text(f"{path}/{run}/manifest")
+    fs, marker = _fs(spark, f"{path}/{MARKER}")
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}.{run}")
+    out = fs.create(new, True)
+    out.write(bytearray(run.encode()))
+    out.close()
+    fs.delete(marker, False)
+    if not fs.rename(new, marker):
+        raise OSError(f"{path} can not be marked")
+    for f in fs.listStatus(marker.getParent()):
+        if f.isDirectory() and f.getPath().getName().startswith("run-") and f.getPath().getName() != run:
+            fs.delete(f.getPath(), True)
 
 
 def read_run(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -44,7 +59,34 @@ def read_run(spark: SparkSession, path: str, table: str) -> DataFrame:
     fs, marker = _fs(spark, f"{path}/{MARKER}")
     if not fs.exists(marker):
         raise FileNotFoundError(f"{path} is not completed")
-    return spark.read.parquet(f"{path}/{table}")
+    run = spark.read.text(f"{path}/{MARKER}").first()[0]
+    return spark.read.parquet(f"{path}/{run}/{table}")
+
+
+def write_symbols(raw: DataFrame, model: DataFrame, failures: DataFrame, request: dict, path: str) -> None:
+    """Raw and model-ready candles in a folder per symbol, with an audited manifest: a row per requested symbol.
+
+    ``model`` comes from ``repair_envelope`` (it has ``raw_high`` and ``raw_low``); ``failures``: symbol, error_type, error.
+    """
+    fixed = [c for c in model.columns if c not in ("raw_high", "raw_low")]
+    raw.write.mode("overwrite").partitionBy("symbol").option("header", True).csv(f"{path}/raw")
+    model.select(*fixed).write.mode("overwrite").partitionBy("symbol").option("header", True).csv(f"{path}/model")
+    manifest(model, failures).write.mode("overwrite").json(f"{path}/manifest")
+    said = {k: F.lit(str(v)) for k, v in request.items()}
+    totals = manifest_summary(manifest(model, failures))
+    totals.select(F.to_json(F.struct(*[v.alias(k) for k, v in said.items()], *totals.columns)).alias("value")).write.mode("overwrite").text(f"{path}/summary")
+
+
+def manifest(model: DataFrame, failures: DataFrame) -> DataFrame:
+    """A row per symbol: its bars, range and repaired cells, or its error."""
+    changed = lambda c: F.count_if(F.col(f"raw_{c}") != F.col(c))
+    done = model.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), (changed("high") + changed("low")).alias("repairs"))
+    return done.unionByName(failures.select("symbol", "error_type", "error"), allowMissingColumns=True)
+
+
+def manifest_summary(rows: DataFrame) -> DataFrame:
+    """One row: symbols requested, succeeded and failed, and repaired cells."""
+    return rows.agg(F.count("*").alias("requested"), F.count_if(F.col("error_type").isNull()).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("failed"), F.coalesce(F.sum("repairs"), F.lit(0)).alias("repairs"))
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
@@ -57,8 +99,7 @@ def write_by_symbol_year(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("ts")).write.mode("overwrite").partitionBy("symbol", "year").parquet(path)
 
 
-def markdown(summary: DataFrame, title: str, limit: int = 200) -> str:
-    """A report of a summary table (a bounded number of rows)."""
-    rows = summary.limit(limit).collect()
+def markdown(summary: DataFrame, title: str) -> str:
+    """A report of all rows of a summary table, read partition by partition; meant for tables that people read."""
     cells = lambda r: "| " + " | ".join("" if v is None else str(v) for v in r) + " |"
-    return "\n".join([f"# {title}", "", cells(summary.columns), "|" + "---|" * len(summary.columns), *map(cells, rows), ""])
+    return "\n".join([f"# {title}", "", cells(summary.columns), "|" + "---|" * len(summary.columns), *map(cells, summary.toLocalIterator()), ""])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickline.session import shared_dir
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of files; watermarks need an instant, so ``ts`` is read in the session's zone."""
@@ -27,8 +29,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
 
 
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over what is there and return the sink's table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, name: str) -> DataFrame:
+    """Run a streaming frame over what is there into a Parquet table in the shared folder, and return that table.
+
+    Rows are appended once their window is closed by the watermark (windows that it has not passed yet are not written) and late rows are
+    dropped; the checkpoint beside the table makes a restart go on where the last run stopped.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/{name}"
+    flat = df.select(*[F.col(c) for c in df.columns])
+    flat.writeStream.format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(flat.schema).parquet(f"{at}/table")
