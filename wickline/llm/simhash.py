@@ -22,8 +22,9 @@ How the pairs meet, without a cross join:
 Components are computed over classes on the cluster.
 
 Defined results: null text counts as empty; no word gives fingerprint 0, which links like any
-other; equal rows fall into one class; an empty table gives an empty result; other columns
-are ignored whatever their names.
+other; a text of any length is read whole; equal rows fall into one class, null ids are linked like others but name a
+component only if it has no other id; an empty table gives an empty result; other columns
+are ignored by ``near_duplicates`` and pass through ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import connected_components, cut
+from wickline.llm.common import connected_components, cut, row_key
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -102,19 +103,17 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp`` (the 64 bits as a signed long) for every row."""
-    kind = df.schema[id_col].dataType
+def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with ``fp`` (the 64 bits as a signed long) in place of its text, for every row."""
+    rest = [f for f in df.schema.fields if f.name not in (text_col, "fp")]
+    names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(len(names))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*names, "fp"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
-    )
-    return out.withColumnRenamed("id", id_col)
+    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
@@ -258,12 +257,17 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int
     return links
 
 
+def _roots(fps: DataFrame, max_bits: int, bucket_cap: int) -> DataFrame:
+    """``fp`` and ``root`` (the smallest fingerprint of its component) of every fingerprint."""
+    classes = fps.select("fp").distinct()
+    roots = connected_components(link_fingerprints(fps, max_bits, bucket_cap))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """``id_col``, ``fp``, ``component_id`` (smallest id in the row's component) for every row."""
-    fps = cut(fingerprints(df, id_col, text_col))
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
-    roots = connected_components(link_fingerprints(fps, max_bits, bucket_cap))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    fps = cut(fingerprints(df.select(id_col, text_col), text_col))
+    named = fps.groupBy("fp").agg(F.min(id_col).alias("low")).join(_roots(fps, max_bits, bucket_cap), "fp")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_class = cut(named.join(lows, "root").select("fp", "component_id"))
     return fps.join(by_class, "fp").select(id_col, "fp", "component_id")
@@ -273,14 +277,20 @@ def hex_fingerprint(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the smallest id.
 
-    Rows that share that id are one document; one of them stays.
+    Rows without an id come last; of rows that share the id the one with the smallest key (of id and text) stays, of equal
+    rows one. A row is dropped only if a row of its component stays, whatever ids it shares.
     """
-    found = near_duplicates(df, id_col, text_col)
-    firsts = found.groupBy(id_col).agg(F.count("*").alias("__keep_n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("first")).filter("first")
-    marked = df.join(firsts.select(F.col(id_col).alias("__keep_id"), "__keep_n"), F.col(id_col).eqNullSafe(F.col("__keep_id"))).drop("__keep_id")
-    once = marked.filter("__keep_n = 1").drop("__keep_n")
-    more = marked.filter("__keep_n > 1").drop("__keep_n").dropDuplicates([id_col])
+    keyed = df.withColumn("__key", row_key(id_col, text_col))
+    fps = cut(fingerprints(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    per = fps.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("n"))
+    chosen = per.join(_roots(fps, max_bits, bucket_cap), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.key")
+    repeated = fps.groupBy("key").agg(F.count("*").alias("n"))  # equal rows
+    stay = cut(chosen.join(repeated, "key").select(F.col("key").alias("__stay"), F.col("n").alias("__n")))
+    marked = keyed.join(stay, F.col("__key") == F.col("__stay")).drop("__stay")
+    once = marked.filter("__n = 1").drop("__n", "__key")
+    more = marked.filter("__n > 1").dropDuplicates(["__key"]).drop("__n", "__key")
     return once.unionByName(more)
