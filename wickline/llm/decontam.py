@@ -10,16 +10,16 @@ Texts become sets of five-word shingles (lower-cased words without outer punctua
 * A partition's bar is the largest hash in its items' sketches. A document's sketch for the partition
   is made of its hashes up to that bar (a fixed share of them, whatever its length), and only
   partitions whose smallest item could fit into it are asked.
-* Sketch hashes that meet give candidate pairs; a candidate's shingles are then counted against all
+* Sketch hashes that meet give candidate pairs; only a candidate's shingles are then counted against all
   shingles of its item.
 
 Everything is DataFrame code. The index of sketches grows with the benchmark only; it is broadcast
-behind a check of its size and joined by a shuffle beyond that, and so are the candidates' ids.
+behind a check of its size and joined by a shuffle beyond that, and so are the candidates' keys.
 
-Defined results: texts of fewer than five words, empty and null ones have no shingle and neither
-contain nor are contained; items with equal texts are each reported; repeated rows are
-reported once per distinct pair of ids; empty tables give empty results; other columns are ignored by
-``matches`` and pass through ``remove``.
+Rows are judged one by one, told apart by id and text together. Defined results: texts of fewer than five words, empty and null ones have no
+shingle and neither contain nor are contained; a text of any length is read whole; items with equal texts are each reported; equal rows, and rows
+that share an id (null ids too), are reported once per item, with the largest count; empty tables give empty results; other columns are ignored by
+``matches`` and pass through ``remove``, which drops just the rows that contain an item.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickline.llm.common import cut
+from wickline.llm.common import cut, row_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -56,38 +56,47 @@ def sketches(benchmark: DataFrame, item_col: str, text_col: str, k: int, thresho
     return sized.select("*", F.floor(F.log2("n")).cast("int").alias("part"), F.slice("hs", F.lit(1), F.col("n") - F.col("need") + 1).alias("sketch"))
 
 
-def matches(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    k: int = SHINGLE, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """``id_col``, ``item_col``, ``shared``, ``n_shingles``, ``containment`` of all contained items."""
+def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, k: int, threshold: float, broadcast_rows: int) -> DataFrame:
+    """``id``, ``key``, ``item``, ``n`` and ``shared`` of all contained items; ``docs`` has ``id``, ``key`` and its text."""
     index = cut(sketches(benchmark, item_col, item_text_col, k, threshold))
     parts = index.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("bar"), F.min("need").alias("least"), F.sum("n").alias("rows"))
     parts = parts.orderBy("least").collect()  # a row per power of two
     hint = F.broadcast if sum(p["rows"] for p in parts) <= broadcast_rows else (lambda df: df)
-    own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+    own = docs.select("id", "key", F.col(text_col).alias("t"))
 
-    shingled = lambda df: df.select("doc", word_hashes(F.col("t")).alias("w")).select("doc", F.size("w").alias("size"), shingle_hashes(F.col("w"), k).alias("hs"))
+    shingled = lambda df: df.select("id", "key", word_hashes(F.col("t")).alias("w")).select("id", "key", F.size("w").alias("size"), shingle_hashes(F.col("w"), k).alias("hs"))
     # explode_outer: behind explode, a filter on the array's size would be pushed below the projections
     # and evaluate the words anew for every shingle; the joins drop the nulls
     bar = F.lit(None).cast("bigint")  # the highest bar among partitions with items that could fit
     for i, p in enumerate(parts):
         bar = F.when(F.col("size") - (k - 1) >= p["least"], F.lit(max(x["bar"] for x in parts[: i + 1]))).otherwise(bar)
-    probes = shingled(own).select("doc", bar.alias("bar"), "hs").select("doc", F.explode_outer(F.filter("hs", lambda h: h <= F.col("bar"))).alias("h"))
+    probes = shingled(own).select("id", "key", bar.alias("bar"), "hs").select("id", "key", F.explode_outer(F.filter("hs", lambda h: h <= F.col("bar"))).alias("h"))
     met = probes.join(hint(index.select("item", F.explode("sketch").alias("h"))), "h")
-    whom = cut(met.select("doc").distinct())
-
-    few = F.broadcast if whom.count() <= broadcast_rows else (lambda df: df)
-    exact = shingled(own.join(few(whom), "doc", "left_semi")).select("doc", F.explode_outer("hs").alias("h"))
-    hits = exact.join(hint(index.select("item", "n", "need", F.explode("hs").alias("h"))), "h")
-    shared = hits.groupBy("doc", "item", "n", "need", "h").agg(F.lit(1).alias("one")).groupBy("doc", "item", "n", "need").agg(F.count("*").alias("shared"))
-    return shared.filter("shared >= need").select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_col), "shared",
-        F.col("n").cast("long").alias("n_shingles"), (F.col("shared") / F.col("n")).alias("containment"),
-    )
-
-
-def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id contains no benchmark item."""
-    bad = matches(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    pairs = cut(met.select("id", "key", "item").distinct())  # candidates
+
+    whom = pairs.select("key").distinct()
+    few = F.broadcast if pairs.count() <= broadcast_rows else (lambda df: df)
+    exact = shingled(own.join(few(whom), "key", "left_semi")).select("key", F.explode_outer("hs").alias("h")).distinct()
+    wanted = pairs.join(hint(index.select("item", "n", "need", F.explode("hs").alias("h"))), "item")
+    shared = exact.join(wanted, ["key", "h"]).groupBy("id", "key", "item", "n", "need").agg(F.count("*").alias("shared"))
+    return shared.filter("shared >= need").drop("need")
+
+
+def matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    k: int = SHINGLE, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``id_col``, ``item_col``, ``shared``, ``n_shingles``, ``containment`` of all contained items."""
+    keyed = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col))
+    found = _matches(keyed, benchmark, text_col, item_col, item_text_col, k, threshold, broadcast_rows)
+    best = found.groupBy("id", "item").agg(F.max("shared").alias("shared"), F.max("n").alias("n"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "shared", F.col("n").cast("long").alias("n_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, whatever their ids."""
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    found = _matches(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col)), benchmark, text_col, item_col, item_text_col, k, threshold, broadcast_rows)
+    bad = cut(found.select(F.col("key").alias("__bad")).distinct())
+    few = F.broadcast if bad.count() <= broadcast_rows else (lambda df: df)
+    return keyed.join(few(bad), F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
