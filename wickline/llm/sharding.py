@@ -9,10 +9,14 @@ largest first, each to the shard with the fewest bytes. Records are never looked
 
 Law kept by ``op4``: ``bytes``. A record's position in its shard (``slot`` of the query) comes from a
 running number within its virtual slot and the rows of the shard's earlier virtual slots, so that
-no shard is sorted in one task.
+no shard is sorted in one task. The law deals rows, not groups: rows with equal texts are placed each by itself.
 
-Defined results: null text has 0 bytes and the checksum of the empty text; a null id is hashed like
-a value of its own; repeated rows (and ids) get positions of their own; an empty table gives
+Rows with a null id, or an id that other rows have too, would fill one slot; they are dealt by a number of the row
+(its place in its input split) instead of their id, so that the law holds for them too. The records are written before they
+are dealt, so that a lost executor cannot change such a number.
+
+Defined results: null text has 0 bytes and the checksum of the empty text; a text of any length is one record of its size, never
+split; repeated rows (and ids) get positions of their own; an empty table gives
 empty results and a map with empty slots; other columns are ignored.
 """
 
@@ -21,23 +25,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wickline.llm.common import cut
+
 SLOTS = 4096
 OVERHEAD = 16
+BROADCAST_ROWS = 100_000
 
 
 def slot_of(id_col: str, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.lit("slot"), F.col(id_col).cast("string")), F.lit(slots)).cast("int")
 
 
-def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Id, size, checksum and virtual slot of every row; the text stays behind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(
-        F.col(id_col),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        slot_of(id_col, slots).alias("virtual_slot"),
+    rows = cut(
+        df.select(
+            F.col(id_col),
+            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            slot_of(id_col, slots).alias("virtual_slot"),
+            F.monotonically_increasing_id().alias("__row"),
+        )
     )
+    again = cut(rows.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1 or __id is null").select("__id"))
+    n = again.count()
+    if not n:
+        return rows.drop("__row")
+    hint = F.broadcast if n <= broadcast_rows else (lambda x: x)
+    marked = rows.join(hint(again.withColumn("__again", F.lit(True))), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    by_row = F.pmod(F.xxhash64(F.lit("row"), F.col("__row")), F.lit(slots)).cast("int")
+    return marked.withColumn("virtual_slot", F.when(F.col("__again"), by_row).otherwise(F.col("virtual_slot"))).drop("__id", "__again", "__row")
 
 
 def slot_stats(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
