@@ -9,11 +9,13 @@ records of a page by origin identifier; orders segments by number; verifies that
 missing and that the bytes add up to the stated total; decodes the chunked transfer framing; and
 verifies the payload digest. A page that fails is reported with its ``status``, not dropped.
 
-Archives hold a bounded number of records, and a group holds the segments of one record.
+Archives hold a bounded number of records, and a group holds the segments of one record: every row gets a record
+identifier of its own (its place in its input split), and the page id travels as a header.
 
-Defined results: null html is the empty payload; a null url leaves out the target header; rows that
-share both page id and payload are written each as a record of its own and read back as one page; an
-empty table makes no archive and reads as an empty table; other columns are ignored.
+Defined results: null html is the empty payload; a null url leaves out the target header; a null page id leaves out its
+header and is read back as null; rows that share a page id are written and read back each by itself. Of rows with equal payloads the one
+with the smallest page id is the response (rows without an id last, of rows with that id the first one written), all others revisit it;
+pages of any length are cut into segments; an empty table makes no archive and reads as an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ MIN_REVISIT_BYTES = 0
 RECORDS_PER_FILE = 4096
 BROADCAST_ROWS = 50_000
 DATE = "2024-01-01T00:00:00Z"
-PREFIX = "urn:wickline:page:"
+PREFIX = "urn:wickline:record:"
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -55,14 +58,15 @@ def _pieces(data: Column, n: Column, size: int) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``id``, ``url``, ``payload``, ``payload_bytes``, ``digest`` and ``first`` (the page that a revisit refers to)."""
+    """``id``, ``row`` (unique), ``url``, ``payload``, ``payload_bytes``, ``digest``, and for revisits the ``first`` (id and row) they refer to."""
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
     large = rows.filter(F.col("payload_bytes") >= min_revisit_bytes)
-    again = cut(large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    again = cut(large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     hint = F.broadcast if again.count() <= BROADCAST_ROWS else (lambda df: df)
-    return rows.join(hint(again), "digest", "left").withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")))
+    return rows.join(hint(again), "digest", "left").withColumn("first", F.when(F.col("first.row") != F.col("row"), F.col("first")))
 
 
 def write_archives(
@@ -77,8 +81,8 @@ def write_archives(
     block = F.when(F.col("first").isNull(), F.concat(F.lit(status + "Transfer-Encoding: chunked" + CRLF + CRLF), body)).otherwise(
         F.concat(F.lit(status + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     )
-    own = F.concat(F.lit("<" + PREFIX), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))
-    blocks = rows.select("id", "url", "digest", "first", own.alias("record"), block.cast("binary").alias("block"))
+    named = lambda row: F.concat(F.lit("<" + PREFIX), F.lower(F.hex(row)), F.lit(">"))
+    blocks = rows.select("id", "url", "digest", "first", named(F.col("row")).alias("record"), block.cast("binary").alias("block"))
     blocks = blocks.withColumn("total", F.octet_length("block"))
     cuts = blocks.select("id", "url", "digest", "first", "record", "total", F.posexplode_outer(_pieces(F.col("block"), F.col("total"), segment_bytes)).alias("no", "part"))
     head = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
@@ -93,7 +97,15 @@ def write_archives(
         head("Content-Type", F.lit("application/http; msgtype=response")),
         head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(F.col("url").isNotNull(), head("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "%0A"))).otherwise(F.lit("")),
-        F.when(F.col("first").isNotNull(), F.concat(head("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), head("WARC-Refers-To", F.concat(F.lit("<" + PREFIX), text(F.col("first")), F.lit(">"))))).otherwise(F.lit("")),
+        F.when(F.col("id").isNotNull(), head(PAGE, text(F.col("id")))).otherwise(F.lit("")),
+        F.when(
+            F.col("first").isNotNull(),
+            F.concat(
+                head("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+                head("WARC-Refers-To", named(F.col("first.row"))),
+                F.when(F.col("first.id").isNotNull(), head(REFERS, text(F.col("first.id")))).otherwise(F.lit("")),
+            ),
+        ).otherwise(F.lit("")),
         F.when(segmented, head("WARC-Segment-Number", text(no))).otherwise(F.lit("")),
         F.when(F.col("no") > 0, head("WARC-Segment-Origin-ID", F.col("record"))).otherwise(F.lit("")),
         F.when(segmented & last, head("WARC-Segment-Total-Length", text(F.col("total")))).otherwise(F.lit("")),
@@ -145,12 +157,12 @@ def dechunk(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-_RECORD = pa.schema([("key", pa.string()), ("no", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
+_RECORD = pa.schema([("key", pa.string()), ("no", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per WARC record of the archives below ``path``."""
-    kinds = "key string, no int, total long, kind string, refers_to string, digest string, block binary"
+    kinds = "key string, no int, total long, kind string, page string, refers_to string, digest string, block binary"
     try:
         files = spark.read.format("binaryFile").load(path)
     except AnalysisException:
@@ -166,7 +178,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         "no": int(head.get("warc-segment-number", 1)),
                         "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else len(block) if "warc-segment-number" not in head else None,
                         "kind": head["warc-type"],
-                        "refers_to": head.get("warc-refers-to"),
+                        "page": head.get(PAGE.lower()),
+                        "refers_to": head.get(REFERS.lower()),
                         "digest": head.get("warc-payload-digest", "").removeprefix("sha1:"),
                         "block": block,
                     })
@@ -178,13 +191,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.filter("length > 0").select("content").mapInArrow(run, kinds)
 
 
-_PAGE = pa.schema([("key", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("status", pa.string())])
+_PAGE = pa.schema([("page", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("status", pa.string())])
 
 
 def _decode(kind: str | None, digest: str, parts: list[dict], total: int | None) -> dict:
-    """Reassembled payload of one record with its status."""
+    """Reassembled payload of one record with its status; ``parts`` are in the order of their numbers."""
     out = {"record_type": kind, "payload_bytes": None, "payload_digest": digest, "payload": None, "status": "ok"}
-    parts = list({p["no"]: p for p in parts}.values())
     if [p["no"] for p in parts] != list(range(1, len(parts) + 1)):
         return out | {"status": "segment missing"}
     block = b"".join(p["block"] for p in parts)
@@ -209,18 +221,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("no", "block"))).alias("parts"),
         F.max("total").alias("total"),
         F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("kind"),
+        F.max("page").alias("page"),
         F.max("refers_to").alias("refers_to"),
         F.max("digest").alias("digest"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = b.slice(at, 256).to_pylist()
-                made = [{"key": r["key"], "refers_to": r["refers_to"]} | _decode(r["kind"], r["digest"], r["parts"], r["total"]) for r in rows]
+            for at in range(0, b.num_rows, 64):
+                rows = b.slice(at, 64).to_pylist()
+                made = [{"page": r["page"], "refers_to": r["refers_to"]} | _decode(r["kind"], r["digest"], r["parts"], r["total"]) for r in rows]
                 yield pa.RecordBatch.from_pylist(made, _PAGE)
 
-    kinds = "key string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, status string"
-    pages = grouped.mapInArrow(run, kinds)
-    bare = lambda c: F.regexp_extract(c, f"^<{PREFIX}(.*)>$", 1)
-    return pages.withColumn("page", bare(F.col("key"))).withColumn("refers_to", F.when(F.col("refers_to").isNotNull(), bare(F.col("refers_to")))).drop("key")
+    return grouped.mapInArrow(run, "page string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, status string")
