@@ -5,14 +5,16 @@ numbers. The random field adds spans of forms that no plain pattern has (phone n
 ``+``, spelled-out addresses, tokens and keys behind words such as ``token =``). Its features are word shapes at
 five offsets and the gap before a word; it is trained by gradient ascent on the exact
 log-likelihood (forward-backward) over a small labelled table made from fixed templates,
-and decoded by Viterbi over padded numpy batches of lines.
+and decoded by Viterbi over padded numpy batches.
 
-A line made of letters, full stops and commas only is all ``O`` whenever the trained weights prove it
-(``Field.plain_is_outside``), and is not decoded then. Every line is decoded whole,
-whatever its length. Added spans never overlap a span of the patterns.
+One factor of the field is fixed, in training and decoding alike: a token more than ``REACH`` tokens away from every
+token that is not a plain word, full stop or comma has the tag O. As a tag that is fixed makes what is before
+it and what is behind it independent, a line's best tags are those of its stretches around such tokens, each decoded by
+itself between the O's beside it; lines of plain words only are O. Nothing is cut: a stretch is as long as it is, and its tags equal
+those of the whole line decoded at once. Added spans never overlap a span of the patterns.
 
-Defined results: null text counts as empty and has no span; offsets are code points with an exclusive end;
-repeated rows have equal spans; an empty table gives an empty result; other columns pass through,
+Defined results: null text counts as empty and has no span; a text or line of any length is decoded whole; offsets are code
+points with an exclusive end; repeated rows have equal spans, ids play no part; an empty table gives an empty result; other columns pass through,
 one named like the made column is replaced.
 """
 
@@ -20,7 +22,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickline.llm.common import pieces
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 RESCALE = 1024
 BATCH_TOKENS = 1 << 15
@@ -86,10 +93,13 @@ MARKS = "@.,()-+=\"':/|#"
 KEYWORDS = frozenset(("token", "key", "secret", "password", "passwd", "apikey"))
 SHAPES = ("edge", "lower", "capital", "upper", "d1", "d2", "d3", "d4", "d5", "d9", "mixed", "code", "word-at", "word-dot", "word-key", "other", *MARKS)
 SHAPE_ID = {s: i for i, s in enumerate(SHAPES)}
-PLAIN = tuple(SHAPE_ID[s] for s in ("edge", "lower", "capital", "upper", ".", ",", "word-at", "word-dot", "word-key"))
+REACH = 8
 OFFSETS = (-2, -1, 0, 1, 2)
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_SPECIAL = re.compile(r"[^\w\s.,]|[0-9_]")
+#: Shapes of plain words, full stops and commas.
+PLAIN = tuple(SHAPE_ID[s] for s in ("edge", "lower", "capital", "upper", ".", ",", "word-at", "word-dot", "word-key"))
+#: Every token of another shape has such a character: a mark, a digit or another number sign (or any sign from U+09F4 on).
+_SPECIAL = re.compile(r"[^\w\s.,]|[\d_\u00b2\u00b3\u00b9\u00bc-\u00be]|[\u09f4-\U0010ffff]")
 
 
 def shape(token: str) -> int:
@@ -170,46 +180,25 @@ class Field:
         self.shapes, self.gaps, self.trans = shapes, gaps, trans
 
     def emissions(self, ids: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-        """(lines, length, tags) scores; ``ids`` is padded with edge shapes."""
-        n, length = ids.shape
-        wide = np.zeros((n, length + 4), ids.dtype)
-        wide[:, 2:-2] = ids
+        """(lines, length, tags) scores; ``ids`` may hold the two tokens around each stretch, else edges are put there."""
+        n, length = gaps.shape
+        wide = ids
+        if ids.shape[1] == length:
+            wide = np.zeros((n, length + 4), ids.dtype)
+            wide[:, 2:-2] = ids
         out = self.gaps[gaps]
         for k, o in enumerate(OFFSETS):
             out = out + self.shapes[k][wide[:, 2 + o : 2 + o + length]]
         return out
 
-    def plain_is_outside(self, rounds: int = 64) -> bool:
-        """Whether every line of plain shapes is certainly all O.
-
-        Over all windows of five plain shapes, what a tag path can at most gain against staying O is carried
-        on until it settles; no path back to O and none up to a line's end may gain.
-        """
-        p = list(PLAIN)
-        gain = (self.gaps - self.gaps[:, :1]).max(axis=0).reshape(1, 1, 1, 1, 1, -1).astype(float)
-        for k in range(len(OFFSETS)):
-            own = self.shapes[k][p] - self.shapes[k][p][:, :1]
-            gain = gain + own.reshape([len(p) if j == k else 1 for j in range(5)] + [len(TAGS)])
-        first = np.array([-1e9 if t.startswith("I-") else 0.0 for t in TAGS])
-        best = gain + first
-        change = (self.trans - self.trans[0, 0]).astype(float)
-        for _ in range(rounds):
-            before = best.max(axis=0)  # the window moves on by one token
-            step = (before[..., :, None] + change).max(axis=-2)[:, :, :, :, None] + gain
-            new = np.maximum(best, step)
-            if new[..., 0].max() > 1e-5:
-                return False
-            if np.allclose(new, best, atol=1e-6):
-                return bool(new[:, :, :, 0, 0].max() <= 1e-5)  # PLAIN[0] is the edge
-            best = new
-        return False
-
-    def viterbi(self, ids: np.ndarray, gaps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags of a padded batch."""
+    def viterbi(self, ids: np.ndarray, gaps: np.ndarray, lengths: np.ndarray, after: np.ndarray | None = None, before: np.ndarray | None = None) -> np.ndarray:
+        """Best tags of a padded batch of stretches; ``after`` and ``before`` mark those that follow and precede an O of their line."""
         e = self.emissions(ids, gaps)
         n, length, tags = e.shape
+        start = np.where([t.startswith("I-") for t in TAGS], -1e9, 0.0)[None]
+        start = np.where(after[:, None], self.trans[:1], start) if after is not None else start
         back = np.zeros((n, length, tags), np.int8)
-        best = e[:, 0] + np.where([t.startswith("I-") for t in TAGS], -1e9, 0.0)
+        best = e[:, 0] + start
         rows = np.arange(n)
         for i in range(1, length):
             step = best[:, :, None] + self.trans[None]
@@ -218,6 +207,8 @@ class Field:
             best = np.where((i < lengths)[:, None], new, best)
             if i % RESCALE == 0:  # only differences between tags matter; keeps long lines exact
                 best = best - best.max(axis=1, keepdims=True)
+        if before is not None:
+            best = best + np.where(before[:, None], self.trans[:, 0][None], 0.0)
         out = np.zeros((n, length), np.int8)
         tag = best.argmax(axis=1).astype(np.int8)
         for i in range(length - 1, -1, -1):
@@ -227,6 +218,15 @@ class Field:
         return out
 
 
+def stretches(special: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Ranges of the ``n`` tokens of a line that are ``REACH`` tokens or fewer away from one at the positions ``special``."""
+    if not len(special):
+        return []
+    cuts = np.flatnonzero(np.diff(special) > 2 * REACH + 1)
+    first, last = special[np.concatenate([[0], cuts + 1])], special[np.concatenate([cuts, [len(special) - 1]])]
+    return list(zip(np.maximum(first - REACH, 0).tolist(), np.minimum(last + REACH + 1, n).tolist()))
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -262,6 +262,11 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.
     mask = np.arange(length)[None] < lens[:, None]
     wide = np.zeros((n, length + 4), int)
     wide[:, 2:-2] = ids
+    outside = np.ones((n, length), bool)  # the fixed factor: O far from every token that is not plain
+    for i in range(n):
+        for lo, hi in stretches(np.flatnonzero(~np.isin(ids[i, : lens[i]], PLAIN)), lens[i]):
+            outside[i, lo:hi] = False
+    far = np.where(outside[:, :, None] & (np.arange(len(TAGS)) > 0), -1e4, 0.0)
     k, s, tn = len(OFFSETS), len(SHAPES), len(TAGS)
     w = [np.zeros((k, s, tn)), np.zeros((2, tn)), np.zeros((tn, tn))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
@@ -272,7 +277,7 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.
     first = np.array([-1e4 if t.startswith("I-") else 0.0 for t in TAGS])
     for step in range(1, rounds + 1):
         field = Field(w[0], w[1], w[2] + block)
-        e = field.emissions(ids, gaps)
+        e = field.emissions(ids, gaps) + far
         alpha, beta = np.zeros((n, length, tn)), np.zeros((n, length, tn))
         alpha[:, 0] = e[:, 0] + first
         for i in range(1, length):
@@ -295,48 +300,59 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.
     return Field(w[0].astype(np.float32), w[1].astype(np.float32), (w[2] + block).astype(np.float32))
 
 
+@cache
+def default_field() -> Field:
+    """The field of the default labelled table, trained once per driver."""
+    return train(training_table())
+
+
 class Finder:
     """Spans of texts with one trained field."""
 
     def __init__(self, field: Field):
         self.field = field
         self.shapes = _Shapes()
-        self.skip_plain = field.plain_is_outside()
+        self.plain = np.isin(np.arange(len(SHAPES)), PLAIN)
 
     def added(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Spans that the field finds in each text."""
         lines = []
+        shapes = self.shapes.__getitem__
         for d, text in enumerate(texts):
-            if self.skip_plain and not _SPECIAL.search(text):
+            if not _SPECIAL.search(text):
                 continue
             at = 0
             for line in text.split("\n"):
-                if line and not (self.skip_plain and not _SPECIAL.search(line)):
+                if _SPECIAL.search(line):
                     toks, starts, ends = _tokens(line)
-                    if toks:
-                        lines.append((d, at, toks, starts, ends))
+                    n = len(toks)
+                    ids = np.zeros(n + 4, np.int16)
+                    ids[2:-2] = list(map(shapes, toks))
+                    for lo, hi in stretches(np.flatnonzero(~self.plain[ids[2:-2]]), n):
+                        lines.append((d, at, ids[lo : hi + 4], starts[lo:hi], ends[max(lo - 1, 0) : hi], lo > 0, hi < n))
                 at += len(line) + 1
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        lines.sort(key=lambda x: len(x[2]))
+        lines.sort(key=lambda x: len(x[3]))
         at = 0
         while at < len(lines):
             stop = at + 1
-            while stop < len(lines) and (stop + 1 - at) * len(lines[stop][2]) <= BATCH_TOKENS:
+            while stop < len(lines) and (stop + 1 - at) * len(lines[stop][3]) <= BATCH_TOKENS:
                 stop += 1
             self._decode(lines[at:stop], out)
             at = stop
         return out
 
     def _decode(self, lines: list, out: list) -> None:
-        lens = np.array([len(x[2]) for x in lines])
-        ids, gaps = np.zeros((len(lines), lens[-1]), np.int16), np.zeros((len(lines), lens[-1]), np.int8)
-        for i, (_, _, toks, starts, ends) in enumerate(lines):
-            ids[i, : len(toks)] = [self.shapes[t] for t in toks]
-            if len(toks) > 1:
-                gaps[i, 1 : len(toks)] = np.array(starts[1:]) > np.array(ends[:-1])
-        tags = self.field.viterbi(ids, gaps, lens)
+        lens = np.array([len(x[3]) for x in lines])
+        ids, gaps = np.zeros((len(lines), lens[-1] + 4), np.int16), np.zeros((len(lines), lens[-1]), np.int8)
+        for i, (_, _, own, starts, ends, after, _) in enumerate(lines):
+            ids[i, : len(own)] = own
+            first = 0 if after else 1  # a line's first token has no gap before it
+            gaps[i, first : len(starts)] = np.array(starts[first:]) > np.array(ends[:-1])
+        tags = self.field.viterbi(ids, gaps, lens, np.array([x[5] for x in lines]), np.array([x[6] for x in lines]))
         for i in np.flatnonzero(tags.any(axis=1)).tolist():
-            d, at, _, starts, ends = lines[i]
+            d, at, _, starts, ends, after, _ = lines[i]
+            ends = ends[1:] if after else ends
             kind, start, end = "", 0, 0
             for t, a, b in zip([*tags[i, : lens[i]].tolist(), 0], [*starts, 0], [*ends, 0]):
                 name = TAGS[t]
@@ -353,8 +369,10 @@ class Finder:
         result = []
         for text, more in zip(texts, self.added(texts)):
             base = base_spans(text)
-            kept = [(*s, True) for s in base]
-            kept += [(*s, False) for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+            taken = sorted((a, b) for _, a, b in base)
+            firsts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+            free = lambda a, b: not (at := bisect_left(firsts, b)) or reach[at - 1] <= a  # noqa: B023, E731
+            kept = [(*s, True) for s in base] + [(*s, False) for s in more if free(s[1], s[2])]
             result.append(sorted(kept, key=lambda s: (rank[s[0]], s[1], s[2])))
         return result
 
@@ -362,23 +380,31 @@ class Finder:
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
 
-def find(df: DataFrame, text_col: str = "text", out: str = "pii", field: Field | None = None) -> DataFrame:
-    """``df`` with the array ``out`` of (kind, start, end, base)."""
-    df = df.drop(out)
-    held = df.sparkSession.sparkContext.broadcast(field or train(training_table()))  # a few thousand weights
+def _pass(df: DataFrame, text_col: str, field: Field | None, names: list[str], schema: T.StructType, make) -> DataFrame:
+    """``df`` with the columns that ``make`` gives for texts and their spans, piece by piece."""
+    held = df.sparkSession.sparkContext.broadcast(field or default_field())  # a few thousand weights
     at = df.columns.index(text_col)
-    kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(held.value)
         for b in batches:
-            for first in range(0, b.num_rows, 256):  # bounded scratch space
-                part = b.slice(first, 256)
-                found = finder.spans([t or "" for t in part.column(at).to_pylist()])
-                made = pa.array([[{"kind": k, "start": s, "end": e, "base": p} for k, s, e, p in x] for x in found], _KIND)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
+            for first, n in pieces(b.column(at), 256):
+                part = b.slice(first, n)
+                texts = part.column(at).to_pylist()
+                yield pa.RecordBatch.from_arrays(make(part, texts, finder.spans([t or "" for t in texts])), names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+    return df.mapInArrow(run, schema)
+
+
+def find(df: DataFrame, text_col: str = "text", out: str = "pii", field: Field | None = None) -> DataFrame:
+    """``df`` with the array ``out`` of (kind, start, end, base)."""
+    df = df.drop(out)
+    kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
+
+    def make(part: pa.RecordBatch, texts: list, found: list) -> list:
+        return [*part.columns, pa.array([[{"kind": k, "start": s, "end": e, "base": p} for k, s, e, p in x] for x in found], _KIND)]
+
+    return _pass(df, text_col, field, [*df.columns, out], T.StructType([*df.schema.fields, T.StructField(out, kind)]), make)
 
 
 def span_string(spans: Column) -> Column:
@@ -386,17 +412,22 @@ def span_string(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
 
 
+def masked(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str | None:
+    """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first to start names them all."""
+    out, at = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e, _ in spans):
+        if start >= at:
+            out += (text[at:start], f"<{kind}>")
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if out else text
+
+
 def redact(df: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """``df`` with every span replaced by its kind in angle brackets (overlapping spans as one); texts without spans stay."""
-    found = find(df, text_col, "__pii", field)
-    ordered = F.sort_array(F.transform("__pii", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(F.col(text_col), acc.at + 1, s.start - acc.at)
-        return F.when(s.start < acc.at, F.struct(acc.text.alias("text"), F.greatest(acc.at, s.end).alias("at"))).otherwise(
-            F.struct(F.concat(acc.text, piece, F.lit("<"), s.kind, F.lit(">")).alias("text"), s.end.alias("at"))
-        )
-
-    done = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc.text, F.substring(F.col(text_col), acc.at + 1, F.length(text_col))))
-    return found.withColumn(text_col, F.when(F.size("__pii") > 0, done).otherwise(F.col(text_col))).drop("__pii")
+    """``df`` with the spans of ``text_col`` masked; texts without spans, and null texts, stay."""
+    at = df.columns.index(text_col)
+
+    def make(part: pa.RecordBatch, texts: list, found: list) -> list:
+        clean = pa.array([masked(t, x) for t, x in zip(texts, found)], part.schema.field(at).type)
+        return [*part.columns[:at], clean, *part.columns[at + 1 :]]
+
+    return _pass(df, text_col, field, df.columns, df.schema, make)
