@@ -2,8 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet into the
 shared folder and read again as the next stage's ``docs``, which cuts the lineage at every stage.
-All but the last return the columns of ``documents``. Stages without duplicates drop rows only by their own
-decision; rows with null texts are kept as empty texts where a stage has no reason to reject them.
+All but the last return the columns of ``documents``, whatever other columns the input has.
+
+Defined results, in every stage: a row is judged by its text and never lost for its id, so that rows with null or repeated
+ids stay as long as their texts do; null texts are judged like empty ones and stay null (toxicity, decontamination and masking
+keep them; of all texts without words the near-duplicate stage keeps one row, as their fingerprints are equal); texts of any
+length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickline.llm import bpe, decontam, pii, simhash, toxicity
-from wickline.llm.common import fresh_path, table
+from wickline.llm.common import delete, fresh_path, table
 from wickline.llm.queries import default_vocabulary
 
 
@@ -39,10 +43,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, language, source and token ids, with a check that decoding restores the text."""
-    path = default_vocabulary()
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
-    return bpe.decode(coded, path).select(
+    """Ids, language, source and token ids, with a check that decoding restores the text; a null text has no ids."""
+    digested = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    coded = bpe.code(digested, default_vocabulary(), drop_text=True)
+    return coded.select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("restored")
     )
 
@@ -60,9 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)  # its successor is written
+        docs, last = spark.read.parquet(path), path
     return docs
