@@ -281,3 +281,81 @@ def test_epoch_samples_are_uniform(spark):
     assert len(rows) == 3000 and {r.symbol for r in rows} == {"A", "C"}
     assert all(0 <= r.start_index < {"A": 10, "C": 20}[r.symbol] for r in rows) and 800 < sum(r.symbol == "A" for r in rows) < 1200
     assert rows == features.sample_pairs(lengths, 1, 3, 3000, 5).collect() != features.sample_pairs(lengths, 2, 3, 3000, 5).collect()
+
+
+def test_symbol_selection(spark, tmp_path):
+    at = tmp_path / "u.csv"
+    at.write_text("symbol,name,valid_from,valid_to\n" + "".join(f"S{i},n,2026-01-01,\n" for i in range(9)))
+    u = files.universe(spark, str(at))
+    assert [r.symbol for r in u.orderBy("ord").collect()] == [f"S{i}" for i in range(9)]
+    assert [r.symbol for r in files.select_symbols(u, "s3, S1 s3").orderBy("ord").collect()] == ["S3", "S1"]
+    assert sorted(r.symbol for r in files.select_symbols(u, shard=(1, 4)).collect()) == ["S3", "S4"]
+    for args, said in ((("S1 X9 Y8", None), "X9, Y8"), (("S1", (0, 2)), "exclude"), ((" , ", None), "no symbols"), ((None, (4, 4)), "range")):
+        with pytest.raises(ValueError, match=said):
+            files.select_symbols(u, *args)
+    at.write_text("symbol,name,valid_from,valid_to\nA,x,2026-01-01,\nB,y,2026-13-01,\n")
+    with pytest.raises(ValueError, match="row 3"):
+        files.universe(spark, str(at))
+
+
+def test_feather_and_fingerprint(spark, tmp_path):
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import feather
+
+    for i in range(2):
+        feather.write_feather(pa.table({"open": [1.0 + i, 2.0], "close": [1.5, 2.5 + i]}), str(tmp_path / f"f{i}.feather"))
+    df = files.feather(spark, str(tmp_path) + "/*.feather")
+    assert sorted(map(tuple, df.collect())) == [(1.0, 1.5), (2.0, 2.5), (2.0, 1.5), (2.0, 3.5)] or df.count() == 4 and df.columns == ["open", "close"]
+    digests = [f"f{i}.feather=" + hashlib.sha256((tmp_path / f"f{i}.feather").read_bytes()).hexdigest() for i in range(2)]
+    r = files.data_fingerprint(spark, str(tmp_path) + "/*.feather").first()
+    assert (r.fingerprint, r.names) == (hashlib.sha256("~".join(digests).encode()).hexdigest(), 2)
+
+
+def test_validation_rejects_in_order(spark):
+    good = series(spark, [3, 1, 2])
+    assert [r.close for r in ql.validate(good).collect()] == [3.0, 1.0, 2.0]
+    with pytest.raises(ValueError, match="missing columns: volume"):
+        ql.validate(good.drop("volume"))
+    with pytest.raises(ValueError, match="no candles"):
+        ql.validate(good.limit(0))
+    with pytest.raises(ValueError, match="duplicate: 2"):
+        ql.validate(good.union(good.limit(1)).withColumn("volume", -F.col("volume")))
+    with pytest.raises(ValueError, match="negative_volume"):
+        ql.validate(good.withColumn("volume", F.when(F.col("close") < 2, -1.0).otherwise(1.0)))
+
+
+def test_open_that_is_no_number(spark):
+    df = series(spark, [3, 4]).withColumn("open", F.when(F.col("close") < 4, F.lit(float("nan"))).otherwise(F.lit(0.0)))
+    assert [r.open for r in ql.fix_open(df).orderBy("ts").collect()] == [3.0, 3.0]
+
+
+def test_forecast_stamps_are_checked(spark):
+    wins = spark.createDataFrame([("A", "2024-01", DAY, [1.0, 2.0], [DAY + dt.timedelta(1), DAY + dt.timedelta(2)])], "symbol string, candidate_month string, forecast_origin date, context array<double>, targets array<date>")
+    ahead = lambda k: lambda c, h: {s: (np.ones(h), [DAY + dt.timedelta(k + i) for i in range(h)]) for s in c}
+    assert [r.reason_code for r in predictor.predict(wins, ahead(1), 2).collect()] == [None, None]
+    assert [r.reason_code for r in predictor.predict(wins, ahead(2), 2).collect()] == ["invalid_model_timestamps"]
+
+
+def test_layered_settings(tmp_path):
+    from wickline import config
+
+    (tmp_path / "a.json").write_text('{"data": {"window": 90, "clip": 5}, "model_paths": {"exp_name": "e1", "base_path": "/m", "save": "", "log": "x/{exp_name}"}}')
+    (tmp_path / "b.json").write_text('{"data": {"clip": 3}}')
+    got = config.load(str(tmp_path / "a.json"), str(tmp_path / "b.json"), templates={"save": "{base_path}/{exp_name}"})
+    assert got["data"] == {"window": 90, "clip": 3} and (got["model_paths"]["save"], got["model_paths"]["log"]) == ("/m/e1", "x/e1")
+    assert config.lookup(got, "data.clip") == 3 and config.lookup(got, "data.none.x", 7) == 7
+
+
+def test_prediction_files(spark, tmp_path):
+    from wickline import api
+
+    df = series(spark, range(1, 31)).withColumn("ts", F.col("ts").cast("timestamp"))
+    result = api.forecast(df, 10, 3)
+    sinks.write_predictions(df, result, api.continuity(result), str(tmp_path / "p"))
+    said = json.loads(spark.read.text(str(tmp_path / "p")).first()[0])
+    assert said["input"]["rows"] == 30 and said["input"]["last_values"]["close"] == 30.0 and [p["predicted_close"] for p in said["predictions"]] == [10.0] * 3
+    assert said["continuity"]["close_gap"] == 1.0
+    sinks.write_splits(features.split_by_ratio(df, 0.5, 0.3), str(tmp_path / "s"))
+    assert {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "s").glob("split=*")} == {"split=train": 15, "split=validation": 9, "split=test": 6}

@@ -66,6 +66,33 @@ def targets(wins: DataFrame, candles: DataFrame) -> DataFrame:
     return steps.join(actual, ["symbol", "target_ts"], "left").select(*KEYS, "history_last_close", (F.col("pos") + 1).cast("long").alias("horizon_step"), "target_ts", "actual_close")
 
 
+def finite_windows(wins: DataFrame, targets: DataFrame, candles: DataFrame, lookback: int) -> DataFrame:
+    """Windows whose context closes and target closes are all finite numbers; ``candles`` are those of ``history``."""
+    odd = (F.col("close").isNull() | F.isnan("close") | (F.abs("close") == float("inf"))).cast("int")
+    seen = candles.select("symbol", F.col("ts").alias("forecast_origin"), F.sum(odd).over(by_time().rowsBetween(-(lookback - 1), 0)).alias("__odd"))
+    good = F.coalesce(~F.isnan("actual_close") & (F.abs("actual_close") < float("inf")), F.lit(False))
+    whole = targets.groupBy(*KEYS).agg(F.min(good.cast("int")).alias("__good"))
+    return wins.join(seen.filter("__odd = 0"), ["symbol", "forecast_origin"]).join(whole.filter("__good = 1"), list(KEYS)).drop("__odd", "__good")
+
+
+def walk_forward(df: DataFrame, lookback: int, horizon: int, forecast: Column | None = None) -> DataFrame:
+    """Forecasts of the next ``horizon`` bars at every ``horizon``-th bar from ``lookback`` on, beside the bars that come.
+
+    ``forecast``: an expression over the bar and ``step`` (default: the last close stands still).
+    """
+    placed = df.select("symbol", "ts", "close", (F.row_number().over(by_time()) - 1).alias("i"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
+    at = (F.col("i") >= lookback) & (F.col("i") + horizon < F.col("n")) & ((F.col("i") - lookback) % horizon == 0)
+    points = placed.filter(at).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    guess = F.col("close") if forecast is None else forecast
+    points = points.select("symbol", F.col("ts").alias("origin"), "step", (F.col("i") + F.col("step")).alias("i"), guess.alias("predicted"))
+    return points.join(placed.select("symbol", "i", "ts", F.col("close").alias("actual")), ["symbol", "i"]).drop("i")
+
+
+def global_mean(parts: DataFrame, total: str, count: str, *keys: str) -> DataFrame:
+    """The mean over all workers from their partial sums and counts."""
+    return parts.groupBy(*keys).agg((F.sum(total) / F.nullif(F.sum(count), F.lit(0))).alias("mean"))
+
+
 def window_skips(candles: DataFrame, cohorts: DataFrame, lookback: int) -> DataFrame:
     """Why a (symbol, month) has no window; the first reason in order wins."""
     full = cohorts.filter("complete")

@@ -28,6 +28,21 @@ def zscore(df: DataFrame, lookback: int, bound: float = 5.0) -> DataFrame:
     return z.withColumn("z", clip((F.col("close") - F.col("mean")) / (F.col("std") + EPS), -bound, bound)).withColumn("back", F.col("z") * (F.col("std") + EPS) + F.col("mean"))
 
 
+def window_zscores(df: DataFrame, lookback: int, horizon: int, columns: tuple[str, ...] = ("open", "high", "low", "close", "volume"), past_only: bool = True, bound: float = 5.0) -> DataFrame:
+    """Rows of every complete training window of ``lookback + horizon`` bars, normalised by the window's own mean and population
+    deviation: of its past rows alone, or (``past_only=False``) of the whole window with its future."""
+    width = lookback + horizon
+    seen = by_time().rowsBetween(0, (lookback if past_only else width) - 1)
+    full = by_time().rowsBetween(0, width - 1)
+    stats = {f"__{f}_{c}": fn(c).over(seen) for c in columns for f, fn in (("m", F.avg), ("s", F.stddev_pop))}
+    starts = df.withColumns(stats | {"__n": F.count("*").over(full), "__rn": F.row_number().over(by_time())}).filter(F.col("__n") == width)
+    starts = starts.select("symbol", F.col("ts").alias("start_ts"), "__rn", *stats).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    rows = df.select("symbol", "ts", *columns, F.row_number().over(by_time()).alias("__at"))
+    both = starts.withColumn("__at", F.col("__rn") + F.col("step")).join(rows, ["symbol", "__at"])
+    z = [clip((F.col(c) - F.col(f"__m_{c}")) / (F.col(f"__s_{c}") + EPS), -bound, bound).alias(c) for c in columns]
+    return both.select("symbol", "start_ts", "step", "ts", *z)
+
+
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Minute, hour, weekday (Monday 0), day and month."""
     c = F.col(ts)
@@ -53,6 +68,11 @@ def index_hash(idx: Column, epoch: Column, n: Column) -> Column:
     return F.pmod(idx.cast("long") * 9973 + (epoch.cast("long") + 1) * 104729, n.cast("long"))
 
 
+def validation_index(idx: Column, n: Column) -> Column:
+    """Start index of a validation sample: in order, over and over."""
+    return F.pmod(idx.cast("long"), n.cast("long"))
+
+
 def business_days(df: DataFrame, start: str, count: int, holidays: DataFrame | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """The next ``count`` weekdays after ``start`` that are no holidays.
 

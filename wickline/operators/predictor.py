@@ -37,15 +37,23 @@ def contexts(candles: DataFrame, cohorts: DataFrame, lookback: int) -> DataFrame
 
 
 def predict(windows: DataFrame, predictor: Predictor, horizon: int, batch: int = 512) -> DataFrame:
-    """Forecasts and coded failures. Cohorts are dealt into batches of bounded size by a hash of the symbol."""
+    """Forecasts and coded failures. Cohorts are dealt into batches of bounded size by a hash of the symbol.
+
+    A forecast is an array, or a pair of an array and the stamps it is for: those must be the window's ``targets`` (if it has that column).
+    Failures are coded in order: schema (length), output (finite and positive), timestamps.
+    """
     parts = F.pmod(F.xxhash64("symbol"), F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*").over(Window.partitionBy("forecast_origin")) / F.lit(batch))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         got = predictor({r.symbol: np.asarray(r.context, float) for r in pdf.itertuples()}, horizon)
         for r in pdf.itertuples():
-            out = np.asarray(got.get(r.symbol, []), float)
+            made = got.get(r.symbol, [])
+            made, stamps = made if isinstance(made, tuple) else (made, None)
+            out = np.asarray(made, float)
             reason = "invalid_model_schema" if out.shape != (horizon,) else "invalid_model_output" if not (np.isfinite(out).all() and (out > 0).all()) else None
+            if reason is None and stamps is not None and [pd.Timestamp(t) for t in stamps] != [pd.Timestamp(t) for t in getattr(r, "targets", stamps)]:
+                reason = "invalid_model_timestamps"
             steps = [(None, None)] if reason else list(enumerate(out, 1))
             rows += [(r.symbol, r.candidate_month, r.forecast_origin, h, v, reason) for h, v in steps]
         return pd.DataFrame(rows, columns=["symbol", "candidate_month", "forecast_origin", "horizon_step", "predicted_close", "reason_code"]).astype({"horizon_step": "Int64"})

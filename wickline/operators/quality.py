@@ -54,9 +54,47 @@ def fill_amount(df: DataFrame) -> DataFrame:
     return df.withColumn("amount", F.when(seen > 0, F.col("amount")).otherwise(F.col("close") * F.col("volume")))
 
 
+def mean_amount(df: DataFrame) -> DataFrame:
+    """Amount as the mean of open, high, low and close times the volume."""
+    return df.withColumn("amount", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4 * F.col("volume"))
+
+
+def predictor_defaults(df: DataFrame) -> DataFrame:
+    """What a predictor assumes: without a volume column volume and amount are 0, without an amount column it is made of the means."""
+    if "volume" not in df.columns:
+        return df.withColumns({"volume": F.lit(0.0), "amount": F.lit(0.0)})
+    return df if "amount" in df.columns else mean_amount(df)
+
+
+def between(df: DataFrame, begin: str | None = None, end: str | None = None, column: str = "ts") -> DataFrame:
+    """Rows of an inclusive range of dates; an open end is None. The filter reaches the scan."""
+    if begin is not None:
+        df = df.filter(F.col(column) >= F.lit(begin).cast("date"))
+    return df if end is None else df.filter(F.col(column) < F.date_add(F.lit(end).cast("date"), 1))
+
+
+def last_years(df: DataFrame, years: int, column: str = "ts") -> DataFrame:
+    """Rows of each symbol's last ``years`` years."""
+    newest = F.max(column).over(Window.partitionBy("symbol"))
+    return df.withColumn("__newest", newest).filter(F.col(column) >= F.add_months("__newest", -12 * years)).drop("__newest")
+
+
+def validate(df: DataFrame) -> DataFrame:
+    """Candles that pass every check in order, sorted by symbol and time; ValueError names the first check that fails. Nothing is repaired."""
+    if missing := [c for c in ("symbol", "ts", *PRICES, "volume") if c not in df.columns]:
+        raise ValueError("missing columns: " + ", ".join(missing))
+    if df.isEmpty():
+        raise ValueError("no candles")
+    found = {r["violation"]: r["count"] for r in violations(df).groupBy("violation").count().collect()}  # a row per check
+    for check in ("timestamp", "duplicate", "non_numeric", "negative_price", "negative_volume", "high", "low"):
+        if check in found:
+            raise ValueError(f"{check}: {found[check]} rows")
+    return df.sort("symbol", "ts")
+
+
 def fix_open(df: DataFrame) -> DataFrame:
     """Open of 0 or null becomes the previous close, else the row's own."""
-    bad = F.col("open").isNull() | (F.col("open") == 0)
+    bad = F.col("open").isNull() | F.isnan("open") | (F.col("open") == 0)
     return df.withColumn("open", F.when(bad, F.coalesce(F.lag("close").over(by_time()), F.col("close"))).otherwise(F.col("open")))
 
 

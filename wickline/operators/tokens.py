@@ -80,6 +80,25 @@ def codebook(df: DataFrame, code: str, size: int) -> DataFrame:
     return p.agg(F.count("*").alias("used_codes"), F.max("total").alias("total"), (-F.sum(F.col("p") * F.log(F.col("p") + 1e-8))).alias("entropy")).withColumn("share", F.col("entropy") / math.log(size))
 
 
+def soft_entropy(df: DataFrame, v: str, dim: int, groups: int, inverse_temperature: float = 1.0) -> DataFrame:
+    """One row: entropy per sample, of the average distribution, and the difference that training rewards, summed over groups.
+
+    A unit vector's entry gives its bit the probability sigmoid(4 x / (root of dim) * inverse temperature); bits are independent given the vector, a
+    group's average distribution is over its 2 ** (dim / groups) codes.
+    """
+    width = dim // groups
+    p = F.transform(F.col(v), lambda x: 1 / (1 + F.exp(-4 * inverse_temperature / math.sqrt(dim) * x)))
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), p.alias("p"))
+    own = F.aggregate("p", F.lit(0.0), lambda a, x: a - x * F.log(x + 1e-8) - (1 - x) * F.log(1 - x + 1e-8))
+    sample = rows.agg(F.avg(own).alias("sample_entropy"))
+    each = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("code", F.explode(F.sequence(F.lit(0), F.lit((1 << width) - 1))))
+    part = F.slice("p", F.col("g") * width + 1, F.lit(width))
+    mass = F.aggregate(F.zip_with(part, F.sequence(F.lit(0), F.lit(width - 1)), lambda x, i: F.when(F.call_function("shiftright", F.col("code"), i) % 2 == 1, x).otherwise(1 - x)), F.lit(1.0), lambda a, x: a * x)
+    mean = each.select("g", "code", mass.alias("m")).groupBy("g", "code").agg(F.avg("m").alias("m"))
+    book = mean.agg((-F.sum(F.col("m") * F.log(F.col("m") + 1e-8))).alias("codebook_entropy"))
+    return sample.crossJoin(book).withColumn("gain", F.col("sample_entropy") - F.col("codebook_entropy"))  # single rows
+
+
 def softmax(df: DataFrame, key: str, logit: str, temperature: float = 1.0) -> DataFrame:
     w = Window.partitionBy(key)
     e = F.exp((F.col(logit) - F.max(logit).over(w)) / temperature)

@@ -223,6 +223,30 @@ def _(spark, sf):
     return features.zscore(src.week6(spark, sf), 52).select("symbol", "ts", "mean", "std", "z", "back")
 
 
+def _zs(past: bool) -> str:
+    n = 8 if past else 10
+    stat = lambda f, c: f"{f}({c}) over (partition by symbol order by ts rows between current row and {n - 1} following)"
+    return f"""with {W6}, k as (select symbol, ts, close, volume, row_number() over (partition by symbol order by ts) as rn from c),
+    b as (select symbol, ts as start_ts, rn, {stat('avg', 'close')} as mc, {stat('stddev_pop', 'close')} as sc, {stat('avg', 'volume')} as mv, {stat('stddev_pop', 'volume')} as sv, count(*) over (partition by symbol order by ts rows between current row and 9 following) as n from k)
+    select b.symbol, {o.d('start_ts')}, (k.rn - b.rn)::bigint as step, {o.r('least(greatest((k.close - mc) / (sc + 1e-5), -5), 5)', 'close')}, {o.r('least(greatest((k.volume - mv) / (sv + 1e-5), -5), 5)', 'volume')} from b join k on k.symbol = b.symbol and k.rn between b.rn and b.rn + 9 where n = 10"""
+
+
+@query("window_zscores", _zs(True))
+def _(spark, sf):
+    return features.window_zscores(src.week6(spark, sf), 8, 2, ("close", "volume")).drop("ts")
+
+
+@query("window_zscores_with_future", _zs(False))
+def _(spark, sf):
+    return features.window_zscores(src.week6(spark, sf), 8, 2, ("close", "volume"), past_only=False).drop("ts")
+
+
+@query("validation_index", "select vec_id as idx, vec_id % 301 as start_index from embeddings")
+def _(spark, sf):
+    v = src.read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"))
+    return v.withColumn("start_index", features.validation_index(F.col("idx"), F.lit(301)))
+
+
 @query("time_features", "select event_id, minute(ts) as minute, hour(ts) as hour, isodow(ts) - 1 as weekday, day(ts) as day, month(ts) as month from events")
 def _(spark, sf):
     return features.time_features(src.read(spark, sf, "events")).select("event_id", "minute", "hour", "weekday", "day", "month")
@@ -393,6 +417,15 @@ def _(spark, sf):
     return e.select("event_id", F.posexplode(both).alias("place", "value"))
 
 
+@query("soft_entropy", f"""with {_GROUPS}, pb as (select vec_id, list_transform(e, lambda x: 1 / (1 + exp(-4 / sqrt({WHOLE}) * (x / nn)))) as p from nrm),
+  own as (select avg(-list_sum(list_transform(p, lambda x: x * ln(x + 1e-8) + (1 - x) * ln(1 - x + 1e-8)))) as sample_entropy from pb),
+  ms as (select g, code, avg(list_product(list_transform(range(0, 4), lambda i: case when (code >> i) % 2 = 1 then p[g * 4 + i + 1] else 1 - p[g * 4 + i + 1] end))) as m from pb, range(0, {WHOLE // 4}) a(g), range(0, 16) b(code) group by g, code),
+  bk as (select -sum(m * ln(m + 1e-8)) as codebook_entropy from ms) select {o.r('sample_entropy')}, {o.r('codebook_entropy')}, {o.r('sample_entropy - codebook_entropy', 'gain')} from own, bk""")
+def _(spark, sf):
+    v = src.read(spark, sf, "embeddings").select(tokens.l2_normalise(F.col("embedding").cast("array<double>")).alias("v"))
+    return tokens.soft_entropy(v, "v", WHOLE, WHOLE // 4)
+
+
 @query("cohort_seed", "select distinct strftime(o_orderdate, '%Y-%m-%d') as day, ('0x' || substr(sha256('20260802:' || strftime(o_orderdate, '%Y-%m-%d')), 1, 8))::ubigint::bigint as seed from orders")
 def _(spark, sf):
     d = src.read(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
@@ -411,6 +444,12 @@ def _(spark, sf):
     return src.week6(spark, sf).groupBy("ts").pivot("symbol", SYMBOLS).avg("close")
 
 
+@query("pivot_fields", f"with {W6} select symbol, {T}, {', '.join(o.r(c) for c in ('open', 'high', 'low', 'close'))} from c")
+def _(spark, sf):
+    long = src.week6(spark, sf).unpivot(["symbol", "ts"], list(PRICES), "field", "value")
+    return long.groupBy("symbol", "ts").pivot("field", list(PRICES)).agg(F.first("value"))
+
+
 @query("unpivot_fields", f"with {W6} " + " union all ".join(f"select symbol, {T}, '{f}' as field, {o.r(f, 'value')} from c" for f in ("open", "high", "low", "close")))
 def _(spark, sf):
     return src.week6(spark, sf).unpivot(["symbol", "ts"], ["open", "high", "low", "close"], "field", "value")

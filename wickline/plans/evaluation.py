@@ -416,3 +416,45 @@ def _(spark, sf):
     candles, cohorts, wins = parts(spark, sf, src.week25)
     m = cut(ev.window_metrics(ev.prediction_fact(ev.baselines(wins, HORIZON), ev.targets(wins, candles))))
     return ev.overall(m, ev.window_skips(candles, cohorts, LOOKBACK), ev.ranking(m, MINIMUM), "last_close")
+
+
+@query("walk_forward", f"""with c as ({o.WEEK6}), n as (select symbol, ts, close, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from c)
+  select a.symbol, {o.d('a.ts', 'origin')}, (b.i - a.i)::bigint as step, {o.d('b.ts', 'ts')}, {o.r('a.close', 'predicted')}, {o.r('b.close', 'actual')} from n a join n b on b.symbol = a.symbol and b.i between a.i + 1 and a.i + {HORIZON}
+  where a.i >= {LOOKBACK} and a.i + {HORIZON} < a.n and (a.i - {LOOKBACK}) % {HORIZON} = 0""")
+def _(spark, sf):
+    return ev.walk_forward(src.week6(spark, sf), LOOKBACK, HORIZON)
+
+
+@query("global_mean", "select l_returnflag, round(sum(l_extendedprice) / count(*), 4) + 0.0 as mean from lineitem group by l_returnflag")
+def _(spark, sf):
+    parts_ = src.read(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_extendedprice").alias("s"), F.count("*").alias("n"))
+    return ev.global_mean(parts_, "s", "n", "l_returnflag").withColumn("mean", F.round("mean", 4))
+
+
+_HOLED = f"select symbol, ts, open, high, low, case when day(ts) = 13 then null else close end as close, volume from ({o.WEEK6})"
+
+
+@query("finite_windows", f"""with {o.windows(_HOLED, THRESHOLD, HORIZON, LOOKBACK)},
+  sn as (select symbol, ts, sum((close is null)::int) over (partition by symbol order by ts rows between {LOOKBACK - 1} preceding and current row) as odd from c), gd as (select symbol, candidate_month, min((actual_close is not null)::int) as good from act group by all)
+  select w.symbol, w.candidate_month, {o.d('forecast_origin')}, context_rows from w join sn on sn.symbol = w.symbol and sn.ts = w.forecast_origin join gd on gd.symbol = w.symbol and gd.candidate_month = w.candidate_month where odd = 0 and good = 1""")
+def _(spark, sf):
+    candles = cut(src.week6(spark, sf).withColumn("close", F.when(F.dayofmonth("ts") != 13, F.col("close"))))
+    cohorts = ev.monthly_cohorts(ev.canonical_calendar(candles, THRESHOLD), HORIZON)
+    wins = ev.windows(ev.history(candles, LOOKBACK), cohorts, LOOKBACK)
+    return ev.finite_windows(wins, ev.targets(wins, candles), candles, LOOKBACK).select("symbol", "candidate_month", "forecast_origin", "context_rows")
+
+
+@query("amount_variants", f"select symbol, {o.d('ts')}, {o.r('(open + high + low + close) / 4 * volume', 'amount')}, 0.0 as amount_without_volume from ({o.WEEK6})")
+def _(spark, sf):
+    c = src.week6(spark, sf)
+    none = ql.predictor_defaults(c.drop("volume")).select("symbol", "ts", F.col("amount").alias("amount_without_volume"))
+    return ql.predictor_defaults(c).join(none, ["symbol", "ts"]).select("symbol", "ts", "amount", "amount_without_volume")
+
+
+@query("date_ranges", f"""with c as ({o.WEEK6}), y as (select *, max(ts) over (partition by symbol) as newest from c) select 'between' as part, symbol, {o.d('ts')} from c where ts between date '1997-03-03' and date '1997-12-29'
+  union all select 'last_years', symbol, {o.d('ts')} from y where ts >= newest - interval 24 month""")
+def _(spark, sf):
+    c = src.week6(spark, sf)
+    parts_ = {"between": ql.between(c, "1997-03-03", "1997-12-29"), "last_years": ql.last_years(c, 2)}
+    out = [df.select(F.lit(k).alias("part"), "symbol", "ts") for k, df in parts_.items()]
+    return out[0].union(out[1])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from wickline.functions.numeric import clean_number, ratio
+from wickline.operators.adjust import total_fingerprint
+from wickline.operators.features import contiguous_shards
 from wickline.operators.frames import by_time
 from wickline.operators.quality import violations
 
@@ -27,8 +31,8 @@ def canonical_names(df: DataFrame) -> DataFrame:
 
 
 def universe(spark: SparkSession, path: str) -> DataFrame:
-    """Members with their order in the file; raises ValueError on a bad header, row or repeated symbol."""
-    raw = spark.read.option("header", True).csv(path)
+    """Members with their order in the file (read in one piece: a list of names); ValueError names a bad header, row or repeated symbol."""
+    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     if set(names) != set(UNIVERSE):
         raise ValueError(f"universe columns must be {UNIVERSE}")
@@ -38,12 +42,62 @@ def universe(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = rows.withColumn("valid_to", F.col("end").try_cast("date"))
     bad = ~F.coalesce(F.col("symbol").rlike("^[A-Z0-9]+$"), F.lit(False)) | (F.coalesce("name", F.lit("")) == "") | F.col("valid_from").isNull() | (F.col("end").isNotNull() & F.col("valid_to").isNull()) | (F.col("valid_to") < F.col("valid_from"))
-    counts = rows.agg(F.count_if(bad).alias("bad"), (F.count("*") - F.countDistinct("symbol")).alias("again")).first()
-    if counts["bad"] or counts["again"]:
-        raise ValueError(f"{counts['bad']} invalid and {counts['again']} repeated universe rows")
+    rows = rows.withColumn("ord", F.row_number().over(Window.orderBy("ord")))  # a list of names
+    counts = rows.agg(F.min(F.when(bad, F.col("ord"))).alias("bad"), (F.count("*") - F.countDistinct("symbol")).alias("again")).first()
+    if counts["bad"]:
+        raise ValueError(f"universe row {counts['bad'] + 1} is invalid")  # the header is row 1
+    if counts["again"]:
+        raise ValueError(f"{counts['again']} repeated universe symbols")
     return rows.drop("end")
 
 
+def select_symbols(members: DataFrame, text: str | None = None, shard: tuple[int, int] | None = None) -> DataFrame:
+    """Members by a list of symbols (commas or spaces, any case, repeats ignored, in the given order) or by one of n contiguous
+    shards ``(index, n)`` of the file's order, not both; an unknown symbol is an error."""
+    if text is not None and shard is not None:
+        raise ValueError("symbols and a shard exclude each other")
+    if shard is not None:
+        index, n = shard
+        if not 0 <= index < n:
+            raise ValueError("shard_index out of range")
+        return contiguous_shards(members, "ord", n).filter(F.col("shard_index") == index).drop("shard_index")
+    if text is None:
+        return members
+    names = list(dict.fromkeys(s.upper() for s in text.replace(",", " ").split()))
+    if not names:
+        raise ValueError("no symbols are given")
+    wanted = members.sparkSession.createDataFrame(list(enumerate(names, 1)), "ord int, symbol string")
+    unknown = [r.symbol for r in wanted.join(members, "symbol", "left_anti").orderBy("ord").collect()]  # at most the given names
+    if unknown:
+        raise ValueError("unknown symbols: " + ", ".join(unknown))
+    return members.drop("ord").join(F.broadcast(wanted), "symbol")
+
+
+def data_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """One digest over the digests of a folder's files, in the order of their names, and their number."""
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("symbol"), F.sha2("content", 256).alias("fingerprint"))
+    return total_fingerprint(found)
+
+
+def feather(spark: SparkSession, path: str) -> DataFrame:
+    """Feather (Arrow IPC) files as one table; the columns are those of the first file by name."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    first = found.orderBy("path").select("content").first()
+    if first is None:
+        raise FileNotFoundError(path)
+    schema = from_arrow_schema(pa.ipc.open_file(first[0]).schema)
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                table = pa.ipc.open_file(content.as_py())
+                for i in range(table.num_record_batches):
+                    yield table.get_batch(i).select(names)
+
+    return found.select("content").mapInArrow(run, schema)
+
+
 def raw_candles(spark: SparkSession, path: str) -> DataFrame:
     """A folder of candle files as one long frame; numbers that do not parse are null."""
     df = canonical_names(spark.read.option("header", True).csv(path))

@@ -77,6 +77,20 @@ def write_symbols(raw: DataFrame, model: DataFrame, failures: DataFrame, request
     totals.select(F.to_json(F.struct(*[v.alias(k) for k, v in said.items()], *totals.columns)).alias("value")).write.mode("overwrite").text(f"{path}/summary")
 
 
+def write_splits(df: DataFrame, path: str) -> None:
+    """Training, validation and test rows in a folder each."""
+    df.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def write_predictions(candles: DataFrame, result: DataFrame, gaps: DataFrame, path: str) -> None:
+    """A JSON row per symbol: its input (bars, range, last values), its forecasts in order, and the gap to the first actual bar."""
+    last = F.max_by(F.struct("open", "high", "low", "close", "volume"), "ts")
+    given = candles.groupBy("symbol").agg(F.struct(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"), last.alias("last_values")).alias("input"))
+    steps = result.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("horizon_step", "predicted_close"))).alias("predictions"))  # a forecast's length
+    found = gaps.select("symbol", F.struct(*[c for c in gaps.columns if c != "symbol"]).alias("continuity"))
+    to_json_rows(given.join(steps, "symbol").join(found, "symbol", "left")).write.mode("overwrite").text(path)
+
+
 def manifest(model: DataFrame, failures: DataFrame) -> DataFrame:
     """A row per symbol: its bars, range and repaired cells, or its error."""
     changed = lambda c: F.count_if(F.col(f"raw_{c}") != F.col(c))
