@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+LINKS_PER_FILE = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A corpus table, pruned to ``columns`` when any are named."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,10 +41,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, files: int = 0) -> DataFrame:
+    """Cut lineage through reliable storage, so that a lost executor costs no recomputation.
+
+    ``files`` bounds the files of a frame whose size is bounded; others have a file per partition.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(files) if files else df).checkpoint()
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -89,6 +95,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
+    files = e.count() // LINKS_PER_FILE + 1  # links only become fewer
     for _ in range(max_rounds):
         both = _both_ways(e)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -97,7 +104,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = cut(small.filter("a <> b").distinct())
+        e = cut(small.filter("a <> b").distinct(), files)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == last:
             break

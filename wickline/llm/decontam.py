@@ -32,6 +32,7 @@ from wickline.llm.common import cut, row_key
 SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 100_000
+FILES = 8  # of the benchmark's index
 #: Words are runs of letters, marks and digits.
 BETWEEN = "[^\\p{L}\\p{M}\\p{N}]+"
 
@@ -58,7 +59,7 @@ def sketches(benchmark: DataFrame, item_col: str, text_col: str, k: int, thresho
 
 def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, k: int, threshold: float, broadcast_rows: int) -> DataFrame:
     """``id``, ``key``, ``item``, ``n`` and ``shared`` of all contained items; ``docs`` has ``id``, ``key`` and its text."""
-    index = cut(sketches(benchmark, item_col, item_text_col, k, threshold))
+    index = cut(sketches(benchmark, item_col, item_text_col, k, threshold), FILES)
     parts = index.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("bar"), F.min("need").alias("least"), F.sum("n").alias("rows"))
     parts = parts.orderBy("least").collect()  # a row per power of two
     hint = F.broadcast if sum(p["rows"] for p in parts) <= broadcast_rows else (lambda df: df)

@@ -30,6 +30,7 @@ from wickline.llm.common import cut
 SLOTS = 4096
 OVERHEAD = 16
 BROADCAST_ROWS = 100_000
+FILES = 8  # of the list of repeated ids
 
 
 def slot_of(id_col: str, slots: int = SLOTS) -> Column:
@@ -48,7 +49,7 @@ def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
             F.monotonically_increasing_id().alias("__row"),
         )
     )
-    again = cut(rows.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1 or __id is null").select("__id"))
+    again = cut(rows.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1 or __id is null").select("__id"), FILES)
     n = again.count()
     if not n:
         return rows.drop("__row")

@@ -47,6 +47,7 @@ SEED = 42
 BLOCKS = 5
 SUB_BLOCKS = 6
 BUCKET_CAP = 8192
+FILES = 8  # of the lists of crowded keys: at most one key in ``BUCKET_CAP`` rows
 N_PIVOTS = 16
 MASK64 = (1 << 64) - 1
 
@@ -240,7 +241,7 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
     classes = cut(pivot_table(fps.select("fp").distinct()))
     rows = _with_keys(classes)
-    big = cut(rows.groupBy("key").count().filter(F.col("count") > bucket_cap).select("key"))
+    big = cut(rows.groupBy("key").count().filter(F.col("count") > bucket_cap).select("key"), FILES)
     if big.isEmpty():
         return _link_buckets(rows.select("key", "fp", "t0", "t1"), max_bits)
     plain = rows.join(big, "key", "left_anti")
@@ -250,7 +251,7 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int
     for c, keys in enumerate(level2):
         subs = F.when(F.col("combo") == c, F.array(*[F.xxhash64("key", F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, (m, _) in enumerate(keys)])).otherwise(subs)
     finer = rows.join(big, "key", "left_semi").select("fp", "t0", "t1", "combo", F.posexplode(subs).alias("sub", "key"))
-    still = cut(finer.groupBy("key").count().filter(F.col("count") > bucket_cap).select("key"))
+    still = cut(finer.groupBy("key").count().filter(F.col("count") > bucket_cap).select("key"), FILES)
     links = links.union(_link_buckets(finer.join(still, "key", "left_anti").select("key", "fp", "t0", "t1"), max_bits))
     if not still.isEmpty():
         links = links.union(_wildcards(finer.join(still, "key", "left_semi"), [[free for _, free in keys] for keys in level2], max_bits))

@@ -38,6 +38,7 @@ SEGMENT_BYTES = 2048
 MIN_REVISIT_BYTES = 0
 RECORDS_PER_FILE = 4096
 BROADCAST_ROWS = 50_000
+FILES = 16  # of the list of repeated payloads
 DATE = "2024-01-01T00:00:00Z"
 PREFIX = "urn:wickline:record:"
 PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
@@ -64,7 +65,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("digest"))
     large = rows.filter(F.col("payload_bytes") >= min_revisit_bytes)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    again = cut(large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+    again = cut(large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), FILES)
     hint = F.broadcast if again.count() <= BROADCAST_ROWS else (lambda df: df)
     return rows.join(hint(again), "digest", "left").withColumn("first", F.when(F.col("first.row") != F.col("row"), F.col("first")))
 
