@@ -118,11 +118,12 @@ def contiguous_shards(df: DataFrame, order: str, k: int) -> DataFrame:
     Rows are numbered within range partitions, whose counts give the offsets: no task sees the whole series.
     """
     ranged = cut(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    other = counts.select(F.col("__part").alias("__other"), F.col("__n").alias("__m"))
-    sums = counts.crossJoin(F.broadcast(other)).groupBy("__part").agg(  # one row per partition
-        F.sum(F.when(F.col("__other") < F.col("__part"), F.col("__m")).otherwise(0)).alias("__before"), F.sum("__m").alias("__total")
-    )
+    counts = sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a number per partition
+    total, rows = sum(n for _, n in counts), []
+    for part, n in counts:
+        rows.append((part, rows[-1][1] + before if rows else 0))
+        before = n
+    sums = df.sparkSession.createDataFrame(rows, "__part int, __before long").withColumn("__total", F.lit(total).cast("long"))
     at = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
     size, larger = F.floor(F.col("__total") / k), F.col("__total") % k
     split = larger * (size + 1)
