@@ -1,23 +1,29 @@
 """Byte-level BPE through a tokenization automaton.
 
-Compiling: the automaton reads *tokens*. It starts as one state that accepts every sequence of
-bytes. Each merge ``u v -> w``, in rank order, adds one gadget: wherever an arc ``u`` was
-followed by an arc ``v``, the target of ``u`` is split so that ``v`` is cut behind ``u``, and an
-arc ``w`` leads to where ``v`` led. The automaton stays deterministic, and afterwards accepts
-just the token sequences that the merges produce. Written out, it would hold a row of arcs per
-token; the gadgets are therefore kept as a log (the two halves of a token and the rank at which
-its arc arose and the pair's was cut), and a row's arcs are resolved from that log: the
-arc ``b`` of the state behind ``a`` was copied from the state of the younger of the two, at the
-time it arose, from its half that touches the other. Resolved arcs are stored in a
-transition table, so that each costs one lookup from then on.
-
-Encoding: a pre-split word is read along the automaton's arcs, longest labels first. The accepted
-sequence that reaches a byte position is unique, so that each position is entered once and the
-cost is linear in the word; nothing is merged and no priority queue is kept. Decoding emits the byte labels of the arcs.
-
-Defined results: null text is encoded as the empty text (no ids, decoded to ''); the special
+Compiling: the automaton is deterministic and reads *tokens*. It starts as one state with an arc for every
+byte, each leading back to it. Every merge ``u v -> w``, in rank order, adds one gadget (``Automaton.merge``):
+
+* the target of the arcs ``u`` is split: they now lead to a copy of it that lacks the arc ``v``, so that the two no
+  longer stand side by side;
+* every state with the arc ``u`` gets the arc ``w``, which leads to where ``v`` led.
+
+All arcs of one token lead to one state, so that a transition is a lookup of two tables: a bit per
+kind of token and state (whether the state has the arc), and ``target``, a state per token. Each merge adds at most one
+state. A merge whose halves never meet adds nothing. At the end the automaton accepts just the token
+sequences that the merges produce.
+
+Encoding: a pre-split word is read from the first state on, along arcs whose labels are its next bytes, longest labels first. The
+accepted sequence that reaches a byte position is unique, so that a position from which no arc led on is never entered
+again and the cost is linear in the word's length; nothing is merged and no priority queue is kept. Decoding emits the byte labels
+of the arcs.
+
+The tables are compiled once on the driver and broadcast (bounded: one vocabulary); a worker drops them, and its words, at the
+end of a task.
+
+Defined results: null text is encoded as the empty text (no ids, decoded to ''); texts of any length are encoded whole (words
+over ``LONG_WORD`` characters are not remembered, nothing else differs); the special
 tokens' strings in a text become their ids, as the vocabulary file asks; repeated rows give
-repeated results; empty tables give empty results; other columns pass through,
+repeated results, ids play no part; empty tables give empty results; other columns pass through,
 and one with the made column's name is replaced.
 """
 
@@ -27,15 +33,18 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wickline.llm.common import pieces
+
 #: Pre-splitting of byte-level BPE (fixed values).
 SPLIT = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 1 << 18  # of each of two generations
-CACHE_ARCS = 1 << 18
+CACHE_WORDS = 1 << 17  # of each of two generations
+NEAR = 5  # bytes of a label that bound how long it can be
 LONG_WORD = 64
 
 
@@ -65,77 +74,109 @@ def load_tables(path: str) -> dict:
 
 
 class Automaton:
-    """The compiled automaton of one vocabulary."""
+    """States, arcs and targets of one vocabulary, compiled from its merges."""
 
     def __init__(self, tables: dict):
-        self.label: dict[int, bytes] = dict(tables["label"])
-        self.special: dict[str, int] = dict(tables["special"])
-        self.arcs = {s: i for i, s in self.label.items()}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.born: dict[int, int] = {}
-        self.cut: dict[tuple[int, int], int] = {}
-        self.reached: set[int] = {i for i, s in self.label.items() if len(s) == 1}
-        for rank, (u, v, w) in enumerate(tables["merges"]):
-            self._gadget(rank, u, v, w)
-        self.arcs = {s: i for s, i in self.arcs.items() if len(s) == 1 or i in self.reached}
-        self.reach: dict[bytes, int] = {}  # length of the longest label by its first three bytes
-        for label in self.arcs:
-            if len(label) > self.reach.get(label[:3], 2):
-                self.reach[label[:3]] = len(label)
-        self.table: dict[tuple[int, int], bool] = {}
-        self.label = labels(tables)
+        label, merges = tables["label"], tables["merges"]
+        single = [t for t, b in label.items() if len(b) == 1]
+        tokens = 1 + max(label, default=0)
+        #: a row of bits per token: which states have its arc
+        self.arcs = np.zeros((tokens, 16), np.uint8)
+        self.target = np.full(tokens, -1, np.int32)
+        self.states = 1
+        self.arcs[single, 0] = 1
+        self.target[single] = 0
+        self._users = [len(single) + 1]  # tokens that lead to a state; the start counts as one
+        for u, v, w in merges:
+            self.merge(u, v, w)
+
+    def has(self, state: int, token: int) -> bool:
+        """Whether the state has the arc."""
+        return bool(self.arcs[token, state >> 3] >> (state & 7) & 1)
+
+    def merge(self, u: int, v: int, w: int) -> None:
+        """Add the gadget of one merge."""
+        if self.target[w] >= 0:
+            raise ValueError("a token is the product of two merges")
+        if self.target[u] < 0 or self.target[v] < 0 or not self.has(behind := int(self.target[u]), v):
+            return  # the halves never meet
+        onward = int(self.target[v])  # before u is cut
+        if self._users[behind] > 1 or onward == behind:  # split the target: a copy for u alone
+            new = self.states
+            self.states += 1
+            if new >> 3 >= self.arcs.shape[1]:
+                self.arcs = np.pad(self.arcs, ((0, 0), (0, self.arcs.shape[1] // 2)))
+            column = self.arcs[:, behind >> 3] >> (behind & 7) & 1
+            self.arcs[:, new >> 3] |= column << (new & 7)
+            self._users[behind] -= 1
+            self._users.append(1)
+            self.target[u] = new
+        cut = int(self.target[u])
+        self.arcs[v, cut >> 3] &= ~(1 << (cut & 7)) & 255
+        self.arcs[w] = self.arcs[u]  # every state that has the arc u gets the arc w
+        self.target[w] = onward
+        self._users[onward] += 1
+
+    def table(self) -> dict:
+        """The transition table: the kind of each token, the bits of each kind of token, row after row of ``width`` bytes, and the targets.
+
+        Tokens with arcs from the same states are one kind.
+        """
+        width = (self.states + 7) // 8
+        rows = np.ascontiguousarray(self.arcs[:, :width]).view(f"V{width}").ravel()
+        kinds, kind = np.unique(rows, return_inverse=True)
+        return {"kinds": kinds.tobytes(), "kind": kind.tolist(), "width": width, "target": self.target.tolist()}
 
-    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        """Split the target of ``u`` (``v`` is cut behind it) and add the arc ``w``."""
-        self.cut.setdefault((u, v), rank)
-        if w not in self.halves:
-            self.halves[w], self.born[w] = (u, v), rank
-            if u in self.reached and v in self.reached and self._resolve(u, v, rank):
-                self.reached.add(w)  # the merges do lead from its bytes to w
-
-    def arc(self, a: int, b: int) -> bool:
-        """Whether the state behind ``a`` has the arc ``b``."""
-        found = self.table.get((a, b))
-        if found is None:
-            if len(self.table) >= CACHE_ARCS:
-                self.table.clear()
-            found = self.table[a, b] = self._resolve(a, b)
-        return found
-
-    def _resolve(self, a: int, b: int, until: int | None = None) -> bool:
-        """Whether ``a`` and ``b`` stand side by side until the merge of rank ``until`` (None: to the end)."""
-        born, cut = self.born, self.cut
-        until = len(cut) + 1 if until is None else until
-        while True:
-            if cut.get((a, b), until) < until:
-                return False
-            when_a, when_b = born.get(a, -1), born.get(b, -1)
-            if when_a < 0 and when_b < 0:
-                return True
-            if when_a > when_b:  # the state behind a is that behind its right half, when a arose
-                a, until = self.halves[a][1], when_a
-            else:  # the arc b was copied from its left half's, when b arose; of equal ranks the left one wins
-                b, until = self.halves[b][0], when_b + 1
 
-    def walk(self, word: bytes) -> list[int]:
-        """The accepted token sequence of one pre-split word.
+_COMPILED: dict[str, dict] = {}
 
-        Longest arcs come first. The sequence that reaches a byte position is unique, so that a
-        position from which no arc led on is never entered again.
-        """
-        arcs, arc, reach, n = self.arcs, self.arc, self.reach, len(word)
+
+def compiled(path: str) -> dict:
+    """The compiled tables of a vocabulary file; the last one is kept on the driver."""
+    if path not in _COMPILED:
+        tables = load_tables(path)
+        automaton = Automaton(tables)
+        _COMPILED.clear()
+        _COMPILED[path] = automaton.table() | {"label": tables["label"], "special": tables["special"]}
+    return _COMPILED[path]
+
+
+class Codec:
+    """Encodes and decodes texts with compiled tables."""
+
+    def __init__(self, tables: dict):
+        self.kinds, self.width, self.target = tables["kinds"], tables["width"], tables["target"]
+        self.special: dict[str, int] = tables["special"]
+        #: of each label: its token and where its row of the transition table begins
+        self.token = {b: (t, tables["kind"][t] * self.width) for t, b in tables["label"].items() if self.target[t] >= 0}
+        self.reach: dict[bytes, int] = {}  # length of the longest label by its first ``NEAR`` bytes
+        for label in self.token:
+            if len(label) > self.reach.get(label[:NEAR], NEAR - 1):
+                self.reach[label[:NEAR]] = len(label)
+        self.label = labels(tables)
+        self.words, self.older = {}, {}
+        self.find = regex.compile(SPLIT).findall
+        special = sorted(self.special, key=len, reverse=True)
+        self.marks = regex.compile("|".join(map(regex.escape, special))) if special else None
+
+    def walk(self, word: bytes) -> list[int]:
+        """The accepted token sequence of one pre-split word."""
+        kinds, target, token, reach, n = self.kinds, self.target, self.token, self.reach, len(word)
         out: list[int] = []
-        ends = [0]
+        ends, states = [0], [0]
         dead: set[int] = set()
-        stop = min(n, reach.get(word[:3], 2))
+        stop = min(n, reach.get(word[:NEAR], NEAR - 1))
         while ends[-1] < n:
-            at = ends[-1]
+            at, state = ends[-1], states[-1]
+            byte, bit = state >> 3, state & 7
             while stop > at:
-                t = arcs.get(word[at:stop])
-                if t is not None and stop not in dead and (not out or arc(out[-1], t)):
+                found = token.get(word[at:stop])
+                if found is not None and kinds[found[1] + byte] >> bit & 1 and stop not in dead:
+                    t = found[0]
                     out.append(t)
                     ends.append(stop)
-                    stop = min(n, stop + reach.get(word[stop : stop + 3], 2))
+                    states.append(target[t])
+                    stop = min(n, stop + reach.get(word[stop : stop + NEAR], NEAR - 1))
                     break
                 stop -= 1
             else:
@@ -143,53 +184,39 @@ class Automaton:
                     raise ValueError("a byte is missing from the vocabulary")
                 dead.add(at)
                 out.pop()
+                states.pop()
                 stop = ends.pop() - 1
         return out
 
-class _Words(dict):
-    """Ids of pre-split words, filled by the automaton on first sight; two bounded generations."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word) or tuple(self.automaton.walk(word.encode("utf-8")))
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word that the younger generation of remembered words lacks."""
+        ids = self.older.get(word) or tuple(self.walk(word.encode("utf-8")))
         if len(word) <= LONG_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
+            if len(self.words) >= CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = ids
         return ids
 
-
-class Codec:
-    """Encodes and decodes texts with one automaton."""
-
-    def __init__(self, tables: dict):
-        self.automaton = Automaton(tables)
-        self.words = _Words(self.automaton)
-        self.find = regex.compile(SPLIT).findall
-        special = sorted(self.automaton.special, key=len, reverse=True)
-        self.marks = regex.compile("|".join(map(regex.escape, special))) if special else None
+    def _plain(self, text: str) -> list[int]:
+        out: list[int] = []
+        for word in self.find(text):
+            out += self.words.get(word) or self._word(word)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        get = self.words.__getitem__
-        if self.marks is None or not any(s in text for s in self.automaton.special):
-            return list(chain.from_iterable(map(get, self.find(text))))
+        if self.marks is None or not any(s in text for s in self.special):
+            return self._plain(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += chain.from_iterable(map(get, self.find(text[at : m.start()])))
-            out.append(self.automaton.special[m.group()])
+            out += self._plain(text[at : m.start()])
+            out.append(self.special[m.group()])
             at = m.end()
-        out += chain.from_iterable(map(get, self.find(text[at:])))
-        return out
+        return out + self._plain(text[at:])
 
     def decode(self, ids: list[int]) -> str:
-        return emit(self.automaton.label, ids)
+        return emit(self.label, ids)
 
 
 def labels(tables: dict) -> dict[int, bytes]:
@@ -202,58 +229,71 @@ def emit(label: dict[int, bytes], ids: list[int]) -> str:
     return b"".join(map(label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+def _lists(parts: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(parts)), pa.int32()))
 
 
-def _codec_of(vocabulary: str, shared) -> Codec:
-    """One codec per worker process and vocabulary."""
-    if vocabulary not in _CODECS:
-        _CODECS.clear()
-        _CODECS[vocabulary] = Codec(shared.value)
-    return _CODECS[vocabulary]
+_IDS = T.ArrayType(T.IntegerType())
 
 
-def _pass(df: DataFrame, name: str, kind: T.DataType, column: str, arrow_type: pa.DataType, apply) -> DataFrame:
-    """``df`` with the column ``name`` made from ``column`` batch by batch."""
-    df = df.drop(name)
+def _pass(df: DataFrame, column: str, shared, make, added: dict[str, T.DataType], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns ``added``, which ``make`` gives from ``column`` piece by piece, and without ``drop``."""
+    df = df.drop(*added)
     at = df.columns.index(column)
+    keep = [i for i, c in enumerate(df.columns) if c not in drop]
+    names = [df.columns[i] for i in keep] + list(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 512):  # bounded scratch space
-                part = b.slice(start, 512)
-                made = apply(part.column(at), arrow_type)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
-
+        apply = make(shared.value)
+        try:
+            for b in batches:
+                ranges = pieces(b.column(at)) if pa.types.is_string(b.column(at).type) else ((i, min(512, b.num_rows - i)) for i in range(0, b.num_rows, 512))
+                for first, n in ranges:
+                    part = b.slice(first, n)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *apply(part.column(at))], names=names)
+        finally:
+            shared.__dict__.pop("_value", None)  # workers outlive tasks; the tables need not
 
-def _lists(parts: list[list[int]], kind: pa.DataType) -> pa.Array:
-    ends = [0]
-    for p in parts:
-        ends.append(ends[-1] + len(p))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(parts)), pa.int32()))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in keep), *(T.StructField(n, k) for n, k in added.items())]))
 
 
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids of ``text_col`` as ``array<int>``; ``vocabulary`` is a path on the driver."""
-    shared = df.sparkSession.sparkContext.broadcast(load_tables(vocabulary))  # bounded: one vocabulary
 
-    def apply(col: pa.Array, kind: pa.DataType) -> pa.Array:
-        codec = _codec_of(vocabulary, shared)
-        return _lists([codec.encode(t.as_py()) for t in col], kind)
+    def make(tables: dict):
+        codec = Codec(tables)
+        return lambda col: [_lists([codec.encode(t) for t in col.to_pylist()])]
 
-    return _pass(df, out, T.ArrayType(T.IntegerType()), text_col, pa.list_(pa.int32()), apply)
+    return _pass(df, text_col, df.sparkSession.sparkContext.broadcast(compiled(vocabulary)), make, {out: _IDS})
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids_col`` stands for; null ids decode to ''."""
-    shared = df.sparkSession.sparkContext.broadcast(labels(load_tables(vocabulary)))  # decoding needs no automaton
 
-    def apply(col: pa.Array, kind: pa.DataType) -> pa.Array:
-        label = shared.value
-        flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_pylist()
-        rows = ((a, b if ok else a) for a, b, ok in zip(ends, ends[1:], col.is_valid().to_pylist()))
-        return pa.array([emit(label, flat[a:b].tolist()) for a, b in rows], kind)
+    def make(label: dict):
+        def apply(col: pa.Array) -> list[pa.Array]:
+            flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_pylist()
+            rows = ((a, b if ok else a) for a, b, ok in zip(ends, ends[1:], col.is_valid().to_pylist()))
+            return [pa.array([emit(label, flat[a:b].tolist()) for a, b in rows], pa.string())]
+
+        return apply
+
+    tables = compiled(vocabulary)
+    return _pass(df, ids_col, df.sparkSession.sparkContext.broadcast(labels(tables)), make, {out: T.StringType()})
+
+
+def code(df: DataFrame, vocabulary: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False) -> DataFrame:
+    """``df`` with the ids of ``text_col`` and the text that they decode to, in one pass."""
+
+    def make(tables: dict):
+        codec = Codec(tables)
+
+        def apply(col: pa.Array) -> list[pa.Array]:
+            found = [codec.encode(t) for t in col.to_pylist()]
+            return [_lists(found), pa.array([codec.decode(x) for x in found], pa.string())]
+
+        return apply
 
-    return _pass(df, out, T.StringType(), ids_col, pa.string(), apply)
+    shared = df.sparkSession.sparkContext.broadcast(compiled(vocabulary))
+    return _pass(df, text_col, shared, make, {ids: _IDS, decoded: T.StringType()}, (text_col,) if drop_text else ())

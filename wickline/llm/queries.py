@@ -35,8 +35,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_vocabulary()
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.code(table(spark, sf_dir, "documents", "doc_id", "text"), path, drop_text=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -62,7 +61,7 @@ OP4_SHARDS = 40
 @_query
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.records(table(spark, sf_dir, "documents", "doc_id", "text"))
-    stats = cut(sharding.slot_stats(rows))
+    stats = cut(sharding.slot_stats(rows), 1)  # a row per slot
     store = fresh_path(spark, "slot-map")
     sharding.save_map(sharding.first_map(spark, OP4_SHARDS), store)
     sharding.save_map(sharding.rebalance(sharding.load_map(spark, store, 0), stats, OP4_SHARDS), store)
@@ -94,7 +93,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model).select(
-        "doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score",
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
 
@@ -107,6 +106,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in pii.KINDS[:4]],
         F.sha2(pii.span_string(F.filter("pii", lambda s: s.base)), 256).alias("base_sha256"),
         pii.span_string(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 
