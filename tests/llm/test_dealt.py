@@ -121,7 +121,7 @@ def test_bpe_round_trip(spark, awkward):
 def test_automaton_fuzz():
     from tokenizers import Tokenizer
 
-    codec, own, r = bpe.Codec(bpe.load_tables(default_vocabulary())), Tokenizer.from_file(default_vocabulary()), random.Random(2)
+    codec, own, r = bpe.Codec(bpe.compiled(default_vocabulary())), Tokenizer.from_file(default_vocabulary()), random.Random(2)
     for _ in range(1500):
         s = "".join(r.choice("abcdetrhinsoé \n\t'1漢🙂-=") for _ in range(r.randint(0, 60)))
         assert codec.encode(s) == own.encode(s, add_special_tokens=False).ids
@@ -154,7 +154,7 @@ def test_toxicity_learns_and_holds_out(spark):
 def test_shared_counts_cover_every_word_of_the_corpus(spark):
     rows = [(1, "red fox red fox"), (2, "Blue fox, red hen"), (3, "blue fox, red hen"), (4, None), (5, "")]
     got = {r.w: r.n for r in toxicity.shared_counts(docs_of(spark, rows), "text").collect()}
-    assert got == {"red": 2, "fox": 2, "blue": 1, "hen": 1}
+    assert got == {"red": 4, "fox": 4, "blue": 2, "hen": 2}
 
 
 def test_sharding(spark, awkward):
@@ -229,21 +229,39 @@ def test_url_model_against_brute_force(spark):
     assert got == pytest.approx(total / 5)
 
 
-def test_lines(spark):
-    shared = "This very sentence is planted in some documents. And here follows another one for them."
-    rows = [(3, f"{shared}\nshort one.\n{prose(20, 9)}"), (1, f"Start of mine. {shared} End."), (2, None), (4, ""), (5, "short one.\nshort one."), (6, f"x {shared.upper()}")]
+def brute_units(text, unit):
+    """(start, end, normal form) by plain reading."""
+    out, at, run = [], 0, []
+    for line in [*(text or "").split("\n"), None if unit == "line" else ""]:
+        if line is None:
+            continue
+        if line.strip():
+            run.append((at, at + len(line)))
+        if run and (unit == "line" or not line.strip()):
+            a, b = run[0][0], run[-1][1]
+            norm = " ".join(text[a:b].lower().split()).strip(lines.OUTER)
+            out += [(a, b, norm)] * bool(norm)
+            run = []
+        at += len(line) + 1
+    return out
+
+
+@pytest.mark.parametrize("unit", ["paragraph", "line"])
+def test_lines(spark, unit):
+    shared = "This very line is planted in some documents."
+    rows = [(3, f"{shared}\nshort one.\n\n{prose(20, 9)}"), (1, f"Start of mine.\n \n{shared}\nshort one!\n\nEnd."), (2, None), (4, ""), (5, "short one.\nshort one."), (6, f"\n\n  {shared.upper()}  \nSHORT  one\n"), (7, "---\n---\n\n***"), (None, "End.\n\nmine"), (8, "mine"), (9, ". " * 20000)]
     df = docs_of(spark, rows)
     occ = collections.defaultdict(list)
     for i, t in rows:
-        for a, b, h in lines.units(t or ""):
-            occ[h].append((i, a, b))
-    want = sorted((i, a, b, sorted(o)[0][0]) for o in occ.values() for i, a, b in sorted(o)[1:])
-    got = sorted((r.doc_id, r.start, r.end, r.first_doc_id) for r in lines.repeats(df).collect())
-    assert got == want and {x[0] for x in got} == {3, 6}
+        for a, b, norm in brute_units(t, unit):
+            occ[norm].append((i is None, i, a, b))
+    want = sorted(str((i, a, b, sorted(o)[0][1], len(o))) for o in occ.values() for _, i, a, b in sorted(o)[1:])
+    found = lines.repeats(df, unit=unit).collect()
+    assert sorted(str((r.doc_id, r.start, r.end, r.first_doc_id, r.occurrences)) for r in found) == want and want
     text = dict(rows)
-    for r in lines.remove(df).collect():
+    for r in lines.remove(df, unit=unit).collect():
         assert r.text == (text[r.doc_id] and "".join(c for i, c in enumerate(text[r.doc_id]) if not any(s.start <= i < s.end for s in r.removed)))
-    assert lines.remove(df.limit(0)).count() == 0
+    assert lines.remove(df.limit(0), unit=unit).count() == 0
 
 
 def test_long_lines_are_decoded_whole():
