@@ -355,7 +355,26 @@ def test_prediction_files(spark, tmp_path):
     result = api.forecast(df, 10, 3)
     sinks.write_predictions(df, result, api.continuity(result), str(tmp_path / "p"))
     said = json.loads(spark.read.text(str(tmp_path / "p")).first()[0])
-    assert said["input"]["rows"] == 30 and said["input"]["last_values"]["close"] == 30.0 and [p["predicted_close"] for p in said["predictions"]] == [10.0] * 3
+    assert said["input"]["price_range"]["high"] == {"min": 1.5, "max": 30.5} and said["input"]["rows"] == 30 and said["input"]["last_values"]["close"] == 30.0 and [p["predicted_close"] for p in said["predictions"]] == [10.0] * 3
     assert said["continuity"]["close_gap"] == 1.0
     sinks.write_splits(features.split_by_ratio(df, 0.5, 0.3), str(tmp_path / "s"))
     assert {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "s").glob("split=*")} == {"split=train": 15, "split=validation": 9, "split=test": 6}
+
+
+def test_holiday_tables(spark):
+    from wickline.functions import calendars
+
+    start = spark.createDataFrame([(dt.date(2025, 9, 30),)], "d date")
+    for days, want in ((calendars.HOLIDAYS_2025, dt.date(2025, 10, 8)), (calendars.OCTOBER_2025, dt.date(2025, 10, 9))):
+        assert features.business_days(start, "d", 1, calendars.holidays(spark, days)).first().day == want
+
+
+def test_predictor_registry():
+    from wickline import api
+
+    p = api.Predictors({"twice": lambda c, h: {}})
+    assert p.available() == ["last_close", "twice"] and p.status() == {"available": True, "loaded": False, "predictor": None}
+    p.load("twice")
+    assert p.status()["predictor"] == "twice"
+    with pytest.raises(ValueError):
+        p.load("none")

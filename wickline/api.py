@@ -10,7 +10,7 @@ from wickline.operators import features
 from wickline.operators.predictor import SCHEMA, Predictor, last_close_stub, predict
 from wickline.sources import files
 
-__all__ = ["SCHEMA", "continuity", "data_files", "forecast", "load_data"]
+__all__ = ["Predictors", "SCHEMA", "continuity", "data_files", "forecast", "load_data"]
 
 
 def data_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +59,26 @@ def forecast(candles: DataFrame, lookback: int, pred_len: int, predictor: Predic
     return predict(wins, predictor, pred_len).join(actual, ["symbol", "horizon_step"], "left")
 
 
+class Predictors:
+    """The predictors that a service offers by name, and the one that it uses."""
+
+    def __init__(self, known: dict[str, Predictor] | None = None):
+        self.known = {"last_close": last_close_stub} | (known or {})
+        self.chosen: str | None = None
+
+    def available(self) -> list[str]:
+        return sorted(self.known)
+
+    def load(self, name: str) -> Predictor:
+        if name not in self.known:
+            raise ValueError(f"unknown predictor {name}; there are {', '.join(self.available())}")
+        self.chosen = name
+        return self.known[name]
+
+    def status(self) -> dict[str, object]:
+        return {"available": bool(self.known), "loaded": self.chosen is not None, "predictor": self.chosen}
+
+
 def gaps(forecast: Column, actual: Column, name: str) -> list[Column]:
     """The gap between a forecast and an actual price, and its share of the actual price in percent."""
     gap = F.abs(actual - forecast)

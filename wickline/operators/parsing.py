@@ -40,6 +40,26 @@ def sectors(df: DataFrame, column: str, names: list[str], members: dict[str, Col
     return df.withColumn("sector", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
 
 
+#: Sectors in the news with their momentum and whether they are active (fixed values).
+SECTORS = (("机器人", 0.85, True), ("半导体", 0.8, True), ("人工智能", 0.75, True), ("低空经济", 0.7, True), ("新能源", 0.6, True), ("医药", 0.5, False))
+#: Sectors that a code belongs to whatever its industry says (fixed values).
+SECTOR_CODES = {"机器人": ("600580",), "低空经济": ("600580",), "新能源": ("300207",)}
+
+
+def resonance(df: DataFrame, key: str, code: str, industry: str) -> DataFrame:
+    """Per row: the number of its sectors, their mean momentum, the strongest one and whether any is active; 0.5 and no sector without a match."""
+    hits = [
+        F.when(F.contains(F.coalesce(F.col(industry), F.lit("")), F.lit(n)) | F.col(code).isin(*SECTOR_CODES.get(n, ("",))), F.struct(F.lit(m).alias("momentum"), F.lit(n).alias("sector"), F.lit(a).alias("active")))
+        for n, m, a in SECTORS
+    ]
+    rows = df.select(key, F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("s"))
+    mean = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x.momentum) / F.size("s")
+    return rows.select(
+        key, F.size("s").alias("sector_count"), F.when(F.size("s") > 0, mean).otherwise(0.5).alias("resonance"), F.exists("s", lambda x: x.active).alias("hot"),
+        F.when(F.size("s") > 0, F.array_max("s").sector).alias("main_sector"),
+    )
+
+
 def composite(
     uptrend: Column, strength: Column, hot: Column, resonance: Column, count: Column, macro: Column, cuts: Column, fundamentals: Column, low: float = 0.85, high: float = 1.15,
 ) -> Column:

@@ -536,6 +536,19 @@ def _(spark, sf):
     return g.union(more).union(flat).withColumn("step", ps.axis_step(F.col("span")))
 
 
+_SECTORS = "(values " + ", ".join(f"('{n}', {m}, {str(a).lower()})" for n, m, a in ps.SECTORS) + ") v(n, m, a)"
+_INDUSTRY = "case p_partkey % 7 when 0 then '机器人与半导体' when 1 then '医药制造' when 2 then '新能源' when 3 then '人工智能' else 'other' end"
+_CODE = "case when p_partkey % 11 = 0 then '600580' when p_partkey % 13 = 0 then '300207' else 'x' end"
+
+
+@query("sector_resonance", f"""with p as (select p_partkey, {_INDUSTRY} as industry, {_CODE} as code from part), h as (select p_partkey, n, m, a from p join {_SECTORS} on contains(industry, n) or (code = '600580' and n in ('机器人', '低空经济')) or (code = '300207' and n = '新能源')),
+  g as (select p_partkey, count(*) as k, avg(m) as r, bool_or(a) as hot, arg_max(n, m) as main from h group by p_partkey)
+  select p_partkey, coalesce(k, 0) as sector_count, {o.r('coalesce(r, 0.5)', 'resonance')}, coalesce(hot, false) as hot, main as main_sector from p left join g using (p_partkey)""")
+def _(spark, sf):
+    p = src.read(spark, sf, "part").select("p_partkey", F.expr(_INDUSTRY).alias("industry"), F.expr(_CODE).alias("code"))
+    return ps.resonance(p, "p_partkey", "code", "industry")
+
+
 @query("lookup_defaults", "select p_partkey, coalesce(n_name, 'unknown') as sector, case when n_name is null then 0.5 else n_regionkey / 10.0 end::double as score from part left join nation on n_nationkey = p_size")
 def _(spark, sf):
     n = src.read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("p_size"), F.col("n_name").alias("sector"), (F.col("n_regionkey") / 10).alias("score"))

@@ -85,7 +85,7 @@ def write_splits(df: DataFrame, path: str) -> None:
 def write_predictions(candles: DataFrame, result: DataFrame, gaps: DataFrame, path: str) -> None:
     """A JSON row per symbol: its input (bars, range, last values), its forecasts in order, and the gap to the first actual bar."""
     last = F.max_by(F.struct("open", "high", "low", "close", "volume"), "ts")
-    given = candles.groupBy("symbol").agg(F.struct(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"), last.alias("last_values")).alias("input"))
+    given = candles.groupBy("symbol").agg(F.struct(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"), last.alias("last_values"), F.struct(*[F.struct(F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in ("open", "high", "low", "close")]).alias("price_range")).alias("input"))
     steps = result.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("horizon_step", "predicted_close"))).alias("predictions"))  # a forecast's length
     found = gaps.select("symbol", F.struct(*[c for c in gaps.columns if c != "symbol"]).alias("continuity"))
     to_json_rows(given.join(steps, "symbol").join(found, "symbol", "left")).write.mode("overwrite").text(path)
