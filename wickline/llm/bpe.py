@@ -87,6 +87,7 @@ class Automaton:
         self.arcs[single, 0] = 1
         self.target[single] = 0
         self._users = [len(single) + 1]  # tokens that lead to a state; the start counts as one
+        self._top = 1 + max(single, default=-1)  # no later token has an arc yet
         for u, v, w in merges:
             self.merge(u, v, w)
 
@@ -106,8 +107,8 @@ class Automaton:
             self.states += 1
             if new >> 3 >= self.arcs.shape[1]:
                 self.arcs = np.pad(self.arcs, ((0, 0), (0, self.arcs.shape[1] // 2)))
-            column = self.arcs[:, behind >> 3] >> (behind & 7) & 1
-            self.arcs[:, new >> 3] |= column << (new & 7)
+            column = self.arcs[: self._top, behind >> 3] >> (behind & 7) & 1
+            self.arcs[: self._top, new >> 3] |= column << (new & 7)
             self._users[behind] -= 1
             self._users.append(1)
             self.target[u] = new
@@ -116,6 +117,7 @@ class Automaton:
         self.arcs[w] = self.arcs[u]  # every state that has the arc u gets the arc w
         self.target[w] = onward
         self._users[onward] += 1
+        self._top = max(self._top, w + 1)
 
     def table(self) -> dict:
         """The transition table: the kind of each token, the bits of each kind of token, row after row of ``width`` bytes, and the targets.
