@@ -154,16 +154,16 @@ def training_table(n: int = 240, seed: int = 7) -> list[list[tuple[str, str]]]:
     )
     rows = []
     for i in range(n):
-        row = [(prose(), "")]
-        for _ in range(r.randint(0, 3)):
+        row = [(prose(), "")] if i % 4 else []  # spans may open a line
+        for _ in range(r.randint(0 if i % 4 else 1, 3)):
             kind = r.choice(("email", "phone", "secret", "", ""))
             if kind == "secret":
-                row += [(r.choice(('token = "', 'key: "', "password=", 'secret = "')), ""), (code(), kind), (r.choice(('"', '" ', '",', '"###')), "")]
+                row += [(r.choice(('token = "', 'key: "', "password=", 'secret = "')), ""), (code(), kind), (r.choice(('"', '" ', '",', '"###', ' ')), "")]
             elif kind:
                 row += [(forms[kind](), kind), (r.choice((" ", ", ", ". ", " | ")), "")]
             else:
                 row += [(r.choice(harmless)(), ""), (" ", "")]
-            row.append((prose(), ""))
+            row.append((prose() if r.random() < 0.85 else "", ""))  # and close it
         rows.append(row)
     return rows
 
