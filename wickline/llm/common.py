@@ -56,6 +56,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` does not have."""
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in df.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A key of the row itself: its id together with 128 bits of its text.
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickline.llm.common import cut, row_key
+from wickline.llm.common import cut, row_key, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -96,8 +96,9 @@ def matches(
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, whatever their ids."""
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    found = _matches(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col)), benchmark, text_col, item_col, item_text_col, k, threshold, broadcast_rows)
-    bad = cut(found.select(F.col("key").alias("__bad")).distinct())
+    own, gone = unused(docs, "key", "bad")
+    keyed = docs.withColumn(own, row_key(id_col, text_col))
+    found = _matches(keyed.select(F.col(id_col).alias("id"), F.col(own).alias("key"), F.col(text_col)), benchmark, text_col, item_col, item_text_col, k, threshold, broadcast_rows)
+    bad = cut(found.select(F.col("key").alias(gone)).distinct())
     few = F.broadcast if bad.count() <= broadcast_rows else (lambda df: df)
-    return keyed.join(few(bad), F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    return keyed.join(few(bad), F.col(own) == F.col(gone), "left_anti").drop(own)

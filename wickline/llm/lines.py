@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import fresh_path, pieces
+from wickline.llm.common import fresh_path, pieces, unused
 
 MIN_WORDS = 1
 GRAM, SPREAD = 26, 25
@@ -359,9 +359,10 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "paragraph", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with repeated units and passages cut out, and ``removed``: their original (start, end)."""
     df = df.drop("removed")
-    spans = _found(_rows(df, id_col, text_col), unit, min_words).groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    keyed = df.withColumn("__own", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    both = keyed.join(spans, F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
+    own, found = unused(df, "own", "key")
+    spans = _found(_rows(df, id_col, text_col), unit, min_words).groupBy(F.col("key").alias(found)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    keyed = df.withColumn(own, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    both = keyed.join(spans, F.col(own) == F.col(found), "left").drop(found, own)
     both = both.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
     at, last = both.columns.index(text_col), both.columns.index("removed")
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import connected_components, cut, row_key
+from wickline.llm.common import connected_components, cut, row_key, unused
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -284,14 +284,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     Rows without an id come last; of rows that share the id the one with the smallest key (of id and text) stays, of equal
     rows one. A row is dropped only if a row of its component stays, whatever ids it shares.
     """
-    keyed = df.withColumn("__key", row_key(id_col, text_col))
-    fps = cut(fingerprints(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))))
+    own, held, n = unused(df, "key", "stay", "n")
+    keyed = df.withColumn(own, row_key(id_col, text_col))
+    fps = cut(fingerprints(keyed.select(F.col(id_col).alias("id"), F.col(own).alias("key"), F.col(text_col).alias("text"))))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     per = fps.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("n"))
     chosen = per.join(_roots(fps, max_bits, bucket_cap), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.key")
     repeated = fps.groupBy("key").agg(F.count("*").alias("n"))  # equal rows
-    stay = cut(chosen.join(repeated, "key").select(F.col("key").alias("__stay"), F.col("n").alias("__n")))
-    marked = keyed.join(stay, F.col("__key") == F.col("__stay")).drop("__stay")
-    once = marked.filter("__n = 1").drop("__n", "__key")
-    more = marked.filter("__n > 1").dropDuplicates(["__key"]).drop("__n", "__key")
+    stay = cut(chosen.join(repeated, "key").select(F.col("key").alias(held), F.col("n").alias(n)))
+    marked = keyed.join(stay, F.col(own) == F.col(held)).drop(held)
+    once = marked.filter(F.col(n) == 1).drop(n, own)
+    more = marked.filter(F.col(n) > 1).dropDuplicates([own]).drop(n, own)
     return once.unionByName(more)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickline.llm.common import cut, fresh_path
+from wickline.llm.common import cut, fresh_path, unused
 
 MAX_DOCS = 4000
 DISCOUNT = 0.75
@@ -174,9 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # the curve, on labelled rows that were not counted
     if not (totals.get((2, 1)) and totals.get((2, 0))):
         return flat
-    seen = _values(sample.filter("fold = 2").select("y", "text"), model, "text").select("y", "__value").collect()  # at most 2 * max_docs
+    seen = _values(sample.filter("fold = 2").select("y", "text"), model, "text", "value").select("y", "value").collect()  # at most 2 * max_docs
     y = np.array([r["y"] for r in seen], float)
-    x = np.array([r["__value"] for r in seen])
+    x = np.array([r["value"] for r in seen])
     weight = np.where(y == 1, totals[2, 1] / max((y == 1).sum(), 1), totals[2, 0] / max((y == 0).sum(), 1))
     a, b = _curve(x, y, weight)
     return model | {"a": a, "b": b}
@@ -233,8 +233,8 @@ def log_likelihoods(model: dict, found: list[str], known: dict) -> tuple[float,
     return toxic + n * plain[0], ordinary + n * plain[1]
 
 
-def _values(df: DataFrame, model: dict, text_col: str) -> DataFrame:
-    """``df`` with ``__value``: the difference of the log-likelihoods per word."""
+def _values(df: DataFrame, model: dict, text_col: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the difference of the log-likelihoods per word."""
     held = df.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
     at = df.columns.index(text_col)
 
@@ -246,9 +246,9 @@ def _values(df: DataFrame, model: dict, text_col: str) -> DataFrame:
                 w = words(t.as_py())
                 toxic, ordinary = log_likelihoods(mine, w, known)
                 out.append((toxic - ordinary) / len(w) if w else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "__value"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__value", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -256,5 +256,6 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "scor
     docs = docs.drop(out)
     if model["a"] is None:
         return docs.withColumn(out, F.lit(float(model["rate"])))
-    z = F.lit(model["a"]) + F.lit(model["b"]) * F.col("__value")
-    return _values(docs, model, text_col).withColumn(out, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).drop("__value")
+    (value,) = unused(docs, "value")
+    z = F.lit(model["a"]) + F.lit(model["b"]) * F.col(value)
+    return _values(docs, model, text_col, value).withColumn(out, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).drop(value)
