@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickline.llm import bpe, decontam, pii, simhash, toxicity
-from wickline.llm.common import delete, fresh_path, table
+from wickline.llm.common import delete, fresh_path, table, unused
 from wickline.llm.queries import default_vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; the models see all documents of the input."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score(docs, model, out="__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    (name,) = unused(docs, "toxicity")
+    return toxicity.score(docs, model, out=name).filter(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
