@@ -227,11 +227,6 @@ def stretches(special: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(np.maximum(first - REACH, 0).tolist(), np.minimum(last + REACH + 1, n).tolist()))
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def _follows() -> np.ndarray:
     """Forbidden transitions: I-x follows B-x or I-x only."""
     return np.array([[-1e4 if b.startswith("I-") and a[2:] != b[2:] else 0.0 for b in TAGS] for a in TAGS])
@@ -278,17 +273,24 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.
     for step in range(1, rounds + 1):
         field = Field(w[0], w[1], w[2] + block)
         e = field.emissions(ids, gaps) + far
-        alpha, beta = np.zeros((n, length, tn)), np.zeros((n, length, tn))
-        alpha[:, 0] = e[:, 0] + first
+        near = np.exp(e - e.max(axis=2, keepdims=True))
+        step_on = np.exp(field.trans - field.trans.max())
+        alpha, beta = np.empty((n, length, tn)), np.ones((n, length, tn))  # each scaled to sum to one
+        now = near[:, 0] * np.exp(first)
+        alpha[:, 0] = now / now.sum(axis=1, keepdims=True)
         for i in range(1, length):
-            alpha[:, i] = np.where(mask[:, i, None], _logsum(alpha[:, i - 1, :, None] + field.trans[None], 1) + e[:, i], alpha[:, i - 1])
-        total = _logsum(alpha[:, -1], 1)
+            now = (alpha[:, i - 1] @ step_on) * near[:, i]
+            alpha[:, i] = np.where(mask[:, i, None], now / now.sum(axis=1, keepdims=True), alpha[:, i - 1])
         for i in range(length - 2, -1, -1):
-            beta[:, i] = np.where(mask[:, i + 1, None], _logsum(field.trans[None] + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0.0)
-        marg = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
-        both = np.exp(alpha[:, :-1, :, None] + field.trans[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pairs[:, :, None, None]
+            now = (near[:, i + 1] * beta[:, i + 1]) @ step_on.T
+            beta[:, i] = np.where(mask[:, i + 1, None], now / now.sum(axis=1, keepdims=True), 1.0)
+        marg = alpha * beta
+        marg *= mask[:, :, None] / marg.sum(axis=2, keepdims=True)
+        ahead = near[:, 1:] * beta[:, 1:]
+        ahead *= pairs[:, :, None] / ((alpha[:, :-1] @ step_on) * ahead).sum(axis=2, keepdims=True)
+        both = step_on * (alpha[:, :-1].reshape(-1, tn).T @ ahead.reshape(-1, tn))
         diff = gold - marg
-        grad = [np.zeros_like(w[0]), np.zeros_like(w[1]), gold_trans - both.sum(axis=(0, 1))]
+        grad = [np.zeros_like(w[0]), np.zeros_like(w[1]), gold_trans - both]
         for j, o in enumerate(OFFSETS):
             np.add.at(grad[0][j], wide[:, 2 + o : 2 + o + length].ravel(), diff.reshape(-1, tn))
         np.add.at(grad[1], gaps.ravel(), diff.reshape(-1, tn))
