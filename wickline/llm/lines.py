@@ -9,7 +9,8 @@ something on them. Units without any word are no repetition and stay; ``min_word
 
 A repeated passage that starts or ends inside a unit is no unit of its own. Passages are
 therefore also found by their own words, wherever they start: hashes of ``GRAM`` words are winnowed (the smallest
-of every ``SPREAD`` in a row is taken), so that any two texts that share ``GRAM + SPREAD - 1`` = 50 words share a taken hash. Taken
+of every ``SPREAD`` in a row is taken), so that any two texts that share ``GRAM + SPREAD - 1`` = 50 words share a taken hash (of shorter
+runs, from ``GRAM`` words on, those are found that happen to hold one). Taken
 hashes are grouped globally like units; a text's first occurrence is set against the earliest one of all, a later one against that
 before it in the same text; overlapping finds of one alignment are joined to one run, and the run is extended word by
 word, up to ``SPREAD`` words at both ends. ``occurrences`` of a run inside one text are those in that text.
