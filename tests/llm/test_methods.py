@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_dealt import DOC, brute_fingerprint, docs_of, prose
 from wickline.llm import bpe, decontam, lines, pii, sharding, simhash, toxicity, urls, warc
@@ -330,6 +331,69 @@ def test_long_addresses_are_linear(spark):
     assert urls.classify(df).count() == 21 and time.time() - began < 60
 
 
+def brute_url_values(labelled, addresses, order=urls.ORDER):
+    """Difference per character of each address by plain counting of (text, ok) pairs."""
+    counts = {y: collections.Counter(s[e - k : e] for s, ok in labelled if ok == bool(y) for e in range(1, len(s) + 1) for k in range(1, min(e, order) + 1)) for y in (1, 0)}
+    seen, n, t = set(counts[1]) | set(counts[0]), collections.Counter(), collections.Counter()
+    for y in (1, 0):
+        for g, c in counts[y].items():
+            n[y, len(g), g[:-1]] += c
+            t[y, len(g), g[:-1]] += 1
+
+    def p(y, gram):
+        low, at = 1 / urls.CHARS if len(gram) == 1 else p(y, gram[1:]), (y, len(gram), gram[:-1])
+        return (max(counts[y][gram] - urls.DISCOUNT, 0) + urls.DISCOUNT * t[at] * low) / n[at] if n[at] else low
+
+    out = {}
+    for a in addresses:
+        ends = [next((a[e - k : e] for k in range(min(e, order), 0, -1) if a[e - k : e] in seen), None) for e in range(1, len(a) + 1)]
+        out[a] = sum(np.log(p(1, g) / p(0, g)) for g in ends if g) / max(len(a), 1)
+    return out
+
+
+def test_url_filter_learns_from_every_judged_address(spark):
+    """The models hold all labelled addresses, the threshold comes from all accepted ones, each scored without its fold."""
+    good, bad = [f"shop{i}.com/ok/{i * 37}" for i in range(50)], [f"spam{i}.net/fr/buy{i * 31}" for i in range(25)]
+    free = [f"shop{i}.org/{x}/{i}" for i in range(12) for x in ("ok", "buy", "fr", "")] + [f"shop{i}.comm/ok/{i * 37}" for i in range(20, 30)] + ["\u00e9\U0001f600.org/x", "s", ""]
+    df = spark.createDataFrame([(i, f"http://{a}") for i, a in enumerate(good + good[:9] + bad + free)] + [(None, None)], "page_id long, url string")
+    got = {r.host + r.path: r for r in urls.classify(df).collect()}
+    labelled = [(a, a in good) for a in good + bad]
+    want = brute_url_values(labelled, free)
+    assert all(got[a].rule is None and got[a].value == pytest.approx(want[a], abs=1e-12) for a in free)
+    fold = F.pmod(F.xxhash64(F.lit("held"), F.regexp_extract("a", "^[^/]*", 0), F.regexp_extract("a", "/.*$", 0)), F.lit(urls.FOLDS))
+    folds = {r.a: r.f for r in spark.createDataFrame([(a,) for a in good + bad], "a string").select("a", fold.alias("f")).collect()}
+    assert len(set(folds[a] for a in good)) == urls.FOLDS
+    held = sorted(brute_url_values([x for x in labelled if folds[x[0]] != folds[a]], [a])[a] for a in good)
+    bar = held[int(49 * 0.05)]
+    for a in free:
+        assert got[a].verdict == ("allow" if want[a] >= bar else "block") or want[a] == pytest.approx(bar)
+    assert {got[a].verdict for a in free} == {"allow", "block"}
+
+
+def test_url_filter_has_no_cap_on_labelled_addresses(spark, monkeypatch):
+    n, seen, train = 20_300, [], urls.train
+    monkeypatch.setattr(urls, "train", lambda rows, *a, **b: (seen.append(rows.count()), train(rows, *a, **b))[1])
+    df = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://g.com/"), "id").alias("url"))
+    df = df.union(spark.createDataFrame([(-1, "http://b.net/fr/1"), (-2, "http://c.org/")], "page_id long, url string"))
+    assert urls.classify(df).count() == n + 2 and seen == [n + 1]
+
+
+def test_url_windows_beyond_the_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"h{i % 7}.com", f"/p{i * i}", i % 3 > 0) for i in range(60)], "host string, path string, ok boolean")
+    model = urls.train(rows.select(F.concat("host", "path").alias("s"), "ok"))
+    read = lambda: {(r.host, r.path): r.value for r in urls.differences(rows, model).collect()}
+    want = read()
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 40)
+    assert len(want) == 60 and read() == pytest.approx(want, abs=1e-12)
+
+
+def test_url_threshold_is_exact(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=3001), np.repeat([1e-300, -2.0, 7.0], 9), np.exp(rng.normal(size=500) * 9), np.array([0.25]), np.array([])):
+        got = urls.threshold(spark.createDataFrame([(float(v),) for v in values], "value double"), 0.95)
+        assert got == (sorted(values)[int((len(values) - 1) * (1 - 0.95))] if len(values) else None)
+
+
 def test_pieces_bound_rows_and_bytes():
     import pyarrow as pa
 
